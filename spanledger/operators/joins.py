@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +40,9 @@ def resolve_pointers(nodes: DataFrame) -> DataFrame:
     ``nodes`` has ``node``, ``same_as`` (null where the row holds its own ``value``).
     Gives ``node, status, target, hops``; status is ok, dangling or cycle, and target the
     last node reached (null on a cycle). Each round doubles the length of every pointer,
-    so a chain of length L takes log2(L) joins; a node still open after more doublings
-    than there are nodes can only be on, or lead to, a cycle.
+    so a chain of length L takes log2(L) joins. A chain that is still open passes through
+    nodes of every shorter length, so once a round closes no node the rest are on, or lead
+    to, a cycle.
     """
     known = nodes.select(F.col("node").alias("_n"), F.col("same_as").alias("_p"))
     state = settled(
@@ -52,20 +51,16 @@ def resolve_pointers(nodes: DataFrame) -> DataFrame:
         .select("node", F.col("same_as").alias("at"), F.lit(1).cast("bigint").alias("hops"),
                 F.when(F.col("k._n").isNull(), "dangling")
                 .when(F.col("k._p").isNull(), "ok").otherwise("open").alias("status")))
-    n_open = state.where(F.col("status") == "open").count()
-    rounds = math.ceil(math.log2(n_open + 1)) + 1 if n_open else 0
-    for _ in range(rounds):
+    left, before = state.where(F.col("status") == "open").count(), -1
+    while left not in (0, before):
         jump = state.select(F.col("node").alias("_n"), F.col("at").alias("_at"),
                             F.col("hops").alias("_hops"), F.col("status").alias("_status"))
         is_open = F.col("status") == "open"
-        # Closed rows carry a null key, so only open rows are matched.
         moved = (state.where(is_open).join(jump, F.col("at") == F.col("_n"))
                  .select("node", F.col("_at").alias("at"), (F.col("hops") + F.col("_hops")).alias("hops"),
                          F.col("_status").alias("status")))
         state = settled(state.where(~is_open).unionByName(moved))
-        left = state.where(F.col("status") == "open").count()
-        if left == 0:
-            break
+        before, left = left, state.where(F.col("status") == "open").count()
     own = nodes.where(F.col("same_as").isNull()).select(
         "node", F.lit("ok").alias("status"), F.col("node").alias("target"),
         F.lit(0).cast("bigint").alias("hops"))

@@ -202,8 +202,9 @@ def single_line_check(spark, sf):
 
 @query("markup_clean", f"""
 select page_id, {sql_strip('''regexp_replace(replace(
-  replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'),
-    '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&'),
+  regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
+    regexp_replace(html, '<[^>]+>', '', 'g'), '&nbsp;', chr(160)), '&copy;', chr(169)), '&middot;', chr(183)),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;?', '&', 'g'),
   chr(13) || chr(10), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')''')} as text from pages""")
 def markup_clean(spark, sf):
     return texts(spark, sf, "pages").select("page_id", T.clean_markup(F.col("html")).alias("text"))
