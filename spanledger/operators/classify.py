@@ -2,93 +2,109 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions import text as T
 from spanledger.functions import words as W
-from spanledger.operators.support import bounded
+from spanledger.operators.support import bounded, computed
 
 
-def _with_heads(df: DataFrame, text: str) -> DataFrame:
-    c = F.col(text)
-    return (df.withColumns({"_toks": T.tokens(c), "_stage": T.first_stage(c)})
-            .withColumns({"_first": F.coalesce(F.get("_toks", F.lit(0)), F.lit("")),
-                          "_head_tok": T.command_head(F.col("_stage"))})
-            .withColumn("_head", T.basename(F.col("_head_tok"))))
+def _early_verdict(c: Column) -> Column:
+    """The rules that need no more than the text, its first stage and its first token."""
+    raw_head = F.lower(T.basename(F.col("_first")))
+    return (
+        F.when(T.has_invisible(c), "unparseable")
+        .when(F.col("_stage") == "", "output-fragment")
+        .when(F.col("_first").rlike(T.ENV_ASSIGN), "config-fragment")
+        .when(raw_head.isin(W.SHELL_KEYWORD_HEADS), "unparseable")
+        .when(raw_head.isin(W.FUNCTION_WORD_HEADS), "prose")
+        .when(T.strip(c).rlike(T.BLOCK_OPENER), "config-fragment")
+        .when(T.sentence_like(c), "prose"))
 
 
-def prompt_vocabulary(candidates: DataFrame, trusted: list[str] = W.COMMON_BINARIES) -> DataFrame:
-    """Distinct heads trusted by name or shown behind a '$' prompt: column ``head``."""
-    spark = candidates.sparkSession
-    shown = (_with_heads(candidates.where(F.col("prompt") == "$"), "command")
-             .where(F.col("_head_tok").rlike(T.COMMAND_TOKEN)).select(F.col("_head").alias("head")))
-    named = spark.createDataFrame([(b,) for b in trusted], "head string")
-    return shown.unionByName(named).distinct()
+def _with_heads(df: DataFrame, text: str, decide_early: bool) -> DataFrame:
+    """Adds first stage and token, ``_early``, and tokens, program and their tests.
+
+    With ``decide_early`` the costly columns are worked out only for lines that the early
+    rules leave open.
+    """
+    c = F.col(text)
+    d = computed(df, {"_stage": T.first_stage(c), "_first": T.first_token(c)})
+    d = computed(d, {"_early": _early_verdict(c) if decide_early else F.lit(None).cast("string")})
+    is_open = F.col("_early").isNull()
+    d = computed(d, {"_toks": F.when(is_open, T.tokens(c)),
+                     "_head_tok": F.when(is_open, T.command_head(F.col("_stage")))})
+    return computed(d, {"_prose": F.coalesce(T.prose_like(F.col("_toks")), F.lit(False)),
+                        "_tui": F.coalesce(T.tui_like(F.col("_toks")), F.lit(False)),
+                        "_head": T.basename(F.col("_head_tok"))})
+
+
+def head_evidence(candidates: DataFrame) -> DataFrame:
+    """Per head, in one pass: ``in_vocab`` and ``support``.
+
+    A head is in the vocabulary when some '$' prompt shows it. Its support counts the lines
+    that show it being run: lines behind '$' or with an option or path token that are
+    neither a sentence nor an instruction. Counting combines on the map side.
+    """
+    at_dollar = F.col("prompt") == "$"
+    # Only such lines can be evidence; the test is cheap and comes before the costly ones.
+    maybe = candidates.where(at_dollar | F.col("command").rlike(
+        rf"[{T.SPACE}](?:-{{1,2}}[A-Za-z0-9]|/[A-Za-z0-9_.]|~/)"))
+    d = _with_heads(maybe, "command", decide_early=False)
+    sound = ~T.has_invisible(F.col("command")) & ~F.col("_first").rlike(T.ENV_ASSIGN)
+    shaped = (F.col("_head").rlike(T.LOWER_BASENAME) & ~F.col("_head").isin(W.REFUSED_HEADS)
+              & ~F.col("_head").rlike(r"[.-]\z") & ~F.col("_prose") & ~F.col("_tui"))
+    d = d.where(F.col("_head_tok").rlike(T.COMMAND_TOKEN))
+    d = computed(d, {"_shown": sound & shaped & (at_dollar | T.has_evidence_token(F.col("_toks")))})
+    return (d.where(at_dollar | F.col("_shown")).groupBy(F.col("_head").alias("head"))
+            .agg(F.bool_or(at_dollar).alias("in_vocab"), F.count_if("_shown").alias("support")))
 
 
 def strong_heads(candidates: DataFrame) -> DataFrame:
-    """Heads the corpus shows being run: column ``head`` and ``support``, their line count.
+    """Heads the corpus shows being run, with the number of lines that show it."""
+    return head_evidence(candidates).where(F.col("support") > 0).select("head", "support")
 
-    A line is evidence when it stands behind '$' or carries an option or path token, and
-    is neither a sentence nor an instruction. Counting combines on the map side.
-    """
-    d = _with_heads(candidates, "command")
-    shaped = (~T.has_invisible(F.col("command")) & (F.col("_stage") != "")
-              & ~F.col("_first").rlike(T.ENV_ASSIGN)
-              & F.col("_head_tok").rlike(T.COMMAND_TOKEN) & F.col("_head").rlike(T.LOWER_BASENAME)
-              & ~F.col("_head").isin(W.REFUSED_HEADS) & ~F.col("_head").rlike(r"[.-]\z")
-              & ~T.prose_like(F.col("_toks")) & ~T.tui_like(F.col("_toks")))
-    shown = (F.col("prompt") == "$") | T.has_evidence_token(F.col("_toks"))
-    return (d.where(shaped & shown).groupBy(F.col("_head").alias("head"))
-            .agg(F.count("*").alias("support")))
-
-
-def classify(lines: DataFrame, vocabulary: DataFrame, strong: DataFrame, unavailable: DataFrame,
-             policy: str = "lowercase") -> DataFrame:
+
+def classify(lines: DataFrame, evidence: DataFrame, unavailable: DataFrame,
+             trusted: list[str] = W.COMMON_BINARIES, policy: str = "lowercase") -> DataFrame:
     """Adds ``tool`` (set when the line is a command) and ``reason`` (set when it is not).
 
-    ``lines`` needs ``command``, ``prompt`` and ``release``. Membership of a head in the
-    vocabulary, the evidence and the (release, head) exclusions comes from left joins.
+    ``lines`` needs ``command``, ``prompt`` and ``release``; ``evidence`` comes from
+    ``head_evidence``. What is known of a head, and the (release, head) exclusions, come
+    from left joins.
     """
-    heads = (vocabulary.select("head", F.lit(True).alias("_v"), F.lit(False).alias("_s"))
-             .unionByName(strong.select("head", F.lit(False).alias("_v"), F.lit(True).alias("_s")))
-             .groupBy(F.col("head").alias("_head"))
-             .agg(F.bool_or("_v").alias("_in_vocab"), F.bool_or("_s").alias("_in_strong")))
+    heads = evidence.select(F.col("head").alias("_head"), F.col("in_vocab").alias("_in_vocab"),
+                            (F.col("support") > 0).alias("_in_strong"))
     absent = unavailable.select("release", F.col("head").alias("_head"),
                                 F.lit(True).alias("_absent")).distinct()
-    d = (_with_heads(lines, "command")
+    d = (_with_heads(lines, "command", decide_early=True)
          .join(bounded(heads), "_head", "left").join(bounded(absent), ["release", "_head"], "left"))
-    c, toks, head = F.col("command"), F.col("_toks"), F.col("_head")
-    vocab = F.coalesce("_in_vocab", F.lit(False)) | T.in_bin_dir(F.col("_head_tok"))
+    c, head = F.col("command"), F.col("_head")
+    vocab = (F.coalesce("_in_vocab", F.lit(False)) | head.isin(trusted)
+             | T.in_bin_dir(F.col("_head_tok")))
     known = vocab | F.coalesce("_in_strong", F.lit(False))
-    raw_head = F.lower(T.basename(F.col("_first")))
-    shape = T.residue_reason(c, toks)
-    if policy == "vocabulary":
-        second = F.when(~vocab, shape)
-    else:
-        second = F.when(~head.rlike(T.LOWER_BASENAME) | T.prose_like(toks) | T.tui_like(toks), shape)
-    reason = (
-        F.when(T.has_invisible(c), "unparseable")
-        .when(F.col("_stage") == "", "output-fragment")
-        .when(F.col("_first").rlike(T.ENV_ASSIGN), "config-fragment")
-        .when(raw_head.isin(W.SHELL_KEYWORD_HEADS), "unparseable")
-        .when(raw_head.isin(W.FUNCTION_WORD_HEADS), "prose")
-        .when(T.strip(c).rlike(T.BLOCK_OPENER), "config-fragment")
-        .when(T.sentence_like(c), "prose")
+    lowercase = policy != "vocabulary"
+    plain = (F.col("_prose") | F.col("_tui") | ~head.rlike(T.LOWER_BASENAME)) if lowercase else ~vocab
+    # The first rule that fires decides. Two markers defer to the shape of the line, which
+    # is then worked out in one place: by-shape, and by-evidence for unknown heads.
+    verdict = (
+        F.when(F.col("_early").isNotNull(), F.col("_early"))
         .when(F.col("_head_tok") == "", "output-fragment")
         .when(head.isin(W.REFUSED_HEADS), "unparseable")
-        .when(~F.col("_head_tok").rlike(T.COMMAND_TOKEN), shape)
+        .when(~F.col("_head_tok").rlike(T.COMMAND_TOKEN), "by-shape")
         .when(T.strip(c).rlike(T.CONFIG_LINE), "config-fragment")
-        .when(~known, T.no_evidence_reason(c, toks))
-        .when((F.col("prompt") == "$") & T.prose_like(toks), "prose")
-        .otherwise(F.coalesce(
-            F.when(F.col("prompt") != "$", second),
-            F.when(F.coalesce("_absent", F.lit(False)), "binary-not-on-release"))))
-    helpers = ["_head", "_toks", "_stage", "_first", "_head_tok", "_in_vocab", "_in_strong",
-               "_absent"]
-    return (d.withColumn("reason", closed_reason(reason))
-            .withColumn("tool", F.when(F.col("reason").isNull(), head)).drop(*helpers))
+        .when(~known, "by-evidence")
+        .when((F.col("prompt") == "$") & F.col("_prose"), "prose")
+        .when((F.col("prompt") != "$") & plain, "by-shape")
+        .when(F.coalesce("_absent", F.lit(False)), "binary-not-on-release"))
+    d = computed(d, {"_verdict": verdict})
+    shape = T.residue_reason(c, F.col("_toks"), F.col("_prose"), F.col("_tui"))
+    reason = (F.when((F.col("_verdict") == "by-evidence") & T.mostly_words(F.col("_toks")), "prose")
+              .when(F.col("_verdict").isin("by-shape", "by-evidence"), shape).otherwise(F.col("_verdict")))
+    d = computed(d, {"reason": reason})
+    return (d.withColumn("tool", F.when(F.col("reason").isNull(), head))
+            .drop(*[n for n in d.columns if n.startswith("_")]))
 
 
 def closed_reason(reason):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanledger.functions import text as T
 from spanledger.functions import words as W
+from spanledger.operators.support import computed
 
 
 def explode_lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -33,14 +34,12 @@ def anchored_lines(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 def with_prompt(df: DataFrame, line: str = "line") -> DataFrame:
     """Adds ``prompt`` ('$', '#' or '') and ``command``, the text behind the prompt."""
     s = T.strip(F.col(line))
-    loose = F.regexp_extract(s, T.PROMPT, 1)
-    tight = s.rlike(T.TIGHT_PROMPT)
-    return df.withColumns({
-        "prompt": F.when(loose != "", loose).when(tight, "#").otherwise(""),
-        "command": F.when(loose != "", T.strip(F.regexp_extract(s, T.PROMPT, 2)))
-                    .when(tight, T.strip(s.substr(F.lit(2), F.length(s))))
-                    .otherwise(""),
-    })
+    d = computed(df, {"_s": s, "_loose": F.regexp_extract(s, T.PROMPT, 1), "_tight": s.rlike(T.TIGHT_PROMPT)})
+    loose, body = F.col("_loose") != "", F.col("_s")
+    return computed(d, {
+        "prompt": F.when(loose, F.col("_loose")).when(F.col("_tight"), "#").otherwise(""),
+        "command": F.when(loose | F.col("_tight"), T.strip(body.substr(F.lit(2), F.length(body)))).otherwise(""),
+    }).drop("_s", "_loose", "_tight")
 
 
 def head_refusal(first: Column) -> Column:

@@ -10,6 +10,7 @@ from spanledger.functions import words as W
 from spanledger.operators import classify as C
 from spanledger.operators.census import mode_per_group
 from spanledger.operators.lines import explode_lines, with_prompt
+from spanledger.operators.support import computed, settled
 from spanledger.operators.windows import forward_fill
 
 HEADING = r"^[A-Z][A-Z0-9 '/-]{1,60}$"
@@ -157,16 +158,15 @@ def mine(lines: DataFrame, unavailable: DataFrame, trusted: list[str] = W.COMMON
     corpus to its distinct heads; the second joins them back. Adds prompt, command, text,
     tool and reason (null when taken). Lines without a prompt are declined by shape.
     """
-    stripped = T.strip(F.col("line"))
-    d = with_prompt(lines).where(stripped != "")
-    banner = stripped.rlike("^#[!#]")
-    candidates = d.where((F.col("command") != "") & ~banner)
-    strong = C.strong_heads(candidates.select("command", "prompt"))
-    vocab = C.prompt_vocabulary(candidates.select("command", "prompt"), trusted)
-    taken = C.classify(candidates, vocab, strong, unavailable, policy).withColumn("text", F.col("command"))
-    others = d.where((F.col("command") == "") | banner)
-    shape = T.residue_reason(stripped, T.tokens(stripped))
-    declined = others.withColumns({
-        "text": stripped, "tool": F.lit(None).cast("string"),
-        "reason": F.when(banner, "config-fragment").otherwise(shape)})
+    d = computed(lines, {"text": T.strip(F.col("line"))}).where(F.col("text") != "")
+    d = computed(with_prompt(d), {"_banner": F.col("text").rlike("^#[!#]")})
+    candidate = (F.col("command") != "") & ~F.col("_banner")
+    candidates = d.where(candidate).drop("_banner")
+    evidence = settled(C.head_evidence(candidates.select("command", "prompt")))
+    taken = C.classify(candidates, evidence, unavailable, trusted, policy).withColumn(
+        "text", F.col("command"))
+    others = computed(d.where(~candidate), {"_toks": T.tokens(F.col("text"))})
+    shape = T.residue_reason(F.col("text"), F.col("_toks"), T.prose_like(F.col("_toks")), T.tui_like(F.col("_toks")))
+    declined = computed(others, {"reason": F.when(F.col("_banner"), "config-fragment").otherwise(shape)}).withColumn(
+        "tool", F.lit(None).cast("string")).drop("_banner", "_toks")
     return taken.unionByName(declined)

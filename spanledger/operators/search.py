@@ -51,8 +51,8 @@ def delta_decode(coded: DataFrame, order: str, block: int = BLOCK) -> DataFrame:
 def _score(hay: Column, terms: list[str]) -> Column:
     total = F.lit(0)
     for t in terms:
-        total = total + (F.when(hay.rlike(r"(?:^|[^a-z0-9])" + re.escape(t)), 3)
-                         .when(hay.contains(t), 1))
+        starts_word = hay.rlike(r"(?:^|[^a-z0-9])" + re.escape(t))
+        total = total + F.when(hay.contains(t), F.when(starts_word, 3).otherwise(1))
     return total  # null as soon as one term is absent
 
 

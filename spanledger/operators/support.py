@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -21,6 +21,16 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are evaluated once per row.
+
+    They come out of a one-element generator. A plain projection would be merged into the
+    filters and projections above it, which repeats an expensive expression at every use.
+    """
+    one = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.inline(one))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
     spark = df.sparkSession

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanledger.operators.lines import explode_lines
-from spanledger.operators.support import read_spread
+from spanledger.operators.support import computed, read_spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,12 +91,10 @@ LOG_LINE = """case k % 20
 
 def command_log(spark: SparkSession, sf: str) -> DataFrame:
     """(event_id, user_id, release, ts, line): the log lines the events stand for."""
-    e = texts(spark, sf, "events")
-    return e.select(
+    e = texts(spark, sf, "events").select(
         "event_id", "user_id", "ts", F.get_json_object("props", "$.k").cast("int").alias("k"),
-        F.col("user_id").alias("u")).select(
-        "event_id", "user_id", "ts", F.expr("cast(7 + u % 4 as string)").alias("release"),
-        F.expr(LOG_LINE).alias("line"))
+        F.col("user_id").alias("u"))
+    return computed(e, {"release": F.expr("cast(7 + u % 4 as string)"), "line": F.expr(LOG_LINE)}).drop("k", "u")
 
 
 LOG = f"""

@@ -8,6 +8,7 @@ from spanledger.functions import hashing as H
 from spanledger.functions import text as T
 from spanledger.functions import words as W
 from spanledger.operators import lines as L
+from spanledger.operators.support import computed
 from spanledger.plans.base import (DOC_LINES, LOG, LOG_COMMANDS, command_log, document_lines, query,
                                    sql_list, sql_strip, sql_tokens, table, texts)
 
@@ -55,7 +56,7 @@ select lang, source, cast(count(*) as bigint) as n_lines,
   cast(count(*) filter (where {SQL_PROSE}) as bigint) as n_prose
 from (select lang, source, {sql_tokens('line')} as toks from ({DOC_LINES})) group by all""")
 def prose_lines(spark, sf):
-    d = document_lines(spark, sf).withColumn("toks", T.tokens(F.col("line")))
+    d = computed(document_lines(spark, sf), {"toks": T.tokens(F.col("line"))})
     return d.groupBy("lang", "source").agg(
         F.count("*").alias("n_lines"), F.count_if(T.prose_like(F.col("toks"))).alias("n_prose"))
 
@@ -90,7 +91,7 @@ select family, row_key, line_no from (
 where len(ts) > 0 and ts[1] in {sql_list(W.TUI_OPENERS)}
   and len(list_filter(ts[2:], lambda t: t in {sql_list(W.TUI_WORDS)})) > 0""")
 def tui_lines(spark, sf):
-    d = _all_lines(spark, sf).withColumn("toks", T.tokens(F.col("line")))
+    d = computed(_all_lines(spark, sf), {"toks": T.tokens(F.col("line"))})
     return d.where(T.tui_like(F.col("toks"))).select("family", "row_key", "line_no")
 
 
