@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanledger.operators import mining as M
-from spanledger.plans.base import query, sql_list, table, texts
+from spanledger.plans.base import query, table, texts
 from spanledger.sources import captures as K
 from spanledger.sources import manifests as A
 from spanledger.sources import rules_xml as X
@@ -146,9 +146,6 @@ def markdown_table(spark, sf):
     return out.withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
 
 
-_KEYS = [f for f in K.FIELDS]
-
-
 @query("capture_ingest", """
 with d as (select o_orderkey as k, o_orderkey % 10 as m, cast(7 + o_custkey % 4 as varchar) as rel from orders)
 select 'error' as what, k, 'not-json' as code from d where m = 1
@@ -170,7 +167,7 @@ def capture_ingest(spark, sf):
         "exit_code": F.lit(0), "stdout": plain, "stderr": plain, "captured_on": plain, "captured_by": plain,
         "blast_confirmed": plain, "undo_executed": F.struct(F.lit(False).alias("run"), F.lit("none").alias("reason")),
         "command_hash_at_capture": F.sha2(F.when(m == 3, F.lit("else")).otherwise(run), 256), "verify_result": plain}
-    body = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    body = F.to_json(F.named_struct(*[x for n, c in fields.items() for x in (F.lit(n), c)]))
     body = F.when(m == 1, F.concat(F.lit("{broken"), body)).otherwise(body)
     folder = F.when(m == 4, F.lit("6")).otherwise(rel)
     name = F.when(m == 5, F.concat(F.lit("x-"), k.cast("string"))).otherwise(entry)
