@@ -225,6 +225,9 @@ def title_case(c: Column) -> Column:
     return F.array_join(up, " ")
 
 
+# The references most pages use, with and without their semicolon, are decided without the
+# full table.
+_COMMON_REFERENCES = "amp; lt; gt; quot; apos; nbsp; copy; reg; middot; ndash; mdash; hellip;".split()
 _ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
 
 
@@ -259,7 +262,11 @@ def unescape_html(c: Column) -> Column:
                 .when(odd, F.lit("�"))
                 .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
         prefix = F.regexp_extract(body, _LEGACY_PREFIX, 1)
-        return (F.when(body.startswith("#"), F.coalesce(char, F.lit("")))
+        quick = F.when(F.lit(False), "")
+        for name in _COMMON_REFERENCES:
+            spellings = [n for n in (name, name[:-1]) if n in html.entities.html5]
+            quick = quick.when(body.isin(spellings), html.entities.html5[name])
+        return (quick.when(body.startswith("#"), F.coalesce(char, F.lit("")))
                 .otherwise(F.coalesce(
                     F.try_element_at(table, body),
                     F.when(prefix != "", F.concat(
@@ -268,8 +275,8 @@ def unescape_html(c: Column) -> Column:
                     ref)))
 
     refs = F.transform(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0)), decode)
-    texts = F.split(c, _ENTITY, -1)
-    woven = F.transform(texts, lambda t, i: F.concat(t, F.coalesce(F.get(refs, i), F.lit(""))))
+    woven = F.zip_with(F.split(c, _ENTITY, -1), F.concat(refs, F.array(F.lit(""))),
+                       lambda t, r: F.concat(t, r))
     return F.when(c.contains("&"), F.array_join(woven, "")).otherwise(c)
 
 

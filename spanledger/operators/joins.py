@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanledger.operators.support import bounded, settled
+from spanledger.operators.support import settled
 
 
 def ordered_distinct(df: DataFrame, key: str, position: Column, value: str, name: str) -> DataFrame:
@@ -107,8 +107,8 @@ def merge_curated(old: DataFrame, new: DataFrame, keys: list[str], curated: list
 def resolves_any(claims: DataFrame, dictionary: DataFrame, curated: DataFrame,
                  keys: list[str]) -> DataFrame:
     """Why each claim stands: found in a dictionary, curated, marked as no option, or not at all."""
-    d = (claims.join(bounded(dictionary.select(*keys, F.lit(1).alias("_d")).distinct()), keys, "left")
-         .join(bounded(curated.select(*keys, F.lit(1).alias("_c")).distinct()), keys, "left"))
+    d = (claims.join(dictionary.select(*keys, F.lit(1).alias("_d")).distinct(), keys, "left")
+         .join(curated.select(*keys, F.lit(1).alias("_c")).distinct(), keys, "left"))
     marked = ~F.col("name").startswith("-") & F.col("license_class").isNotNull()
     return d.select(*claims.columns, F.when(F.col("_d").isNotNull(), "dictionary")
                     .when(F.col("_c").isNotNull(), "curated").when(marked, "marked")

@@ -16,16 +16,11 @@ def ngram_overlap(texts: DataFrame, key: str, text: str, protected: DataFrame,
     Gives (key, distinct shared grams, first of them in order). The protected grams form
     one distinct set, so a boilerplate gram meets each text once and no pairs of texts are
     emitted. Within the checked bound the set is broadcast and the texts are never
-    shuffled for the join; beyond it both sides shuffle on the gram's hash. Either way the
-    hash only routes: equality of the grams themselves decides.
+    shuffled for the join; beyond it both sides shuffle on the gram.
     """
-    grams = (protected.select(F.explode(F.array_distinct(T.ngrams(F.col(protected_text), n)))
-                              .alias("gram")).distinct()
-             .select(F.xxhash64("gram").alias("_h"), F.col("gram").alias("_protected")))
-    own = (texts.select(key, F.explode(T.ngrams(F.col(text), n)).alias("gram"))
-           .withColumn("_h", F.xxhash64("gram")))
-    shared = own.join(bounded(grams, broadcast_rows), "_h").where(
-        F.col("gram") == F.col("_protected"))
+    every = protected.select(F.explode(F.array_distinct(T.ngrams(F.col(protected_text), n))).alias("gram"))
+    own = texts.select(key, F.explode(T.ngrams(F.col(text), n)).alias("gram"))
+    shared = own.join(bounded(every.distinct(), broadcast_rows, at_most=every), "gram", "left_semi")
     # Distinct by partial aggregation first: a gram repeated in one text counts once.
     per_gram = shared.groupBy(key, "gram").agg(F.lit(1).alias("_one"))
     return per_gram.groupBy(key).agg(F.count("*").alias("shared_grams"),

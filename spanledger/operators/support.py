@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,13 +12,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS, at_most: DataFrame | None = None) -> DataFrame:
     """Mark a side for broadcast only after counting that it holds at most ``max_rows``.
 
     Beyond that it is returned as it is, and the join shuffles on its keys with adaptive
-    skew splitting. The count stops at the limit, so a large side is never read whole for it.
+    skew splitting. The count stops at the limit, so a large side is never read whole for
+    it. ``at_most`` may name a frame that is cheaper to count and has no fewer rows.
     """
-    few = df.limit(max_rows + 1).count() <= max_rows
+    few = (at_most or df).limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if few else df
 
 
@@ -31,14 +33,23 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(one))
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a temporary one only where none is named, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return df.checkpoint()
+    """Cut the lineage: write the rows once as a table in the shared folder and read it back.
+
+    The table outlives lost executors, and readers prune its columns.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @lru_cache(maxsize=None)

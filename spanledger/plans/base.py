@@ -27,7 +27,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id", "events": "event_id"}
+TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id", "events": "event_id",
+             "orders": "o_orderkey", "part": "p_partkey"}
 
 
 def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ from spanledger.operators import patterns as P
 from spanledger.operators import search as S
 from spanledger.operators import windows as X
 from spanledger.operators.lines import explode_lines, with_prompt
-from spanledger.operators.support import computed
+from spanledger.operators.support import settled
 from spanledger.plans.base import (DOC_LINES, LOG, LOG_COMMANDS, command_log, document_lines, query, table,
                                    texts)
 
@@ -176,7 +176,8 @@ def inverted_index(spark, sf):
 select token, doc_id, doc_id - coalesce(lag(doc_id) over (partition by token order by doc_id), 0) as delta, doc_id as decoded
 from ({_POSTINGS})""")
 def posting_deltas(spark, sf):
-    coded = S.delta_encode(_postings(spark, sf), "doc_id")
+    # Postings and coded lists are tables that are stored once and read by what follows.
+    coded = settled(S.delta_encode(settled(_postings(spark, sf)), "doc_id"))
     return S.delta_decode(coded, "doc_id").select("token", "doc_id", "delta", "decoded")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanledger.operators import mining as M
+from spanledger.operators.support import computed
 from spanledger.plans.base import query, table, texts
 from spanledger.sources import captures as K
 from spanledger.sources import manifests as A
@@ -44,7 +45,7 @@ _XML = """concat('<Group id="V-', p_partkey, '"><Rule id="R-', p_partkey, '" sev
 
 
 def _rules(spark, sf):
-    xml = table(spark, sf, "part").select(F.expr(_XML).alias("xml"))
+    xml = texts(spark, sf, "part").select(F.expr(_XML).alias("xml"))
     return X.rule_rows(X.parse_groups(xml, "xml"))
 
 
@@ -172,9 +173,9 @@ def capture_ingest(spark, sf):
     folder = F.when(m == 4, F.lit("6")).otherwise(rel)
     name = F.when(m == 5, F.concat(F.lit("x-"), k.cast("string"))).otherwise(entry)
     copies = F.when(m == 6, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
-    files = table(spark, sf, "orders").select(F.explode(copies).alias("top"), folder.alias("f"), name.alias("n"),
-                                              body.alias("body")).select(
-        F.concat_ws("/", "top", "f", F.concat("n", F.lit(".json"))).alias("path"), "body")
+    path = F.concat_ws("/", F.col("top"), folder, F.concat(name, F.lit(".json")))
+    files = computed(texts(spark, sf, "orders").withColumn("top", F.explode(copies)),
+                     {"path": path, "body": body}).select("path", "body")
     good, errors = K.index_captures(files)
     number = F.regexp_extract("path", r"-([0-9]+)\.json$", 1).cast("bigint")
     return errors.select(F.lit("error").alias("what"), number.alias("k"), "code").unionByName(
@@ -193,7 +194,7 @@ _MAN = """concat('NAME', chr(10), '  tool', p_partkey, ' - ', p_name, chr(10), c
 
 def manuals(spark, sf):
     body = F.expr(_MAN.replace("chr(10)", "decode(unhex('0A'), 'UTF-8')"))
-    return table(spark, sf, "part").select(
+    return texts(spark, sf, "part").select(
         "p_partkey", F.concat(F.lit("tool"), F.col("p_partkey").cast("string")).alias("own"), body.alias("text"))
 
 
@@ -223,7 +224,7 @@ _HELP = """concat('Usage: tool', p_partkey, ' [options]', chr(10), '  -H --host=
 
 def help_pages(spark, sf):
     body = F.expr(_HELP.replace("chr(10)", "decode(unhex('0A'), 'UTF-8')"))
-    return table(spark, sf, "part").select("p_partkey", body.alias("text"))
+    return texts(spark, sf, "part").select("p_partkey", body.alias("text"))
 
 
 @query("help_options", """

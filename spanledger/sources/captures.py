@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanledger.operators.support import computed, settled
 from spanledger.sources.text import read_files
 
 FIELDS = ("entry_id rhel_version host redhat_release kernel pkg_versions command_as_run exit_code stdout "
@@ -29,14 +30,16 @@ def index_captures(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     its digest, and a key may come from one file only: the first path keeps it.
     """
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    d = files.withColumn("j", F.from_json("body", SCHEMA, opts)).withColumns({
+    d = computed(files, {
+        "j": F.from_json("body", SCHEMA, opts),
+        "_keys": F.coalesce(F.json_object_keys("body"), F.array().cast("array<string>")),
         "_dir": F.regexp_extract("path", r"([^/]+)/[^/]+$", 1),
-        "_name": F.regexp_extract("path", r"([^/]+)\.json$", 1)})
+        "_name": F.regexp_extract("path", r"([^/]+)\.json$", 1)}).drop("body")
+    d = computed(d, {"_agrees": F.sha2("j.command_as_run", 256) == F.col("j.command_hash_at_capture")})
     bad = F.col("j._bad").isNotNull() | F.col("j").isNull()
-    keys = F.coalesce(F.json_object_keys("body"), F.array())
-    absent = F.array_except(F.array(*map(F.lit, FIELDS)), keys)
+    absent = F.array_except(F.array(*map(F.lit, FIELDS)), F.col("_keys"))
     whole = ~bad & (F.size(absent) == 0)
-    agrees = whole & (F.sha2("j.command_as_run", 256) == F.col("j.command_hash_at_capture"))
+    agrees = whole & F.coalesce("_agrees", F.lit(False))
     codes = F.when(bad, F.array(F.lit("not-json"))).otherwise(F.concat(
         F.transform(absent, lambda f: F.concat(F.lit("missing-"), f)),
         F.array_compact(F.array(
@@ -44,10 +47,10 @@ def index_captures(files: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.when(agrees & (F.col("j.rhel_version") != F.col("_dir")), "release-differs-from-path"),
             F.when(agrees & (F.col("j.rhel_version") == F.col("_dir"))
                    & (F.col("j.entry_id") != F.col("_name")), "entry-differs-from-name")))))
-    d = d.withColumn("codes", codes)
-    good = d.where(F.size("codes") == 0).select("path", "j.*").drop("_bad")
-    owner = good.groupBy("entry_id", "rhel_version").agg(F.min("path").alias("_owner"))
-    good = good.join(owner, ["entry_id", "rhel_version"])
-    errors = d.select("path", F.explode("codes").alias("code")).unionByName(
-        good.where(F.col("path") != F.col("_owner")).select("path", F.lit("duplicate-key").alias("code")))
-    return good.where(F.col("path") == F.col("_owner")).drop("_owner"), errors
+    # One narrow row per file is kept, so that the checks below do not parse the files again.
+    judged = settled(d.select("path", "j.entry_id", "j.rhel_version", codes.alias("codes")))
+    sound = judged.where(F.size("codes") == 0)
+    winners = sound.groupBy("entry_id", "rhel_version").agg(F.min("path").alias("path")).select("path")
+    errors = judged.select("path", F.explode("codes").alias("code")).unionByName(
+        sound.join(winners, "path", "left_anti").select("path", F.lit("duplicate-key").alias("code")))
+    return d.select("path", "j.*").drop("_bad").join(winners, "path", "left_semi"), errors
