@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanledger.functions import text as T
@@ -74,3 +74,27 @@ def control_violations(df: DataFrame, key: str, exempt: tuple[str, ...] = ()) ->
     bad = F.array_compact(F.array(*[
         F.when(~T.single_line(F.col(n)), F.lit(n)) for n in names]))
     return df.select(F.col(key).cast("string").alias("row_key"), F.explode(bad).alias("column_name"))
+
+
+# A prompt line and up to eight lines that trailing backslashes join to it; a blank line ends it.
+_CANDIDATE = r"(?m)^[ \t\r]*[$#][ \t]+[^\s][^\n]*?(?:\\[ \t\r]*\n[ \t]*(?:[^\s][^\n]*?|(?=\n|\z))){0,8}[ \t\r]*$"
+
+
+def staged_candidates(files: DataFrame, key: str, text: str) -> DataFrame:
+    """Prompt lines of each file with continued lines joined: (key, line_no, prompt, command, joined).
+
+    The joins happen inside the file's row, by one expression; only the candidates' line
+    numbers are summed up over the file, whose size its row bounds.
+    """
+    cut = computed(files.select(key, text), {
+        "_found": F.regexp_extract_all(text, F.lit(_CANDIDATE), F.lit(0)), "_between": F.split(text, _CANDIDATE, -1)})
+    pairs = F.zip_with("_found", "_between", lambda c, b: F.struct(c.alias("raw"), b.alias("gap")))
+    newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    d = cut.select(key, F.posexplode(F.filter(pairs, lambda p: p["raw"].isNotNull())).alias("_i", "_p"))
+    d = computed(d, {"raw": F.col("_p.raw"), "_lines": newlines(F.col("_p.raw")), "_gap": newlines(F.col("_p.gap"))})
+    before = Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("_gap") + F.col("_lines")).over(before), F.lit(0)) + F.col("_gap") + 1
+    body = F.regexp_extract("raw", r"(?s)^[ \t\r]*[$#][ \t]+(.*)\z", 1)
+    one_line = F.regexp_replace(body, r"[ \t\r]*\\[ \t\r]*\n[ \t]*(?=[^\s])", " ")
+    return d.select(key, start.cast("bigint").alias("line_no"), F.regexp_extract("raw", r"[$#]", 0).alias("prompt"),
+                    T.escape_invisible(T.strip(one_line)).alias("command"), F.col("_lines").cast("bigint").alias("joined"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanledger.operators import mining as M
+from spanledger.operators.lines import staged_candidates
 from spanledger.operators.support import computed
 from spanledger.plans.base import query, table, texts
 from spanledger.sources import captures as K
@@ -243,3 +244,21 @@ select p_partkey, unnest([cast(1 as bigint), 2, 3, 4, 5]) as option_no,
 def continued_descriptions(spark, sf):
     return M.described_options(help_pages(spark, sf), "p_partkey", "text").select(
         "p_partkey", "option_no", "option", "description")
+
+
+# A small shell session per part: joined lines, a blank that ends a join, a plain line, and
+# a join longer than the limit on some.
+_SESSION = """concat('intro', NL, '$ tool ', p_name, ' ', BS, NL, '    --size ', p_size, ' ', BS, ' ', NL, '  -v', NL, 'plain ', BS, NL,
+ '# next ', p_brand, BS, NL, NL, '  $ last ', p_partkey, NL, case when p_size % 10 = 0 then
+ concat('# long', repeat(concat(' ', BS, NL, '  x'), 10), NL) else '' end)"""
+
+
+@query("joined_lines", """
+select p_partkey, unnest([cast(2 as bigint), 6, 8]) as line_no, unnest(['$', '#', '$']) as prompt,
+  unnest(['tool ' || p_name || ' --size ' || p_size || ' -v', 'next ' || p_brand || chr(92), 'last ' || p_partkey]) as command,
+  unnest([cast(2 as bigint), 1, 0]) as joined from part
+union all select p_partkey, 9, '#', 'long x x x x x x x x ' || chr(92), 8 from part where p_size % 10 = 0""")
+def joined_lines(spark, sf):
+    body = _SESSION.replace("NL", "decode(unhex('0A'), 'UTF-8')").replace("BS", "decode(unhex('5C'), 'UTF-8')")
+    files = computed(texts(spark, sf, "part"), {"body": F.expr(body)})
+    return staged_candidates(files, "p_partkey", "body")
