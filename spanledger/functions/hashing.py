@@ -11,6 +11,17 @@ def content_id(text: Column, prefix: str = "ref-") -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(text, 256), 1, 16))
 
 
+def text_key(text: Column) -> Column:
+    """The whole sha-256 as 32 bytes: stands for a text where it is only grouped or joined,
+    so that lines of any length cross the network as a short key."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def key_id(key: Column, prefix: str = "ref-") -> Column:
+    """The content identifier of the text a ``text_key`` stands for."""
+    return F.concat(F.lit(prefix), F.lower(F.substring(F.hex(key), 1, 16)))
+
+
 def canonical_text(df, columns=None) -> Column:
     """One row as text: columns by name, nulls marked, numbers in fixed notation."""
     parts = []

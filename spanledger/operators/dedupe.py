@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions import text as T
-from spanledger.functions.hashing import content_id
+from spanledger.functions.hashing import content_id, text_key
 from spanledger.operators.windows import first_per_group
 
 OCC = ["release", "s", "g", "p"]
@@ -15,13 +15,14 @@ OCC = ["release", "s", "g", "p"]
 def citations(hits: DataFrame, guide_cap: int = 2, per: list[str] | None = None) -> DataFrame:
     """Distinct (text, release, s, g, p), each with the field and line of its first hit.
 
-    Guide citations (``g`` set) stop at ``guide_cap`` per text, or per text and ``per``.
-    The long form keeps a line that a third of all documents share from becoming one row.
+    Texts appear as their ``key``. Guide citations (``g`` set) stop at ``guide_cap`` per
+    text, or per text and ``per``. The long form keeps a line that a third of all documents
+    share from becoming one row.
     """
-    first = hits.groupBy("text", *OCC).agg(
-        F.min(F.struct("seq", "field", "line_no")).alias("_first"))
-    flat = first.select("text", *OCC, "_first.*")
-    capped = first_per_group(flat.where(F.col("g").isNotNull()), ["text", *(per or [])],
+    keyed = hits.select(text_key(F.col("text")).alias("key"), *OCC, "seq", "field", "line_no")
+    first = keyed.groupBy("key", *OCC).agg(F.min(F.struct("seq", "field", "line_no")).alias("_first"))
+    flat = first.select("key", *OCC, "_first.*")
+    capped = first_per_group(flat.where(F.col("g").isNotNull()), ["key", *(per or [])],
                              ["seq"], guide_cap).drop("position")
     return flat.where(F.col("g").isNull()).unionByName(capped)
 

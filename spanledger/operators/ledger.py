@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions import words as W
+from spanledger.functions.hashing import text_key
 
 CELL = ["family", "release"]
 
@@ -17,12 +18,12 @@ def closure_ledger(judged: DataFrame, recorded: DataFrame) -> DataFrame:
     ``recorded`` is the written record table: a taken line counts as recorded only when
     its text is found there, so the check can fail.
     """
-    texts = recorded.select("text", F.lit(1).alias("_kept")).distinct()
+    texts = recorded.select(text_key(F.col("text")).alias("_key"), F.lit(1).alias("_kept")).distinct()
     # Pre-aggregate to distinct texts per cell, so that a hot text joins as one row.
-    per_text = judged.groupBy(*CELL, "text").agg(
+    per_text = judged.groupBy(*CELL, text_key(F.col("text")).alias("_key")).agg(
         F.count("*").alias("_lines"), F.count_if(F.col("reason").isNull()).alias("_taken"),
         F.count_if(F.col("reason") == "unparseable").alias("_unparsed"))
-    d = per_text.join(texts, "text", "left")
+    d = per_text.join(texts, "_key", "left")
     taken = F.col("_taken") > 0
     return d.groupBy(*CELL).agg(
         F.sum("_lines").alias("candidates"), F.sum("_taken").alias("classified"),

@@ -11,40 +11,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
+def running(df: DataFrame, keys: list[str], order: list[str], bucket: Column | str,
             sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None,
             last: dict[str, Column] | None = None) -> DataFrame:
     """Adds running sums and maxima up to the row, and the value of the row before.
 
     ``bucket`` must not decrease along ``order``. ``last`` gives the previous row's value
-    of an expression (null on a key's first row).
+    of an expression (null on a key's first row). Calls that follow each other should name
+    a bucket column of the table: the rows then stay where the first call put them.
     """
     sums, maxes, last = sums or {}, maxes or {}, last or {}
-    base = df.withColumn("_b", bucket)
+    b = bucket if isinstance(bucket, str) else "_b"
+    base = df if isinstance(bucket, str) else df.withColumn(b, bucket)
     for name, expr in {**sums, **maxes, **last}.items():
         base = base.withColumn(f"_x_{name}", expr)
+    kept = [c for c in df.columns if c != b]
     pos = F.struct(*order)
-    totals = base.groupBy(*keys, "_b").agg(
+    totals = base.groupBy(*keys, b).agg(
         *[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in sums],
         *[F.max(f"_x_{n}").alias(f"_t_{n}") for n in maxes],
         *[F.max_by(f"_x_{n}", pos).alias(f"_t_{n}") for n in last],
         F.count("*").alias("_rows"))
-    over = Window.partitionBy(*keys).orderBy("_b")
+    over = Window.partitionBy(*keys).orderBy(b)
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        *keys, "_b",
+        *keys, b,
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
         *[F.max(f"_t_{n}").over(before).alias(f"_c_{n}") for n in maxes],
         *[F.lag(f"_t_{n}").over(over).alias(f"_c_{n}") for n in last])
-    inner = Window.partitionBy(*keys, "_b").orderBy(*order)
+    inner = Window.partitionBy(*keys, b).orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
     local = base.select(
-        *df.columns, "_b",
+        *kept, b,
         *[F.sum(f"_x_{n}").over(upto).alias(f"_l_{n}") for n in sums],
         *[F.max(f"_x_{n}").over(upto).alias(f"_l_{n}") for n in maxes],
         *[F.lag(f"_x_{n}").over(inner).alias(f"_l_{n}") for n in last],
         F.row_number().over(inner).alias("_rn"))
-    joined = local.join(carried, [*keys, "_b"], "left")
+    joined = local.join(carried, [*keys, b], "left")
     return joined.select(
         *df.columns,
         *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(n) for n in sums],
@@ -105,14 +108,14 @@ def runs(df: DataFrame, keys: list[str], order: list[str], value: str, bucket: C
 
     Adds ``run_no`` and ``piece_no``, both from 1; a piece holds at most ``piece`` rows.
     """
-    d = running(df, keys, order, bucket, last={"_prev": F.col(value)},
+    d = running(df.withColumn("_bucket", bucket), keys, order, "_bucket", last={"_prev": F.col(value)},
                 sums={"_rank": F.lit(1).cast("bigint")})
     start = F.when(F.col("_prev").eqNullSafe(F.col(value)), F.lit(0)).otherwise(1).cast("bigint")
-    d = running(d.withColumn("_start", start), keys, order, bucket,
+    d = running(d.withColumn("_start", start), keys, order, "_bucket",
                 sums={"run_no": F.col("_start")},
                 maxes={"_run_start": F.when(F.col("_start") == 1, F.col("_rank"))})
     return d.withColumn("piece_no", F.expr(f"(_rank - _run_start) div {piece} + 1")).drop(
-        "_prev", "_rank", "_start", "_run_start")
+        "_prev", "_rank", "_start", "_run_start", "_bucket")
 
 
 def window_counts(anchors: DataFrame, points: DataFrame, keys: list[str], pos: str,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanledger.functions import text as T
 from spanledger.functions import words as W
+from spanledger.functions.hashing import key_id, text_key
 from spanledger.operators import classify as C
 from spanledger.operators import dedupe as D
 from spanledger.operators import ledger as G
@@ -13,6 +14,7 @@ from spanledger.operators import overlap as O
 from spanledger.operators.integrity import resolve_anchors
 from spanledger.operators.lines import explode_lines, with_prompt
 from spanledger.operators.mining import mine
+from spanledger.operators.support import settled
 from spanledger.operators.windows import cell_stride_sample
 from spanledger.plans.base import (DOC_LINES, LOG, command_log, document_lines, query, sql_list,
                                    sql_strip, sql_tokens, table, texts)
@@ -142,8 +144,8 @@ def mine_corpus(spark, sf):
                                     F.coalesce("tool", F.lit("")).alias("tool"))
 
 
-# The record table keeps texts of up to eighty characters, so that some citations that were
-# accepted are not recorded and the ledger has something to report.
+# The record table loses the longer texts on purpose: those citations were accepted but are
+# not recorded, and the ledger has to show it.
 _RECORDED = "select distinct text from j where reason is null and length(text) <= 28"
 _LEDGER = f"""
 with j as ({JUDGED}), rec as ({_RECORDED})
@@ -156,7 +158,8 @@ from j left join rec on rec.text = j.text group by family, release"""
 
 
 def _ledger(spark, sf):
-    d = judged(spark, sf).select("family", "release", "text", "reason")
+    # The mined lines are a table that is written once; the ledger audits what was written.
+    d = settled(judged(spark, sf).select("family", "release", "text", "reason"))
     kept = d.where(F.col("reason").isNull() & (F.length("text") <= 28))
     return d, G.closure_ledger(d, kept)
 
@@ -257,16 +260,15 @@ with f as (select text, release, s, g, min(seq) as seq, arg_min(field, seq) as f
 select 'ref-' || substr(sha256(text), 1, 16) as id, release, coalesce(s, '') as s, coalesce(g, '') as g, field, line_no
 from (select *, row_number() over (partition by text, g is null order by seq) as rn from f) where g is null or rn <= 2""")
 def line_citations(spark, sf):
-    from spanledger.functions.hashing import content_id
     c = D.citations(_hits(spark, sf))
-    return c.select(content_id(F.col("text")).alias("id"), "release", F.coalesce("s", F.lit("")).alias("s"),
+    return c.select(key_id(F.col("key")).alias("id"), "release", F.coalesce("s", F.lit("")).alias("s"),
                     F.coalesce("g", F.lit("")).alias("g"), "field", "line_no")
 
 
 @query("union_families", f"""
 select family, release, count(*) as n_lines, count(distinct text) as n_texts from ({_HITS}) group by all""")
 def union_families(spark, sf):
-    per_text = _hits(spark, sf).groupBy("family", "release", "text").agg(F.count("*").alias("n"))
+    per_text = _hits(spark, sf).groupBy("family", "release", text_key(F.col("text")).alias("key")).agg(F.count("*").alias("n"))
     return per_text.groupBy("family", "release").agg(
         F.sum("n").alias("n_lines"), F.count("*").alias("n_texts"))
 
