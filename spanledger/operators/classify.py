@@ -31,9 +31,11 @@ def _with_heads(df: DataFrame, text: str, decide_early: bool) -> DataFrame:
     """
     c = F.col(text)
     d = computed(df, {"_stage": T.first_stage(c), "_first": T.first_token(c)})
-    d = computed(d, {"_early": _early_verdict(c) if decide_early else F.lit(None).cast("string")})
+    given = F.col("preset") if "preset" in df.columns else F.lit(None).cast("string")
+    early = F.when(given.isNotNull(), given).otherwise(_early_verdict(c))
+    d = computed(d, {"_early": early if decide_early else F.lit(None).cast("string")})
     is_open = F.col("_early").isNull()
-    d = computed(d, {"_toks": F.when(is_open, T.tokens(c)),
+    d = computed(d, {"_toks": F.when(is_open | (F.col("_early") == "by-shape"), T.tokens(c)),
                      "_head_tok": F.when(is_open, T.command_head(F.col("_stage")))})
     return computed(d, {"_prose": F.coalesce(T.prose_like(F.col("_toks")), F.lit(False)),
                         "_tui": F.coalesce(T.tui_like(F.col("_toks")), F.lit(False)),
@@ -72,7 +74,8 @@ def classify(lines: DataFrame, evidence: DataFrame, unavailable: DataFrame,
 
     ``lines`` needs ``command``, ``prompt`` and ``release``; ``evidence`` comes from
     ``head_evidence``. What is known of a head, and the (release, head) exclusions, come
-    from left joins.
+    from left joins. A column ``preset`` may hold reasons already known, or ``by-shape``
+    for lines that are to be declined by their shape alone; it is consumed.
     """
     heads = evidence.select(F.col("head").alias("_head"), F.col("in_vocab").alias("_in_vocab"),
                             (F.col("support") > 0).alias("_in_strong"))
@@ -104,7 +107,7 @@ def classify(lines: DataFrame, evidence: DataFrame, unavailable: DataFrame,
               .when(F.col("_verdict").isin("by-shape", "by-evidence"), shape).otherwise(F.col("_verdict")))
     d = computed(d, {"reason": reason})
     return (d.withColumn("tool", F.when(F.col("reason").isNull(), head))
-            .drop(*[n for n in d.columns if n.startswith("_")]))
+            .drop("preset", *[n for n in d.columns if n.startswith("_")]))
 
 
 def closed_reason(reason):

@@ -159,14 +159,11 @@ def mine(lines: DataFrame, unavailable: DataFrame, trusted: list[str] = W.COMMON
     tool and reason (null when taken). Lines without a prompt are declined by shape.
     """
     d = computed(lines, {"text": T.strip(F.col("line"))}).where(F.col("text") != "")
-    d = computed(with_prompt(d), {"_banner": F.col("text").rlike("^#[!#]")})
-    candidate = (F.col("command") != "") & ~F.col("_banner")
-    candidates = d.where(candidate).drop("_banner")
-    evidence = settled(C.head_evidence(candidates.select("command", "prompt")))
-    taken = C.classify(candidates, evidence, unavailable, trusted, policy).withColumn(
-        "text", F.col("command"))
-    others = computed(d.where(~candidate), {"_toks": T.tokens(F.col("text"))})
-    shape = T.residue_reason(F.col("text"), F.col("_toks"), T.prose_like(F.col("_toks")), T.tui_like(F.col("_toks")))
-    declined = computed(others, {"reason": F.when(F.col("_banner"), "config-fragment").otherwise(shape)}).withColumn(
-        "tool", F.lit(None).cast("string")).drop("_banner", "_toks")
-    return taken.unionByName(declined)
+    banner, prompted = F.col("text").rlike("^#[!#]"), F.col("command") != ""
+    d = computed(with_prompt(d), {"preset": F.when(banner, "config-fragment").when(~prompted, "by-shape")})
+    candidates = d.where(F.col("preset").isNull()).select("command", "prompt")
+    evidence = settled(C.head_evidence(candidates))
+    # Candidates and other lines are judged in one pass over the corpus.
+    d = d.withColumn("text", F.when(F.col("preset").isNull(), F.col("command")).otherwise(F.col("text")))
+    judged = C.classify(d.withColumn("command", F.col("text")), evidence, unavailable, trusted, policy)
+    return judged.drop("command").withColumn("command", F.col("text"))
