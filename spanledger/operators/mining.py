@@ -14,16 +14,20 @@ from spanledger.operators.support import computed, settled
 from spanledger.operators.windows import forward_fill
 
 HEADING = r"^[A-Z][A-Z0-9 '/-]{1,60}$"
-NAME = r"^-{1,2}[A-Za-z0-9][\w-]*(=\S*)?$"
+MAN_HEADING = r"^[A-Z][A-Z0-9 ,/'-]*$"
 
 
-def section_lines(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """Lines of each page with the heading they stand under; heading lines are dropped."""
+def section_lines(pages: DataFrame, key: str, text: str, heading: str = HEADING) -> DataFrame:
+    """Lines of each page with the heading they stand under and its line, ``section_at``.
+
+    Heading lines are dropped; lines before the first heading have no section.
+    """
     lines = explode_lines(pages, text, key)
-    heading = F.when(F.col("line").rlike(r"^\S") & T.strip(F.col("line")).rlike(HEADING),
-                     T.strip(F.col("line")))
-    d = lines.withColumn("_h", heading)
-    return forward_fill(d, [key], "line_no", F.col("_h"), "section").where(F.col("_h").isNull()).drop("_h")
+    is_heading = F.col("line").rlike(r"^\S") & T.strip(F.col("line")).rlike(heading)
+    d = computed(lines, {"_h": F.when(is_heading, F.struct(
+        F.col("line_no").alias("at"), T.strip(F.col("line")).alias("name")))})
+    d = forward_fill(d, [key], "line_no", F.col("_h"), "_s").where(F.col("_h").isNull())
+    return d.select(*lines.columns, F.col("_s.name").alias("section"), F.col("_s.at").alias("section_at"))
 
 
 def _preference(section: Column) -> Column:
@@ -54,14 +58,21 @@ def definition_list(pages: DataFrame, key: str, text: str) -> DataFrame:
     lines = section_lines(pages, key, text).withColumns({
         "_s": T.strip(F.col("line")), "_indent": F.length("line") - F.length(F.ltrim("line")),
         "_pref": _preference(F.coalesce("section", F.lit("")))})
-    best = lines.groupBy(key).agg(F.min("_pref").alias("_best"))
-    body = lines.join(best, key).where(
-        (F.col("_pref") == F.col("_best"))
-        & ((F.col("_pref") != 4) | F.lit(True)))
-    w = Window.partitionBy(key).orderBy("line_no")
+    # All sections about options count, of the others the first one only. A page without any
+    # is read from its first heading on, and one without headings as a whole.
+    best = lines.groupBy(key).agg(F.min("_pref").alias("_best"),
+                                  F.min(F.struct("_pref", "section_at")).getField("section_at").alias("_first_at"),
+                                  F.count("section_at").alias("_titled"))
+    inside = (F.when(F.col("_best") == 0, F.col("_pref") == 0)
+              .when(F.col("_best") < 4, F.col("section_at") == F.col("_first_at"))
+              .otherwise(F.col("section_at").isNotNull() | (F.col("_titled") == 0)))
+    body = lines.join(best, key).where(inside)
+    w = Window.partitionBy(key, "section_at").orderBy("line_no")
     prior = F.last(F.when(F.col("_s") != "", F.struct("_s", "_indent")), ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, -1))
-    body = body.withColumns({"_before": F.coalesce(F.lag("_s").over(w), F.lit("")), "_prior": prior})
+    # A chosen section starts as if after a blank line; in the fallback a heading stands before it.
+    opening = F.when((F.col("_best") == 4) & F.col("section_at").isNotNull(), "heading").otherwise("")
+    body = body.withColumns({"_before": F.coalesce(F.lag("_s").over(w), opening), "_prior": prior})
     wrapped = F.col("_prior._s").startswith("[--") & (F.col("_prior._indent") == F.col("_indent"))
     n_words = F.size(_words(F.col("_s")))
     first = F.rtrim(F.lower(F.regexp_extract("_s", r"^[^\s,]*", 0)), F.lit(".:"))
@@ -139,7 +150,7 @@ def described_options(pages: DataFrame, key: str, text: str) -> DataFrame:
 
 def section_commands(pages: DataFrame, key: str, text: str, own_name: str) -> DataFrame:
     """SYNOPSIS, EXAMPLES and USAGE lines; ``taken`` when they run the page's own program."""
-    lines = (section_lines(pages.select(key, text), key, text)
+    lines = (section_lines(pages.select(key, text), key, text, MAN_HEADING)
              .join(pages.select(key, F.col(own_name).alias("_own")), key))
     usage = F.regexp_extract("line", r"^\s*(?:[Uu]sage|USAGE):\s*(\S.*)$", 1)
     inside = F.col("section").isin("SYNOPSIS", "EXAMPLES")

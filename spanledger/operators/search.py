@@ -86,10 +86,8 @@ def index_search(index: DataFrame, queries: list[str], id_cols: list[str]) -> Da
     matches = F.filter(F.array(*[F.struct(
         F.lit(q).alias("query"), F.lit(t).alias("term"), F.lit(len(set(q.lower().split()))).alias("n"),
         F.col("token").contains(t).alias("ok")) for q, t in wanted]), lambda x: x["ok"])
-    hits = (index.where("|".join(re.escape(t) for _, t in wanted) == ""
-                        if not wanted else F.col("token").rlike(
-                            "|".join(re.escape(t) for _, t in wanted)))
-            .select(*id_cols, F.explode(matches).alias("m")).select(*id_cols, "m.*"))
+    any_term = F.col("token").rlike("|".join(re.escape(t) for _, t in wanted))
+    hits = index.where(any_term).select(*id_cols, F.explode(matches).alias("m")).select(*id_cols, "m.*")
     per_term = hits.groupBy("query", "n", "term", *id_cols).agg(F.lit(1).alias("_one"))
     return (per_term.groupBy("query", "n", *id_cols).agg(F.count("*").alias("_have"))
             .where(F.col("_have") == F.col("n")).select("query", *id_cols))

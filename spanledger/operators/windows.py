@@ -16,7 +16,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], bucket: Column | s
             last: dict[str, Column] | None = None) -> DataFrame:
     """Adds running sums and maxima up to the row, and the value of the row before.
 
-    ``bucket`` must not decrease along ``order``. ``last`` gives the previous row's value
+    Keys must not be null, and ``bucket`` must not decrease along ``order``. ``last`` gives the previous row's value
     of an expression (null on a key's first row). Calls that follow each other should name
     a bucket column of the table: the rows then stay where the first call put them.
     """
