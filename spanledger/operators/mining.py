@@ -55,7 +55,7 @@ def definition_list(pages: DataFrame, key: str, text: str) -> DataFrame:
     that name no option are kind ``unparsed``; a page without any term gives one ``hint``
     row of the dash tokens in its prose.
     """
-    lines = section_lines(pages, key, text).withColumns({
+    lines = computed(section_lines(pages, key, text), {
         "_s": T.strip(F.col("line")), "_indent": F.length("line") - F.length(F.ltrim("line")),
         "_pref": _preference(F.coalesce("section", F.lit("")))})
     # All sections about options count, of the others the first one only. A page without any
