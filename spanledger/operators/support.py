@@ -33,23 +33,54 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(one))
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named, as in tests."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``, which every executor can reach.
+
+    Local sessions that name none get one of their own, as in tests. On a cluster a missing setting is
+    an error: a folder of one machine would lose the rows that other machines write.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows once as a table in the shared folder and read it back.
+class Shelf:
+    """Tables of one run, written once to the shared folder and read back.
 
-    The table outlives lost executors, and readers prune its columns.
+    They cut the lineage, outlive lost executors, and let readers prune columns. ``drop`` removes those
+    that are no longer read; the rest goes when the application ends.
     """
-    path = f"{_shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/spanledger-{uuid.uuid4().hex}"
+        self._path(self.root, "deleteOnExit")
+
+    def _path(self, path: str, action: str, *more) -> None:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        system = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if action == "deleteOnExit":
+            system.mkdirs(where)
+        getattr(system, action)(where, *more)
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._path(f"{self.root}/{name}", "delete", True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write the rows once as a table in the shared folder and read it back."""
+    return Shelf(df.sparkSession).put(df, "settled")
 
 
 @lru_cache(maxsize=None)
