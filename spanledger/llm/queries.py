@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +28,51 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     from spanledger.llm.near_dedup import near_duplicates
     return near_duplicates(table(spark, sf, "documents"))
+
+
+WORDS_SQL = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
+MIX_SQL = f"""
+with d as (select doc_id, source, cast({WORDS_SQL} as bigint) as size, md5(cast(doc_id as varchar)) as h from documents),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+w as (select *, 3 * source_size as cap, ([5, 2, 1])[cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as int)] as weight,
+  cast(sum(source_size) over () as bigint) as budget from s),
+r as (select *, cast(cap as double) / weight as ratio from w),
+l as (select *, cast(cast(budget as bigint) - coalesce(sum(cap) over (order by ratio, source nulls last
+    rows between unbounded preceding and 1 preceding), 0) as double)
+  / cast(sum(weight) over (order by ratio, source nulls last rows between current row and unbounded following) as double) as lv from r),
+m as (select (select lv from l where lv <= ratio order by ratio, source nulls last limit 1) as level),
+g as (select source, source_size, budget, case when level is null or ratio < level then cast(cap as double)
+  else level * weight end as target from l, m),
+e as (select d.*, g.source_size, g.budget, g.target,
+  sum(size) over (partition by d.source order by h, doc_id, size rows between unbounded preceding and current row) as fin
+  from d join g on d.source is not distinct from g.source),
+c as (select *, cast(k * source_size + fin as bigint) / target as finish from e, (select unnest([0, 1, 2]) as k) where size > 0 and target > 0),
+t as (select doc_id, sum(size) as n from (select *, sum(size) over (order by finish, h, doc_id, k rows between unbounded preceding
+  and current row) as upto from c) where upto <= budget group by doc_id)
+select e.doc_id, e.size, e.source_size, e.target, cast(coalesce(t.n, 0) as bigint) as taken from e left join t on e.doc_id = t.doc_id
+"""
+
+
+@query("op1_mixing", MIX_SQL)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    from spanledger.llm.mixing import queued
+    from spanledger.operators.support import Shelf
+    return queued(table(spark, sf, "documents"), Shelf(spark)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_sharding")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    from spanledger.llm.sharding import sharded
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf, "documents").select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return sharded(rows, [F.col("doc_id"), F.col("text_crc32")]).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op2_token_records")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from spanledger.llm.token_records import record_digests
+    return record_digests(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
