@@ -76,3 +76,22 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 
     from spanledger.llm.token_records import record_digests
     return record_digests(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
+
+
+LINES_SQL = r"""
+with l as (select doc_id, i, ls[i] as line, len(ls) as n from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+o as (select key, max(doc_id) as largest from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+d as (select k.*, o.key is not null and k.doc_id <> o.largest as dropped from k left join o on k.key = o.key)
+select doc_id, cast(max(n) as bigint) as n_lines, cast(sum(cast(dropped as int)) as bigint) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not dropped), '')) as kept_sha256
+from d group by doc_id
+"""
+
+
+@query("op5_line_dedup", LINES_SQL)
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    from spanledger.llm.line_dedup import dedup_lines
+    return dedup_lines(table(spark, sf, "documents"), digest=True)

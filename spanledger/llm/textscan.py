@@ -21,6 +21,7 @@ _rng = np.random.Generator(np.random.PCG64(20240531))
 BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+OTHER_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = {way: np.ones(1, np.uint64) for way in ("up", "down", "seed")}
 
@@ -89,10 +90,38 @@ def spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return begins, np.flatnonzero(end) + 1, np.searchsorted(begins, at)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of all lines between line feeds, and for each text the number of lines before it.
+
+    A text has one line more than line feeds, so an empty one has an empty line.
+    """
+    feeds = np.flatnonzero(data == 10)
+    count = np.searchsorted(feeds, at[1:]) - np.searchsorted(feeds, at[:-1]) + 1
+    before = np.concatenate(([0], np.cumsum(count)))
+    begin, end = np.empty(before[-1], np.int64), np.empty(before[-1], np.int64)
+    inner = np.ones(before[-1], bool)
+    inner[before[:-1]] = False
+    begin[before[:-1]], begin[inner] = at[:-1], feeds + 1
+    inner[:] = True
+    inner[before[1:] - 1] = False
+    end[before[1:] - 1], end[inner] = at[1:], feeds
+    return begin, end, before
+
+
+def stripped(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans without white space at both ends; a blank one becomes empty at its begin."""
+    solid = np.flatnonzero(~SPACE[data])
+    i, j = np.searchsorted(solid, begin), np.searchsorted(solid, end)
+    some = j > i
+    first, last = begin.copy(), begin.copy()
+    first[some], last[some] = solid[i[some]], solid[j[some] - 1] + 1
+    return first, last
+
+
+def prefix_hash(data: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
     """Running polynomial hash, one value more than bytes; a span's hash comes from two of them."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * power("up", len(data)), out=out[1:])
+    np.cumsum(code[data] * power("up", len(data)), out=out[1:])
     return out
 
 

@@ -9,10 +9,10 @@ names files of tasks that succeeded, so repeated attempts leave nothing that is
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,8 @@ from spanledger.operators.support import Shelf
 
 FRAME = 8 + 4 + 4
 INDEX = "place long, doc_id long, file string, at long, bytes long, n_tokens long, before long"
-MOST_KEPT = 400_000  # pieces of text whose ids a worker keeps
+SIGNS = b".,;:!?%*$&#|"
+MOST_KEPT = 600_000  # pieces of text whose ids a worker keeps
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -40,8 +41,6 @@ class Encoder:
     Others encode the whole text.
     """
 
-    SIGNED = re.compile(r"^([A-Za-z]+)([.,;:!?%*$&#|]+)$")
-
     def __init__(self, path: str, end: int):
         import json
         import os
@@ -54,7 +53,7 @@ class Encoder:
         self.end = np.array([end], self.kind).tobytes()
         with open(path, encoding="utf-8") as f:
             self.by_piece = self.checked(json.load(f))
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[bytes, bytes] = {}
 
     @staticmethod
     def checked(told: dict) -> bool:
@@ -67,52 +66,59 @@ class Encoder:
                 and not any(t.get("lstrip") or t.get("rstrip") for t in told.get("added_tokens", ()))
                 and [s.get("type") for s in (told.get("normalizer") or {}).get("normalizers", ())] == ["NFC", "Replace", "Lowercase"])
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.kept) > MOST_KEPT:
-            self.kept.clear()
-        plain = {}
-        for w in new:
-            if m := self.SIGNED.match(w):
-                plain[m[1].lower()] = plain[m[2]] = None
-            elif w.isascii() and w.isalpha():
-                plain[w.lower()] = None
-            else:
-                plain[w] = None
-        ask = [w for w in plain if w not in self.kept]
-        letters = [w for w in ask if w.isalpha() and "ͅ" not in w]
-        # Runs of letters are single pre-tokens, so many of them share one call.
-        for i in range(0, len(letters), 2000):
-            some = letters[i:i + 2000]
-            told = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, owner = np.array(told.ids, self.kind), np.array(told.word_ids, np.int64)
+    def _ask(self, words: list[bytes]) -> None:
+        """Ids of words that are runs of letters or of signs. Many letter runs, each one pre-token, share a call."""
+        for i in range(0, len(words), 4000):
+            some = words[i:i + 4000]
+            told = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
+            ids, owner = np.array(told.ids, self.kind).tobytes(), np.array(told.word_ids, np.int64)
             cuts = np.searchsorted(owner, np.arange(len(some) + 1))
             if len(owner) and owner[-1] == len(some) - 1 and (np.diff(cuts) > 0).all():
-                for w, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist()):
-                    self.kept[w] = ids[a:b].tobytes()
-        rest = [w for w in ask if w not in self.kept]
-        for w, told in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
-            self.kept[w] = np.array(told.ids, self.kind).tobytes()
+                cuts = (cuts * self.kind.itemsize).tolist()
+                self.kept.update((w, ids[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
+            else:
+                self._ask_each(some)
+
+    def _ask_each(self, words: list[bytes]) -> None:
+        told = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
+        self.kept.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(words, told))
+
+    def _learn(self, new: set[bytes]) -> None:
+        letters, other, signed = set(), set(), []
         for w in new:
-            if w not in self.kept:
-                if m := self.SIGNED.match(w):
-                    self.kept[w] = self.kept[m[1].lower()] + self.kept[m[2]]
-                else:
-                    self.kept[w] = self.kept[w.lower()]
-
-    def texts(self, some: list[str | None]) -> list[bytes]:
-        """The ids of each text as bytes, with the end id."""
-        if not self.by_piece:
-            return [np.array(e.ids, self.kind).tobytes() + self.end
-                    for e in self.tokenizer.encode_batch([t or "" for t in some], add_special_tokens=False)]
-        parts = [(t or "").split(" ") for t in some]
+            core = w.rstrip(SIGNS)
+            if core.isalpha() or not core.isascii() and core.decode().isalpha():
+                letters.add(core)
+                if len(core) < len(w):
+                    other.add(w[len(core):])
+                    signed.append((w, len(core)))
+            else:
+                other.add(w)
+        self._ask([w for w in letters if w not in self.kept])
+        self._ask_each([w for w in other if w not in self.kept])
         kept = self.kept
-        new = {w for p in parts for w in p if w not in kept}
-        if new:
-            before = len(kept)
-            self._learn(list(new))
-            if len(kept) < before:
-                self._learn(list({w for p in parts for w in p if w not in kept}))
-        return [b"".join([kept[w] for w in p]) + self.end for p in parts]
+        kept.update((w, kept[w[:n]] + kept[w[n:]]) for w, n in signed)
+
+    def texts(self, some: list[bytes | None]) -> list[bytes]:
+        """The ids of each UTF-8 text as bytes, with the end id.
+
+        Case is folded before the lookup for A-Z only, and not in texts that hold combining marks (which may
+        compose with a small letter alone); texts that may hold special tokens are encoded as they are.
+        """
+        out: list[bytes | None] = [None] * len(some)
+        parts, kept = [], self.kept
+        for i, t in enumerate(some):
+            t = t or b""
+            if not self.by_piece or b"<|" in t:
+                out[i] = np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, self.kind).tobytes() + self.end
+                parts.append([])
+            else:
+                parts.append((t if b"\xcc" in t or b"\xcd" in t else t.lower()).replace(b"\n", b" ").split(b" "))
+        if len(kept) > MOST_KEPT:
+            kept.clear()
+        self._learn(set(chain.from_iterable(parts)).difference(kept))
+        get = kept.__getitem__
+        return [o or b"".join(map(get, p)) + self.end for o, p in zip(out, parts)]
 
 
 def encoder(path: str, end: int) -> Encoder:
@@ -141,7 +147,7 @@ def write_records(docs: DataFrame, by: list[Column], folder: str, tokenizer: str
         name, out = f"{root}/{part:06d}-{uuid.uuid4().hex}.records", None
         at = before = rows = 0
         for b in T.pieces(batches, "text"):
-            payloads = own.texts(b.column(1).to_pylist())
+            payloads = own.texts(b.column(1).cast(pa.binary()).to_pylist())
             data, places = _framed(payloads)
             out = out or system.open_output_stream(name)
             out.write(data)
