@@ -95,3 +95,35 @@ from d group by doc_id
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     from spanledger.llm.line_dedup import dedup_lines
     return dedup_lines(table(spark, sf, "documents"), digest=True)
+
+
+@query("op3_url_filter")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    from spanledger.llm.url_filter import judged, labelled_by_host
+    pages = table(spark, sf, "pages")
+    return judged(pages, labelled_by_host(pages))
+
+
+RULES_SQL = r"""
+with a as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, i, list_slice(w, i, i + 7) as g from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from a where len(w) >= 8)),
+r as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as c from p) where c > 1),
+n as (select doc_id, sum(least(8, coalesce(nxt - i, 8))) as n from (select doc_id, i, lead(i) over (partition by doc_id order by i) as nxt from r) group by doc_id),
+b as (select doc_id, t, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars,
+  cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) as bigint) as n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from a),
+s as (select b.*, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(coalesce(n.n, 0) as bigint) as n_repeat_words
+  from b left join n using (doc_id)),
+f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from s)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed
+  or 10 * n_symbols > 3 * n_words or (n_dup_lines > 3 and 100 * n_dup_lines > 30 * len(string_split(t, chr(10))))
+  or word_chars < 2 * n_words or word_chars > 20 * n_words or 2 * len(regexp_extract_all(t, '!!')) > n_words
+  or 2 * length(regexp_replace(t, '[^\p{L}]+', '', 'g')) < word_chars) as kept
+from f
+"""
+
+
+@query("op8_quality_rules", RULES_SQL)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    from spanledger.llm.quality_rules import cascade
+    return cascade(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
