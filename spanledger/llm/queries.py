@@ -127,3 +127,17 @@ from f
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     from spanledger.llm.quality_rules import cascade
     return cascade(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op7_quality_grade")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """Grades: 0 low quality, 1 good but toxic, 2 good."""
+    from spanledger.llm.ordinal import graded
+    ratings = table(spark, sf, "labels").select("doc_id", F.expr("if(quality = 1, if(toxic = 1, 1, 2), 0)").alias("grade"))
+    return graded(table(spark, sf, "documents"), ratings)
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    from spanledger.llm.toxicity import toxicity
+    return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
