@@ -141,3 +141,9 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     from spanledger.llm.toxicity import toxicity
     return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op6_decontamination")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    from spanledger.llm.decontaminate import decontaminated
+    return decontaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

@@ -153,3 +153,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = X.TRAINING_ROWS) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], ["doc_id", "score"])
     return docs.mapInArrow(score, "doc_id long, score double").select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def kept_texts(docs: DataFrame, labels: DataFrame, rows: int = X.TRAINING_ROWS) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) that score under the threshold, with all columns."""
+    scorer, at = Scorer(docs, labels, rows=rows), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, p in scorer.batches(batches, at):
+            yield b.filter(pa.array(p < THRESHOLD))
+    return docs.mapInArrow(keep, docs.schema)
