@@ -83,13 +83,16 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked. A class with very many partners is met in several salted parts."""
+    """The pairs (a, b) that are linked. A class with very many partners is met in several salted parts.
+
+    The joins name their kind, so that they plan alike at every size.
+    """
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / 2000).cast("int").alias("parts"))
     left = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), "parts").cast("int"))
     one = sets.select(F.col("c").alias("a"), F.col("elements").alias("ea"))
-    other = sets.join(salts, sets["c"] == salts["b"]).select(
+    other = sets.join(salts.hint("shuffle_hash"), sets["c"] == salts["b"]).select(
         "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("elements").alias("eb"))
-    met = left.select("a", "b", "salt").join(one, "a").join(other, ["b", "salt"])
+    met = left.select("a", "b", "salt").join(one.hint("merge"), "a").join(other.hint("merge"), ["b", "salt"])
     return met.select("a", "b", "ea", "eb").mapInArrow(_linked, "a long, b long").distinct()
 
 
@@ -144,14 +147,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     buckets = shelf.put(banded.join(heads, "h").select("h", "c", "least", "k"), "buckets")
     stars = shelf.put(buckets.where("c <> least").select(F.col("c").alias("a"), F.col("least").alias("b")).distinct(), "stars")
     met = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    sets = shelf.put(docs.join(met, "doc_id", "left_semi").mapInArrow(_full_sets, "c long, n long, elements binary"), "sets")
+    sets = shelf.put(docs.join(met.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_full_sets, "c long, n long, elements binary"), "sets")
     first = shelf.put(_verified(stars, sets).union(same_key), "first")
 
     roots = shelf.put(components(first, shelf, "one"), "roots")
     at = buckets.join(roots, buckets["c"] == roots["id"], "left").select("h", "c", "k", F.coalesce("root", "c").alias("comp"))
     split = at.where("k > 2").groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     open_ = shelf.put(at.join(split.select("h"), "h", "left_semi").select("c", "comp").distinct(), "open")
-    rest = sets.join(open_, "c", "left_semi")
+    rest = sets.join(open_.hint("shuffle_hash"), "c", "left_semi")
     more = _prefix_pairs(rest, open_).join(stars, ["a", "b"], "left_anti")
     second = _verified(shelf.put(more, "more"), sets)
 
