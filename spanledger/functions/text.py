@@ -29,7 +29,9 @@ SEPARATORS = ["||", "&&", "|", ";", "\n"]
 STAGE_OR_SEPARATOR = rf"&&|\|\||[|;\n]|{STAGE}"
 SEP = "\x01"
 
-COMMAND_TOKEN = r"^(/[A-Za-z0-9_.+-]+)*/?[A-Za-z0-9_][A-Za-z0-9_.+-]*$"
+# No repeated group: the regular expressions of the JVM recurse for each turn of one, and a long path would
+# overflow the stack. No empty part; the last part of a path holds a word character.
+COMMAND_TOKEN = (r"^(?![^\s]*//)(?:[A-Za-z0-9_][A-Za-z0-9_.+-]*|/[A-Za-z0-9_.+/-]*[A-Za-z0-9_][A-Za-z0-9_.+-]*)$")
 LOWER_BASENAME = r"^[a-z0-9_][a-z0-9_.+-]*$"
 ENV_ASSIGN = r"^[A-Za-z_][A-Za-z0-9_]*="
 PLAIN_WORD = r"^[A-Za-z][A-Za-z'-]*$"

@@ -27,3 +27,18 @@ def test_policies_differ_on_evidence_without_vocabulary(spark, policy, want):
     absent = spark.createDataFrame([], "release string, head string")
     got = {r.n: r.reason for r in mine(df, absent, policy=policy).collect()}
     assert got[2] == want
+
+
+def test_command_token_of_any_length(spark):
+    import re
+
+    from spanledger.functions import text as T
+    plain = re.compile(r"^(/[A-Za-z0-9_.+-]+)*/?[A-Za-z0-9_][A-Za-z0-9_.+-]*$")
+    short = ["a", "/a", "/", "//a", "/a//b", "/a/", "a/b", "/-x", "/x/-", "/x/-y", "-x", ".x", "/.", "/..a", "", "/a/b.c", "a+b", "/a b", "é", "/a/é"]
+    rows = spark.createDataFrame([(t,) for t in short], "t string").selectExpr("t", f"t rlike r'{T.COMMAND_TOKEN}' as ok").collect()
+    assert {r.t: r.ok for r in rows} == {t: bool(plain.search(t)) for t in short}
+    long = spark.createDataFrame([("/x" * 100_000,), ("/x" * 100_000 + "/.",), ("x" * 200_000,)], "t string")
+    for pattern in (T.COMMAND_TOKEN, T.LOWER_BASENAME, T.ENV_ASSIGN, T.PLAIN_WORD, T.PROMPT, T.TIGHT_PROMPT, T.CONFIG_LINE, T.BLOCK_OPENER,
+                    T.EVIDENCE_TOKEN, T.QUOTED_RUN, T.SENTENCE_BOUNDARY):
+        long.select(long.t.rlike(pattern)).collect()
+    assert [r[0] for r in long.select(long.t.rlike(T.COMMAND_TOKEN)).collect()] == [True, False, True]
