@@ -69,11 +69,12 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
                      removed(F.col("host"), r"\.").alias("labels"), (removed(u, "[0-9]") / F.greatest(F.length(u), F.lit(1))).alias("digits"),
                      removed(F.col("host"), "-").alias("hyphens"), F.when(F.col("host") == "", 0.0).otherwise(entropy).alias("entropy"),
                      removed(u, "[?&]").alias("parameters"), removed(u, "[A-Z]").alias("upper"),
-                     F.regexp_extract("host", r"([^.]*)\z", 1).alias("suffix"))
+                     F.xxhash64(F.regexp_extract("host", r"([^.]*)\z", 1)).alias("suffix"))
 
 
 def _with_suffix_rate(df: DataFrame, rates: DataFrame) -> DataFrame:
-    return df.join(rates, "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(0.0)))
+    """Rates are two numbers for each suffix and no more rows than were fitted, so they go to every task."""
+    return df.join(F.broadcast(rates), "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(0.0)))
 
 
 def fitted(labelled: DataFrame, rows: int = TRAINING_ROWS) -> tuple[GBTClassificationModel | None, DataFrame]:
