@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanledger.functions import text as T
 from spanledger.functions import words as W
-from spanledger.operators.support import bounded, computed
+from spanledger.operators.support import computed
 
 
 def _early_verdict(c: Column) -> Column:
@@ -77,12 +77,15 @@ def classify(lines: DataFrame, evidence: DataFrame, unavailable: DataFrame,
     from left joins. A column ``preset`` may hold reasons already known, or ``by-shape``
     for lines that are to be declined by their shape alone; it is consumed.
     """
-    heads = evidence.select(F.col("head").alias("_head"), F.col("in_vocab").alias("_in_vocab"),
+    heads = evidence.select(F.col("head").alias("_key"), F.col("in_vocab").alias("_in_vocab"),
                             (F.col("support") > 0).alias("_in_strong"))
-    absent = unavailable.select("release", F.col("head").alias("_head"),
+    absent = unavailable.select("release", F.col("head").alias("_key"),
                                 F.lit(True).alias("_absent")).distinct()
-    d = (_with_heads(lines, "command", decide_early=True)
-         .join(bounded(heads), "_head", "left").join(bounded(absent), ["release", "_head"], "left"))
+    # Lines decided early meet no head: their keys are spread, so that they do not share a partition.
+    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("command"), F.lit(4096)).cast("string"))
+    d = _with_heads(lines, "command", decide_early=True).withColumn(
+        "_key", F.when(F.col("_early").isNull(), F.col("_head")).otherwise(spread))
+    d = d.join(heads, "_key", "left").join(absent, ["release", "_key"], "left")
     c, head = F.col("command"), F.col("_head")
     vocab = (F.coalesce("_in_vocab", F.lit(False)) | head.isin(trusted)
              | T.in_bin_dir(F.col("_head_tok")))

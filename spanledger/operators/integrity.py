@@ -16,8 +16,8 @@ def fk_violations(child: DataFrame, fk: str, parent: DataFrame, pk: str, label:
     agree = agree or []
     c = child.groupBy(F.col(fk).alias("_k"), *[F.col(a).alias(f"_c{i}") for i, (a, _) in enumerate(agree)]).agg(
         F.count("*").alias("n"))
-    p = parent.select(F.col(pk).alias("_k"), F.lit(1).alias("_found"),
-                      *[F.col(b).alias(f"_p{i}") for i, (_, b) in enumerate(agree)])
+    p = parent.select(F.col(pk).alias("_k"), *[F.col(b).alias(f"_p{i}") for i, (_, b) in enumerate(agree)]).distinct()
+    p = p.withColumn("_found", F.lit(1))
     d = c.where(F.col("_k").isNotNull()).join(p, "_k", "left")
     code = F.when(F.col("_found").isNull(), "unresolved")
     for i in range(len(agree)):

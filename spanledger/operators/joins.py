@@ -91,14 +91,25 @@ def merge_curated(old: DataFrame, new: DataFrame, keys: list[str], curated: list
                   release: str) -> DataFrame:
     """A fresh extract with the curated columns of the old table kept; nothing is dropped.
 
-    Rows that vanished stay and carry the release that lost them in ``removed_in``.
+    All columns of both tables come out. A curated value of the old table wins unless it is null or
+    empty; the other columns are those of the new row, or of the old one where the row has vanished.
+    Such rows stay and carry the release that lost them in ``removed_in``.
     """
-    o = old.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in curated],
+    held = [c for c in dict.fromkeys([*new.columns, *old.columns]) if c not in keys and c != "removed_in"]
+    o = old.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in held if c in old.columns],
                    F.col("removed_in").alias("_removed"), F.lit(True).alias("_o"))
-    n = new.select(*keys, F.lit(True).alias("_n"))
+    n = new.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in held if c in new.columns], F.lit(True).alias("_n"))
     d = n.join(o, keys, "full")
+
+    def value(c: str) -> Column:
+        fresh, kept = (F.col(f"_{side}_{c}") if c in df.columns else None for side, df in (("new", new), ("old", old)))
+        if fresh is None or kept is None:
+            return kept if fresh is None else fresh
+        if c in curated:
+            return F.coalesce(F.when(kept.cast("string") != "", kept), fresh)
+        return F.when(F.col("_n").isNull(), kept).otherwise(fresh)
     return d.select(
-        *keys, *[F.col(f"_old_{c}").alias(c) for c in curated],
+        *keys, *[value(c).alias(c) for c in held],
         F.when(F.col("_n").isNull(), F.coalesce("_removed", F.lit(release))).alias("removed_in"),
         F.when(F.col("_o").isNull(), "new").when(F.col("_n").isNull(), "removed")
         .otherwise("kept").alias("state"))

@@ -101,7 +101,7 @@ def definition_list(pages: DataFrame, key: str, text: str) -> DataFrame:
     parsed = F.when(is_option, F.forall(flag, lambda f: f.startswith("-"))).otherwise(directive)
     out = terms.select(
         key, "line_no", "section",
-        F.when(~parsed, F.substring("_s", 1, 200)).when(is_option, F.array_join(names, ","))
+        F.when(~parsed, F.col("_s")).when(is_option, F.array_join(names, ","))
         .otherwise(words[0]).alias("names"),
         F.when(parsed, F.when(is_option, takes).otherwise(F.size(words) > 1))
         .otherwise(False).alias("takes_arg"),
@@ -109,14 +109,18 @@ def definition_list(pages: DataFrame, key: str, text: str) -> DataFrame:
     loose = body.join(terms.select(key).distinct(), key, "left_anti").select(
         key, F.explode(F.regexp_extract_all("line", F.lit(r"(?<![\w-])(-{1,2}[A-Za-z][\w-]*)"), F.lit(1))).alias("tok"))
     hints = loose.distinct().groupBy(key).agg(
-        F.array_join(F.slice(F.array_sort(F.collect_list("tok")), 1, 40), ", ").alias("names"))
+        F.array_join(F.array_sort(F.collect_list("tok")), ", ").alias("names"))
     return out.unionByName(hints.select(
         key, F.lit(0).cast("bigint").alias("line_no"), F.lit(None).cast("string").alias("section"),
         "names", F.lit(False).alias("takes_arg"), F.lit("hint").alias("kind")))
 
 
 def help_options(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """Options of --help output: the first line for each list of names, with takes_arg."""
+    """Options of --help output: the first line for each list of names, with takes_arg.
+
+    A line that begins with a dash but names no option is ``unparsed``, each one for itself; indented by
+    more than four it belongs to a description and is left out.
+    """
     lines = explode_lines(pages, text, key).withColumn("_s", T.strip(F.col("line")))
     spec = F.split("_s", r"\s{2,}", 2)[0]
     d = lines.where(F.col("_s").startswith("-")).withColumn("_spec", spec)
@@ -126,10 +130,13 @@ def help_options(pages: DataFrame, key: str, text: str) -> DataFrame:
     rest = _words(F.regexp_replace("_spec", r"-{1,2}[A-Za-z0-9][\w-]*(?:=\S+)?", " "))
     takes = F.exists("_found", lambda t: t.contains("=")) | _metavar(rest)
     kind = F.when(F.size("_found") == 0, "unparsed").otherwise("option")
-    d = d.select(key, "line_no", F.when(F.size("_found") == 0, F.substring("_s", 1, 200))
-                 .otherwise(names).alias("names"), takes.alias("takes_arg"), kind.alias("kind"))
+    indent = F.length("line") - F.length(F.ltrim("line"))
+    d = d.where((F.size("_found") > 0) | (indent <= 4)).select(
+        key, "line_no", F.when(F.size("_found") == 0, F.col("_s")).otherwise(names).alias("names"),
+        takes.alias("takes_arg"), kind.alias("kind"))
     first = F.min(F.struct("line_no", "takes_arg")).alias("_f")
-    return d.groupBy(key, "kind", "names").agg(first).select(
+    alone = F.when(F.col("kind") == "unparsed", F.col("line_no")).alias("_alone")
+    return d.groupBy(key, "kind", "names", alone).agg(first).select(
         key, "kind", "names", F.col("_f.line_no").alias("line_no"), F.col("_f.takes_arg").alias("takes_arg"))
 
 

@@ -6,21 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions import text as T
-from spanledger.operators.support import bounded
 
 
 def ngram_overlap(texts: DataFrame, key: str, text: str, protected: DataFrame,
-                  protected_text: str, n: int = 8, broadcast_rows: int = 2_000_000) -> DataFrame:
+                  protected_text: str, n: int = 8) -> DataFrame:
     """Texts that share an n-word run with any protected text.
 
     Gives (key, distinct shared grams, first of them in order). The protected grams form
-    one distinct set, so a boilerplate gram meets each text once and no pairs of texts are
-    emitted. Within the checked bound the set is broadcast and the texts are never
-    shuffled for the join; beyond it both sides shuffle on the gram.
+    the right side of a semi join, so a boilerplate gram meets each text once and no pairs of
+    texts are emitted. Adaptive execution broadcasts that side where its bytes allow it.
     """
     every = protected.select(F.explode(F.array_distinct(T.ngrams(F.col(protected_text), n))).alias("gram"))
     own = texts.select(key, F.explode(T.ngrams(F.col(text), n)).alias("gram"))
-    shared = own.join(bounded(every.distinct(), broadcast_rows, at_most=every), "gram", "left_semi")
+    shared = own.join(every, "gram", "left_semi")
     # Distinct by partial aggregation first: a gram repeated in one text counts once.
     per_gram = shared.groupBy(key, "gram").agg(F.lit(1).alias("_one"))
     return per_gram.groupBy(key).agg(F.count("*").alias("shared_grams"),

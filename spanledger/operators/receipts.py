@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions import text as T
-from spanledger.operators.support import bounded
 
 # Fixed values. Grammars of receipt fields.
 HOST = r"^[a-z0-9][a-z0-9.-]{1,62}$"
@@ -16,8 +15,8 @@ ZONED_TIMESTAMP = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{
 
 
 def _roles(roster: DataFrame, role: str, name: str) -> DataFrame:
-    return bounded(roster.where(F.array_contains("roles", role))
-                   .select(T.normal_name(F.col("name")).alias(name), F.lit(True).alias(f"{name}_ok")).distinct())
+    return roster.where(F.array_contains("roles", role)).select(
+        T.normal_name(F.col("name")).alias(name), F.lit(True).alias(f"{name}_ok")).distinct()
 
 
 def receipt_audit(receipts: DataFrame, captures: DataFrame, current: DataFrame,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,17 +78,29 @@ def ranked_search(frame: DataFrame, queries: list[str], per_kind: int = 8) -> Da
     return best.unionByName(none)
 
 
-def index_search(index: DataFrame, queries: list[str], id_cols: list[str]) -> DataFrame:
-    """Rows holding all terms of a query, found from postings alone.
+def index_search(index: DataFrame, frame: DataFrame, queries: list[str], id_cols: list[str]) -> DataFrame:
+    """Rows of ``frame`` holding all terms of a query: candidates from postings, then their texts.
 
-    A term matches every token that contains it; only those tokens' postings are read.
+    A term is cut into tokens as the texts are; each piece lies inside a token of every row that holds
+    the term, so only the postings of such tokens are read. Signs between tokens and the places of the
+    pieces are verified on the candidates' ``hay``. The index holds tokens of every length (min_len=1).
+    A query without any token character has every row as a candidate.
     """
-    wanted = [(q, t) for q in queries for t in sorted(set(q.lower().split()))]
-    matches = F.filter(F.array(*[F.struct(
-        F.lit(q).alias("query"), F.lit(t).alias("term"), F.lit(len(set(q.lower().split()))).alias("n"),
-        F.col("token").contains(t).alias("ok")) for q, t in wanted]), lambda x: x["ok"])
-    any_term = F.col("token").rlike("|".join(re.escape(t) for _, t in wanted))
-    hits = index.where(any_term).select(*id_cols, F.explode(matches).alias("m")).select(*id_cols, "m.*")
-    per_term = hits.groupBy("query", "n", "term", *id_cols).agg(F.lit(1).alias("_one"))
-    return (per_term.groupBy("query", "n", *id_cols).agg(F.count("*").alias("_have"))
-            .where(F.col("_have") == F.col("n")).select("query", *id_cols))
+    terms = {q: sorted(set(q.lower().split())) for q in queries}
+    pieces = {q: sorted({p for t in ts for p in re.findall(TOKEN, t)}) for q, ts in terms.items()}
+    wanted = [(q, p) for q in queries for p in pieces[q]]
+    candidates = [frame.select(F.lit(q).alias("query"), *id_cols) for q in queries if not pieces[q]]
+    if wanted:
+        matches = F.filter(F.array(*[F.struct(
+            F.lit(q).alias("query"), F.lit(p).alias("piece"), F.lit(len(pieces[q])).alias("n"),
+            F.col("token").contains(p).alias("ok")) for q, p in wanted]), lambda x: x["ok"])
+        any_piece = F.col("token").rlike("|".join(re.escape(p) for p in sorted({p for _, p in wanted})))
+        hits = index.where(any_piece).select(*id_cols, F.explode(matches).alias("m")).select(*id_cols, "m.*")
+        per_piece = hits.groupBy("query", "n", "piece", *id_cols).agg(F.lit(1).alias("_one"))
+        candidates.append(per_piece.groupBy("query", "n", *id_cols).agg(F.count("*").alias("_have"))
+                          .where(F.col("_have") == F.col("n")).select("query", *id_cols))
+    found = reduce(DataFrame.union, candidates)
+    holds = F.lit(False)
+    for q, ts in terms.items():
+        holds = F.when(F.col("query") == q, reduce(Column.__and__, [F.col("hay").contains(t) for t in ts], F.lit(True))).otherwise(holds)
+    return frame.select(*id_cols, "hay").join(found, id_cols).where(holds).select("query", *id_cols)

@@ -1,27 +1,13 @@
-"""Small helpers that keep plans safe at scale: sized broadcasts, lineage cuts, spreading."""
+"""Small helpers that keep plans safe at scale: columns made once, lineage cuts."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-
-
-def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS, at_most: DataFrame | None = None) -> DataFrame:
-    """Mark a side for broadcast only after counting that it holds at most ``max_rows``.
-
-    Beyond that it is returned as it is, and the join shuffles on its keys with adaptive
-    skew splitting. The count stops at the limit, so a large side is never read whole for
-    it. ``at_most`` may name a frame that is cheaper to count and has no fewer rows.
-    """
-    few = (at_most or df).limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
-
 
 def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Adds columns that are evaluated once per row.
@@ -82,22 +68,3 @@ def settled(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows once as a table in the shared folder and read it back."""
     return Shelf(df.sparkSession).put(df, "settled")
 
-
-@lru_cache(maxsize=None)
-def _file_bytes(spark: SparkSession, path: str) -> int:
-    files = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("n"))
-    return files.first().n or 0
-
-
-def read_spread(spark: SparkSession, path: str, *keys: str,
-                bytes_per_core: int = 8 << 20) -> DataFrame:
-    """Read parquet; a table too small to fill the cores by itself is spread over them.
-
-    The file sizes are measured first: a large table keeps its scan partitions and is
-    not shuffled, so the extra exchange only ever moves a few megabytes.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if _file_bytes(spark, path) < cores * bytes_per_core:
-        return df.repartition(cores, *keys)
-    return df

@@ -144,9 +144,7 @@ def mine_corpus(spark, sf):
                                     F.coalesce("tool", F.lit("")).alias("tool"))
 
 
-# The record table loses the longer texts on purpose: those citations were accepted but are
-# not recorded, and the ledger has to show it.
-_RECORDED = "select distinct text from j where reason is null and length(text) <= 28"
+_RECORDED = "select distinct text from j where reason is null"
 _LEDGER = f"""
 with j as ({JUDGED}), rec as ({_RECORDED})
 select family, release, count(*) as candidates, cast(count(*) filter (where reason is null) as bigint) as classified,
@@ -160,7 +158,7 @@ from j left join rec on rec.text = j.text group by family, release"""
 def _ledger(spark, sf):
     # The mined lines are a table that is written once; the ledger audits what was written.
     d = settled(judged(spark, sf).select("family", "release", "text", "reason"))
-    kept = d.where(F.col("reason").isNull() & (F.length("text") <= 28))
+    kept = d.where(F.col("reason").isNull())
     return d, G.closure_ledger(d, kept)
 
 
@@ -171,15 +169,14 @@ def closure_ledger(spark, sf):
 
 @query("ledger_balance", f"""
 with l as ({_LEDGER}), r as (select family, release, count(*) as n from ({JUDGED})
-  where reason is not null and reason <> 'interactive-tui' group by 1, 2)
+  where reason is not null group by 1, 2)
 select l.family, l.release, code from l left join r on r.family = l.family and r.release = l.release, lateral (
   select 'recorded' as code where recorded <> classified union all select 'zero-classified' where classified = 0
   union all select 'candidates' where classified + residue <> candidates
   union all select 'recount' where coalesce(n, 0) <> residue)""")
 def ledger_balance(spark, sf):
     d, ledger = _ledger(spark, sf)
-    # The recount loses the instructions on purpose: those cells must be reported.
-    recount = (d.where(F.col("reason").isNotNull() & (F.col("reason") != "interactive-tui"))
+    recount = (d.where(F.col("reason").isNotNull())
                .groupBy("family", "release").agg(F.count("*").alias("residue_recount")))
     return G.balance_violations(ledger, recount)
 
@@ -295,19 +292,17 @@ def ngram_overlap(spark, sf):
 
 
 @query("licensed_overlap", f"""
-with rows as (select conv_id, turn, text, case when role = 'assistant' then 'paraphrase-only' end as field_license,
-    case when conv_id % 2 = 0 then 'paraphrase-only' else 'verbatim-ok' end as row_license from conversations),
-gov as (select conv_id * 1000000 + turn as k, text from rows where coalesce(field_license, row_license) = 'paraphrase-only'),
-own as ({_GRAMS.format(key='k, ', table='gov')}), prot as ({_GRAMS.format(key='', table='documents')})
+with rows as (select doc_id as k, text, case when lang = 'en' then 'paraphrase-only' end as field_license,
+    case when doc_id % 2 = 0 then 'paraphrase-only' else 'verbatim-ok' end as row_license from documents),
+gov as (select k, text from rows where coalesce(field_license, row_license) = 'paraphrase-only'),
+own as ({_GRAMS.format(key='k, ', table='gov')}), prot as ({_GRAMS.format(key='', table='benchmark')})
 select k, count(*) as shared_grams, min(gram) as first_gram from own semi join prot using (gram) group by k""")
 def licensed_overlap(spark, sf):
-    """Conversations against the documents: a protected side too large for the broadcast bound shuffles."""
-    rows = texts(spark, sf, "conversations").select(
-        F.expr("conv_id * 1000000 + turn").alias("k"), "text",
-        F.when(F.col("role") == "assistant", "paraphrase-only").alias("field_license"),
-        F.when(F.col("conv_id") % 2 == 0, "paraphrase-only").otherwise("verbatim-ok").alias("row_license"))
-    return O.ngram_overlap(O.governed_texts(rows), "k", "text", texts(spark, sf, "documents"), "text",
-                           broadcast_rows=100_000)
+    """Documents under a licence that forbids verbatim text, by language or by row, against the protected texts."""
+    rows = texts(spark, sf, "documents").select(
+        F.col("doc_id").alias("k"), "text", F.when(F.col("lang") == "en", "paraphrase-only").alias("field_license"),
+        F.when(F.col("doc_id") % 2 == 0, "paraphrase-only").otherwise("verbatim-ok").alias("row_license"))
+    return O.ngram_overlap(O.governed_texts(rows), "k", "text", table(spark, sf, "benchmark"), "text")
 
 
 @query("vocab_coverage", """
@@ -315,9 +310,9 @@ with v as (select distinct source, unnest(regexp_extract_all(lower(text), '[a-z0
 b as (select distinct unnest(regexp_extract_all(lower(text), '[a-z0-9-]+')) as w from benchmark),
 m as (select source, count(*) as missing from v anti join b using (w) group by source),
 base as (select source, count(*) * 60 as accepted from documents where source <> 'src0' group by source)
-select source, missing, coalesce(accepted, -1) as accepted, case when accepted is null then 'unmeasured'
-  when missing > accepted then 'grew' when missing < accepted then 'improved' else 'held' end as status
-from m left join base using (source)""")
+select source, coalesce(missing, -1) as missing, coalesce(accepted, -1) as accepted, case when accepted is null then 'unmeasured'
+  when missing is null then 'missing-row' when missing > accepted then 'grew' when missing < accepted then 'improved' else 'held' end as status
+from m full join base using (source)""")
 def vocab_coverage(spark, sf):
     docs = texts(spark, sf, "documents")
     # Distinct inside each text first: most words leave the map side once per text.
@@ -325,10 +320,12 @@ def vocab_coverage(spark, sf):
     known = table(spark, sf, "benchmark").select(F.explode(T.shingle_words(F.col("text"))).alias("w")).distinct()
     missing = own.join(known, "w", "left_anti").groupBy("source").agg(F.count("*").alias("missing"))
     base = docs.where("source <> 'src0'").groupBy("source").agg((F.count("*") * 60).alias("accepted"))
-    status = (F.when(F.col("accepted").isNull(), "unmeasured").when(F.col("missing") > F.col("accepted"), "grew")
+    status = (F.when(F.col("accepted").isNull(), "unmeasured").when(F.col("missing").isNull(), "missing-row")
+              .when(F.col("missing") > F.col("accepted"), "grew")
               .when(F.col("missing") < F.col("accepted"), "improved").otherwise("held"))
-    return missing.join(base, "source", "left").select(
-        "source", "missing", F.coalesce("accepted", F.lit(-1)).alias("accepted"), status.alias("status"))
+    return missing.join(base, "source", "full").select(
+        "source", F.coalesce("missing", F.lit(-1)).alias("missing"), F.coalesce("accepted", F.lit(-1)).alias("accepted"),
+        status.alias("status"))
 
 
 @query("anchor_resolve", f"""

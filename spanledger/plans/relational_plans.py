@@ -8,7 +8,6 @@ from spanledger.operators import integrity as I
 from spanledger.operators import joins as J
 from spanledger.operators import ledger as G
 from spanledger.operators import receipts as R
-from spanledger.operators.support import bounded
 from spanledger.plans.base import query, table, texts
 from spanledger.sources import sinks
 from spanledger.functions import text as T
@@ -21,7 +20,7 @@ with f as (select o_orderkey, p_brand, min((l_linenumber, l_partkey)) as pos
 select o_orderkey, coalesce(string_agg(p_brand, ',' order by pos), '') as brands from f group by o_orderkey""")
 def ordered_distinct_join(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    parts = bounded(table(spark, sf, "part").select("p_partkey", "p_brand"))
+    parts = table(spark, sf, "part").select("p_partkey", "p_brand")
     branded = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
     d = table(spark, sf, "orders").select("o_orderkey").join(
         branded, F.col("o_orderkey") == F.col("l_orderkey"), "left")
@@ -63,9 +62,9 @@ select node, status, cast(target as bigint) as target, cast(hops as bigint) as h
 union all select node, 'ok', node, 0 from n where ptr is null""")
 def pointer_chain(spark, sf):
     part = table(spark, sf, "part")
-    top = bounded(part.agg(F.max("p_partkey").alias("m")))
-    nodes = part.join(top).select(F.col("p_partkey").alias("node"), F.when(
-        F.col("p_size") > 10, (F.col("p_partkey") * 7 + 3) % (F.col("m") + 101)).alias("same_as"))
+    top = part.agg(F.max("p_partkey")).first()[0]
+    nodes = part.select(F.col("p_partkey").alias("node"), F.when(
+        F.col("p_size") > 10, (F.col("p_partkey") * 7 + 3) % (F.lit(top) + 101)).alias("same_as"))
     return J.resolve_pointers(nodes).withColumn("target", F.coalesce("target", F.lit(-1)).cast("bigint"))
 
 
@@ -227,18 +226,26 @@ def reconcile_counts(spark, sf):
 
 
 @query("curated_merge", """
-with o as (select s_suppkey, s_nationkey, s_name as explain from supplier where s_acctbal < 6000),
-n as (select s_suppkey, s_nationkey from supplier where s_acctbal > 2000)
+with o as (select s_suppkey, s_nationkey, case when s_suppkey % 3 = 0 then '' else s_name end as explain, 'old' as page
+  from supplier where s_acctbal < 6000),
+n as (select s_suppkey, s_nationkey, 'fresh ' || s_name as explain, 'new' as page, s_suppkey % 2 = 0 as takes_arg
+  from supplier where s_acctbal > 2000)
 select coalesce(n.s_suppkey, o.s_suppkey) as s_suppkey, coalesce(n.s_nationkey, o.s_nationkey) as s_nationkey,
-  coalesce(explain, '') as explain, case when n.s_suppkey is null then '10' else '' end as removed_in,
+  coalesce(nullif(o.explain, ''), n.explain, '') as explain, coalesce(n.page, o.page) as page, coalesce(n.takes_arg, false) as takes_arg,
+  case when n.s_suppkey is null then '10' else '' end as removed_in,
   case when o.s_suppkey is null then 'new' when n.s_suppkey is null then 'removed' else 'kept' end as state
 from n full join o on n.s_suppkey = o.s_suppkey and n.s_nationkey = o.s_nationkey""")
 def curated_merge(spark, sf):
-    s = table(spark, sf, "supplier")
-    old = s.where("s_acctbal < 6000").select("s_suppkey", "s_nationkey", F.col("s_name").alias("explain"),
-                                             F.lit(None).cast("string").alias("removed_in"))
-    merged = J.merge_curated(old, s.where("s_acctbal > 2000"), ["s_suppkey", "s_nationkey"], ["explain"], "10")
-    return merged.withColumns({"explain": F.coalesce("explain", F.lit("")),
+    """Some texts of the old table are empty; only the new one knows takes_arg."""
+    s, keys = table(spark, sf, "supplier"), ["s_suppkey", "s_nationkey"]
+    old = s.where("s_acctbal < 6000").select(
+        *keys, F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.col("s_name")).alias("explain"),
+        F.lit("old").alias("page"), F.lit(None).cast("string").alias("removed_in"))
+    new = s.where("s_acctbal > 2000").select(
+        *keys, F.concat(F.lit("fresh "), "s_name").alias("explain"), F.lit("new").alias("page"),
+        (F.col("s_suppkey") % 2 == 0).alias("takes_arg"))
+    merged = J.merge_curated(old, new, keys, ["explain"], "10")
+    return merged.withColumns({"explain": F.coalesce("explain", F.lit("")), "takes_arg": F.coalesce("takes_arg", F.lit(False)),
                                "removed_in": F.coalesce("removed_in", F.lit(""))})
 
 
@@ -250,13 +257,12 @@ select p_brand, s_suppkey, r_name from (
   join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey) where rn = 1""")
 def preferred_first(spark, sf):
     place = (table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-             .join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-             .join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+             .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+             .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
              .select("s_suppkey", "r_regionkey", "r_name"))
     cited = (table(spark, sf, "lineitem").select("l_partkey", "l_suppkey")
-             .join(bounded(table(spark, sf, "part").select("p_partkey", "p_brand")),
-                   F.col("l_partkey") == F.col("p_partkey"))
-             .join(bounded(place), F.col("l_suppkey") == F.col("s_suppkey")))
+             .join(table(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+             .join(place, F.col("l_suppkey") == F.col("s_suppkey")))
     current_first = F.when(F.col("r_name") == "ASIA", 0).otherwise(1)
     return J.first_per_key(cited, ["p_brand"], current_first, F.col("r_regionkey"),
                            keep=["s_suppkey", "r_name"])
@@ -323,8 +329,8 @@ def violation_report(spark, sf):
         "code", F.col("position").cast("bigint").alias("position"), "key")
 
 
-# Caps pinned per nation and segment from the account balances of the first hundred thousand
-# customer keys; one segment has no owner, one has a date that has passed.
+# Caps per nation and segment are half the number of customers there; one segment has no owner, one has a
+# date that has passed.
 @query("ratchet", """
 with cur as (select c_nationkey, c_mktsegment, count(*) as residue from customer where c_acctbal < 5000 group by all),
 base as (select c_nationkey, c_mktsegment, count(*) // 2 as cap,
@@ -457,9 +463,9 @@ select r_regionkey, r_name, count(*) as n from supplier join nation on n_nationk
 join region on r_regionkey = n_regionkey group by all order by n desc, r_regionkey limit 1""")
 def argmax_tie(spark, sf):
     d = (table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
-         .join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+         .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
          .groupBy("n_regionkey").agg(F.sum("n").alias("n")))
-    return (d.join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return (d.join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select("r_regionkey", "r_name", "n").orderBy(F.col("n").desc(), "r_regionkey").limit(1))
 
 

@@ -15,7 +15,7 @@ from spanledger.operators import search as S
 from spanledger.operators import windows as X
 from spanledger.operators.lines import explode_lines, with_prompt
 from spanledger.operators.support import settled
-from spanledger.plans.base import (DOC_LINES, LOG, LOG_COMMANDS, command_log, document_lines, query, table,
+from spanledger.plans.base import (DOC_LINES, LOG, LOG_COMMANDS, TEXT_KEYS, command_log, document_lines, query, table,
                                    texts)
 
 MICROS = "timestampdiff(MICROSECOND, timestamp '1970-01-01 00:00:00', ts)"
@@ -144,16 +144,14 @@ def ranked_search(spark, sf):
     return out.withColumns({"score": F.col("score").cast("bigint"), "position": F.col("position").cast("bigint")})
 
 
-INDEXED = ["the", "red widget", "src1 licensed", "under cc", "build", "zzzz_no_such_thing"]
-
-
 @query("index_search", f"""
 with f as ({_FRAME}) """ + " union all ".join(
     f"select '{q}' as query, kind, id from f where " + " and ".join(f"contains(hay, '{t}')" for t in q.split())
-    for q in INDEXED))
+    for q in SEARCHES))
 def index_search(spark, sf):
-    index = S.postings(search_frame(spark, sf), "id", "hay", "kind")
-    return S.index_search(index, INDEXED, ["kind", "id"])
+    frame = search_frame(spark, sf)
+    index = S.postings(frame, "id", "hay", "kind", min_len=1)
+    return S.index_search(index, frame, SEARCHES, ["kind", "id"])
 
 
 _POSTINGS = """
@@ -299,25 +297,34 @@ def constants_agree(spark, sf):
     tools = log_commands(spark, sf).select(F.substring_index("command", " ", 1).alias("w")).distinct()
     d = I.missing_stale(mine, other, "w").select(F.col("key").alias("w"), F.when(
         F.col("side") == "stale", "only-first").otherwise("only-second").alias("finding"))
-    clash = tools.join(F.broadcast(mine), "w", "left_semi").select("w", F.lit("names-a-real-tool").alias("finding"))
+    clash = tools.join(mine, "w", "left_semi").select("w", F.lit("names-a-real-tool").alias("finding"))
     return d.unionByName(clash)
 
 
 # ---- fingerprints -------------------------------------------------------------------------
 
 _COLS = {
+    "benchmark": {"item_id": "i", "text": "s"},
+    "conversations": {"conv_id": "i", "role": "s", "text": "s", "turn": "i"},
     "customer": {"c_acctbal": "f", "c_custkey": "i", "c_mktsegment": "s", "c_name": "s", "c_nationkey": "i"},
     "documents": {"doc_id": "i", "lang": "s", "n_chars": "i", "source": "s", "text": "s"},
     "events": {"event_id": "i", "event_type": "s", "props": "s", "ts": "t", "user_id": "i", "value": "f"},
     "labels": {"doc_id": "i", "quality": "i", "toxic": "i"},
+    "lineitem": {"l_discount": "f", "l_extendedprice": "f", "l_linenumber": "i", "l_linestatus": "s", "l_orderkey": "i",
+                 "l_partkey": "i", "l_quantity": "f", "l_returnflag": "s", "l_shipdate": "t", "l_suppkey": "i", "l_tax": "f"},
+    "nation": {"n_name": "s", "n_nationkey": "i", "n_regionkey": "i"},
     "orders": {"o_custkey": "i", "o_orderdate": "t", "o_orderkey": "i", "o_orderpriority": "s", "o_orderstatus": "s", "o_totalprice": "f"},
+    "pages": {"html": "s", "page_id": "i", "url": "s"},
+    "part": {"p_brand": "s", "p_name": "s", "p_partkey": "i", "p_retailprice": "f", "p_size": "i", "p_type": "s"},
+    "region": {"r_name": "s", "r_regionkey": "i"},
+    "supplier": {"s_acctbal": "f", "s_name": "s", "s_nationkey": "i", "s_suppkey": "i"},
 }
 
 
 def _sql_fingerprint(tbl: str) -> str:
-    plain = {"i": "cast({0} as varchar)", "s": "{0}", "f": "cast(cast({0} as decimal(38,9)) as varchar)",
-             "t": "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"}
-    row = " || chr(31) || ".join(f"'{c}=' || coalesce({plain[k].format(c)}, '\\N')" for c, k in sorted(_COLS[tbl].items()))
+    plain = {"i": "cast({0} as varchar)", "s": "{0}", "f": "cast({0} as varchar)", "t": "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"}
+    row = " || ".join(f"'{c}=' || coalesce(length({v}) || ':' || {v}, '-')" for c, v in (
+        (c, plain[k].format(c)) for c, k in sorted(_COLS[tbl].items())))
     sums = ", ".join(f"sum(cast('0x' || substr(d, {1 + 15 * i}, 15) as hugeint)) as h{i}" for i in range(4))
     parts = " || '|' || ".join(f"coalesce(cast(h{i} as varchar), '0')" for i in range(4))
     return (f"select '{tbl}' as tbl, n as n_rows, sha256(cast(n as varchar) || '|' || {parts}) as digest from "
@@ -333,7 +340,7 @@ select 'all', cast(sum(n_rows) as bigint), sha256(string_agg(digest, chr(10) ord
 def table_fingerprint(spark, sf):
     out = None
     for name in sorted(_COLS):
-        df = texts(spark, sf, name) if name == "documents" else table(spark, sf, name)
+        df = texts(spark, sf, name) if name in TEXT_KEYS else table(spark, sf, name)
         sums = df.select(H.canonical_text(df).alias("_row")).agg(*H.digest_sums(F.col("_row")))
         one = sums.select(F.lit(name).alias("tbl"), F.col("_rows").alias("n_rows"), H.digest_of_sums().alias("digest"))
         out = one if out is None else out.unionByName(one)

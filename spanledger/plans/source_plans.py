@@ -229,11 +229,13 @@ def help_pages(spark, sf):
 
 
 @query("help_options", """
-select p_partkey, unnest(['option', 'option', 'option', 'unparsed']) as kind,
-  unnest(['-H,--host', '-q,--quiet' || p_size, '--level', '--']) as names,
-  unnest([cast(2 as bigint), 4, 6, 8]) as line_no, unnest([true, false, true, false]) as takes_arg from part""")
+select p_partkey, unnest(['option', 'option', 'option', 'unparsed', 'unparsed']) as kind,
+  unnest(['-H,--host', '-q,--quiet' || p_size, '--level', '--', '--']) as names,
+  unnest([cast(2 as bigint), 4, 6, 8, 10]) as line_no, unnest([true, false, true, false, false]) as takes_arg from part""")
 def help_options(spark, sf):
-    return M.help_options(help_pages(spark, sf), "p_partkey", "text").select(
+    """Behind the page come an unparsed line deep in a description and an unparsed line that was there before."""
+    pages = help_pages(spark, sf).withColumn("text", F.concat("text", F.lit("        --\n  --\n")))
+    return M.help_options(pages, "p_partkey", "text").select(
         "p_partkey", "kind", "names", "line_no", "takes_arg")
 
 

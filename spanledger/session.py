@@ -12,6 +12,7 @@ def local_session(cpus: str | None = None) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("spanledger")
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
+        .config("spark.spanledger.spread", cpus if cpus.isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")

@@ -25,10 +25,9 @@ def test_eight_words_fire_and_seven_do_not(spark):
     prot = spark.createDataFrame([(" ".join(w),)], "t string")
     texts = spark.createDataFrame([(7, "x " + " ".join(w[3:10]) + " y"), (8, "x " + " ".join(w[3:11]) + " y"),
                                    (9, "W3, w4!\nw5  w6 w7 w8 w9 W10 w3 w4")], "id long, t string")
-    for limit in (2_000_000, 0):  # broadcast and shuffle give the same rows
-        got = rows(ngram_overlap(texts, "id", "t", prot, "t", broadcast_rows=limit), "id", "shared_grams", "first_gram")
-        gram = " ".join(w[3:11])
-        assert got == [(8, 1, gram), (9, 1, gram)]
+    gram = " ".join(w[3:11])
+    got = rows(ngram_overlap(texts, "id", "t", prot, "t"), "id", "shared_grams", "first_gram")
+    assert got == [(8, 1, gram), (9, 1, gram)]
 
 
 def test_field_licence_wins(spark):
@@ -60,6 +59,32 @@ def test_merge_keeps_curated_text_and_vanished_rows(spark):
     assert got == [("a", "why", None, "kept"), ("b", "gone", "10", "removed"), ("c", "older", "8", "removed"), ("d", None, None, "new")]
 
 
+def test_merge_carries_all_columns(spark):
+    old = spark.createDataFrame([("a", "", "p1", 1, None), ("b", "gone", "p2", 2, None)],
+                                "k string, explain string, page string, seen int, removed_in string")
+    new = spark.createDataFrame([("a", "fresh", "q1", True), ("d", "new", "q4", False)], "k string, explain string, page string, takes_arg boolean")
+    got = {r.k: (r.explain, r.page, r.takes_arg, r.seen, r.state) for r in J.merge_curated(old, new, ["k"], ["explain"], "10").collect()}
+    assert got == {"a": ("fresh", "q1", True, 1, "kept"), "b": ("gone", "p2", None, 2, "removed"), "d": ("new", "q4", False, None, "new")}
+
+
+def test_fingerprint_text_tells_rows_apart(spark):
+    from spanledger.functions.hashing import canonical_text
+    texts = [("\\N", "x", 0.0), (None, "x", 0.0), ("a", "b=1:c", 1e-12), ("a", "b", 1e30), ("a", "b", float("nan")),
+             ("a1:b", "", -0.0), ("a", "\x1f", 1e300), ("-", None, 0.0)]
+    d = spark.createDataFrame(texts, "a string, b string, c double")
+    assert d.select(canonical_text(d).alias("t")).distinct().count() == len(texts)
+
+
+def test_index_finds_what_a_scan_finds(spark):
+    from spanledger.operators import search as S
+    frame = spark.createDataFrame([("k", "1", "Part #77 a"), ("k", "2", "part 77"), ("k", "3", "x a b"), ("k", "4", "!! ##")],
+                                  "kind string, id string, t string").select("kind", "id", F.lower("t").alias("hay"))
+    queries = ["part #77", "a", "##", "art 7", "none"]
+    got = rows(S.index_search(S.postings(frame, "id", "hay", "kind", min_len=1), frame, queries, ["kind", "id"]), "query", "id")
+    hay = {r.id: r.hay for r in frame.collect()}
+    assert got == sorted((q, i) for q in queries for i, h in hay.items() if all(t in h for t in q.split()))
+
+
 def test_ledger_finds_lost_records_and_an_intact_twin_passes(spark):
     judged = spark.createDataFrame([("f", "8", "x", None), ("f", "8", "x", None), ("f", "8", "y", "prose"), ("g", "8", "z", "prose")],
                                    "family string, release string, text string, reason string")
