@@ -13,12 +13,21 @@ from spanledger.llm import textscan as T
 from spanledger.operators.support import Shelf
 
 STEPS, RATE, RIDGE = 300, 0.1, 1e-3
+PAIRS = 1 << 19  # (row, feature) pairs that a step of the fit takes at once
 
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def summed(to: np.ndarray, of: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """For each number below ``size`` the sum of values[of] over the pairs (to, of) with it, a bounded part at a time."""
+    total = np.zeros(size)
+    for i in range(0, len(to), PAIRS):
+        total += np.bincount(to[i:i + PAIRS], values[of[i:i + PAIRS]], minlength=size)
+    return total
+
+
 def fit(grade: np.ndarray, row: np.ndarray, column: np.ndarray, features: int, grades: int) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by gradient steps (Adam) on the log likelihood: P(grade >= k) = s(w x - t[k])."""
     n, k = len(grade), grades - 1
@@ -30,7 +39,7 @@ def fit(grade: np.ndarray, row: np.ndarray, column: np.ndarray, features: int, g
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
         w, t = theta[:features], np.concatenate(([theta[features]], theta[features] + np.cumsum(np.exp(theta[features + 1:]))))
-        s = np.bincount(row, w[column], minlength=n)
+        s = summed(row, column, w, n)
         p = np.concatenate((np.ones((n, 1)), sigmoid(s[:, None] - t), np.zeros((n, 1))), 1)
         slope = p * (1 - p)
         own = np.arange(n)
@@ -38,7 +47,7 @@ def fit(grade: np.ndarray, row: np.ndarray, column: np.ndarray, features: int, g
         ds = -(slope[own, grade] - slope[own, grade + 1]) / likely
         dt = np.array([(slope[grade == j + 1, j + 1] / likely[grade == j + 1]).sum() - (slope[grade == j, j + 1] / likely[grade == j]).sum()
                        for j in range(k)]) / n
-        g = np.concatenate((np.bincount(column, ds[row], minlength=features) / n + RIDGE * w, [dt.sum()],
+        g = np.concatenate((summed(column, row, ds, features) / n + RIDGE * w, [dt.sum()],
                             [dt[j:].sum() * np.exp(theta[features + j]) for j in range(1, k)]))
         m, v = .9 * m + .1 * g, .999 * v + .001 * g * g
         theta = theta - RATE * (m / (1 - .9 ** step)) / (np.sqrt(v / (1 - .999 ** step)) + 1e-8)

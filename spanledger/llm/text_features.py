@@ -88,9 +88,10 @@ def _rows(extract: Extract, chosen: np.ndarray):
             owner, feature = distinct(*extract(*T.utf8(b.column(0))))
             at = np.minimum(np.searchsorted(chosen, feature), len(chosen) - 1)
             keep = chosen[at] == feature
-            cuts = np.searchsorted(owner[keep], np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.ListArray.from_arrays(
-                pa.array(cuts, pa.int32()), pa.array(at[keep], pa.int32()))], ["grade", "have"])
+            cuts = np.searchsorted(owner[keep], np.arange(b.num_rows + 1)).tolist()
+            places = at[keep].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(
+                [places[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], ["grade", "have"])
     return run
 
 
@@ -123,12 +124,16 @@ def choose(stored: DataFrame, extract: Extract, grades: int, most: int = CHOSEN)
 
 
 def matrix(stored: DataFrame, extract: Extract, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grades, and the (row, feature place) pairs of the bounded training rows."""
+    """Grades, and the (row, feature place) pairs of the bounded training rows.
+
+    The places of a row come as the bytes of 32-bit integers, so that the driver holds four bytes for each.
+    """
     if not len(chosen):
-        rows = [(r["grade"], []) for r in stored.select("grade").collect()]
+        rows = [(r["grade"], b"") for r in stored.select("grade").collect()]
     else:
-        rows = stored.mapInArrow(_rows(extract, chosen), "grade long, have array<int>").collect()
-        rows.sort(key=lambda r: (r[0], r[1]))
-    grade = np.array([r[0] for r in rows], np.int64)
-    at = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    return grade, at, np.array([x for r in rows for x in r[1]], np.int64)
+        rows = [(r["grade"], bytes(r["have"])) for r in
+                stored.mapInArrow(_rows(extract, chosen), "grade long, have binary").collect()]
+        rows.sort()
+    grade = np.array([g for g, _ in rows], np.int64)
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(have) // 4 for _, have in rows])
+    return grade, at, np.frombuffer(b"".join(have for _, have in rows), np.int32)
