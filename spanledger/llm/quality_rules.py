@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanledger.operators.support import computed
+from spanledger.operators.support import Shelf, computed
 
 SPACES = r"\x20\x09-\x0D"
 WINDOW = 8
@@ -81,8 +81,8 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     docs = docs.drop(*new)
     told = with_statistics(docs, text)
-    some = with_statistics(docs.limit(SAMPLE_ROWS), text).where("not base_failed")
-    some = docs.sparkSession.createDataFrame(some.select("_text", *new[:5]).collect(), some.select("_text", *new[:5]).schema)
+    some = Shelf(docs.sparkSession).put(
+        with_statistics(docs.limit(SAMPLE_ROWS), text).where("not base_failed").select("_text", *new[:5]), "sample")
     verdict = F.when(F.col("base_failed"), F.lit(False))
     for rule in ordered(some, rules):
         verdict = verdict.when(F.coalesce(F.expr(rule.rejects), F.lit(False)), F.lit(False))
