@@ -2,8 +2,8 @@
 
 Tokens that hold signs or digits between letters, letters three times running, or letters set apart are
 read as a noisy form of a word: a lattice offers the letters each sign may stand for, or nothing, and
-Viterbi decoding under a character trigram model of the whole corpus picks the likeliest reading. The
-restored word joins the text, and a logistic model on hashed words and stems scores the result.
+Viterbi decoding under a character trigram model of the whole corpus picks the likeliest reading. A sign
+that sets letters apart may be nothing or the end of a word. The restored words join the text, and a logistic model on hashed words and stems scores the result.
 """
 
 from __future__ import annotations
@@ -24,12 +24,13 @@ from spanledger.operators.support import Shelf
 
 THRESHOLD = 0.3
 KINDS = 28  # end of word, a to z, other letters
+NOTHING = -1
 #: What a sign may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SEPARATORS = ".-_*~ "
 STAND, KEEP, DROP, REPEAT = -0.7, 0.0, -0.7, -0.5  # log odds of the channel's steps
 LONGEST = 64  # characters of a token that may be a noisy word; longer runs are no words
-NOISY = re.compile(rb"(?<![^\s])(?:[A-Za-z](?:[ .\-_*~][A-Za-z]){2,}(?![A-Za-z])"
+NOISY = re.compile(rb"(?<![^\s])(?:[A-Za-z01345789@$!|+](?:[ .\-_*~][A-Za-z01345789@$!|+]){2,}(?![A-Za-z0-9])"
                    rb"|[^\s]*(?:[A-Za-z][0-9@$!|+.\-_*~]+[A-Za-z]|[0-9@$!|+][A-Za-z]{2}|([A-Za-z])\1\1|\1)[^\s]*)".replace(rb"|\1)", rb")"))
 _kind = np.zeros(256, np.int64)
 _kind[97:123] = _kind[65:91] = np.arange(1, 27)
@@ -59,29 +60,29 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 
 def _lattice(token: str) -> list[list[tuple[int, float]]]:
-    """For each character the (kind, log odds) it may be read as; kind 0 is nothing at all."""
+    """For each character the (kind, log odds) it may be read as; kind 0 is the end of a word, -1 nothing at all."""
     out: list[list[tuple[int, float]]] = []
     for i, c in enumerate(token):
         if c in STANDS_FOR:
-            out.append([(ord(x) - 96, STAND) for x in STANDS_FOR[c]] + ([(0, 2 * DROP)] if c in "!|" else []))
+            out.append([(ord(x) - 96, STAND) for x in STANDS_FOR[c]] + ([(NOTHING, 2 * DROP)] if c in "!|" else []))
         elif "a" <= c <= "z":
             twice = i and token[i - 1] == c
-            out.append([(ord(c) - 96, KEEP)] + ([(0, REPEAT)] if twice else []))
+            out.append([(ord(c) - 96, KEEP)] + ([(NOTHING, REPEAT)] if twice else []))
         else:
-            out.append([(0, DROP)])
+            out.append([(NOTHING, DROP)] + ([(0, DROP)] if c in SEPARATORS else []))
     return out
 
 
 def restored(token: str, model: np.ndarray) -> str:
-    """The likeliest reading of a noisy token, by Viterbi over (last two kinds)."""
+    """The likeliest reading of a noisy token, one word or several, by Viterbi over (last two kinds)."""
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for options in _lattice(token.lower().strip(".,!?;:")[:LONGEST]):
         step: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (odds, text) in best.items():
             for kind, cost in options:
-                key, value = ((b, kind), odds + cost + float(model[a, b, kind])) if kind else ((a, b), odds + cost)
+                key, value = ((b, kind), odds + cost + float(model[a, b, kind])) if kind != NOTHING else ((a, b), odds + cost)
                 if key not in step or value > step[key][0]:
-                    step[key] = (value, text + chr(96 + kind) if kind else text)
+                    step[key] = (value, text if kind == NOTHING else text + (chr(96 + kind) if kind else " "))
         best = step
     return max(((odds + float(model[a, b, 0]), text) for (a, b), (odds, text) in best.items()), default=(0, ""))[1]
 
@@ -95,6 +96,8 @@ class Restorer:
         more = []
         for m in NOISY.finditer(raw):
             t = m[0]
+            if not re.search(rb"[A-Za-z]", t):  # numbers set apart
+                continue
             if len(t) > LONGEST or b"://" in t or re.search(rb"@\w+\.|[0-9]{3}", t):
                 continue
             if t not in self.known:

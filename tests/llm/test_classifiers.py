@@ -56,6 +56,14 @@ def test_obfuscated_words_are_restored(spark):
         assert restored(noisy, model) == plain
 
 
+def test_spaced_words_are_told_apart(spark):
+    docs = spark.createDataFrame([(i, "you idiot said that a loser and a moron are trash to you " * 3) for i in range(50)], "doc_id long, text string")
+    model = language_model(docs)
+    for noisy, plain in (("a t r a s h", "a trash"), ("y o u i d i o t", "you idiot"), ("1 d 1 0 t", "idiot"), ("l 0 s e r", "loser"), ("y.o.u.m.0.r.0.n", "you moron")):
+        assert NOISY.search(f"say {noisy}! now".encode())[0].decode().rstrip("!") == noisy
+        assert restored(noisy, model) == plain
+
+
 def test_obfuscation_is_scored(spark):
     bad = ["idiot", "moron", "loser"]
     docs = [(i, f"the report of day {'x' * (i % 7)} was {bad[i % 3] if i % 2 else 'fine'} and the rest of it was read") for i in range(400)]
