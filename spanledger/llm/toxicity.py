@@ -27,11 +27,13 @@ KINDS = 28  # end of word, a to z, other letters
 NOTHING = -1
 #: What a sign may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
+LEADING = {b"!": b"i", b"|": b"1"}  # signs that may be none before a word: it is read with their letter as well
 SEPARATORS = ".-_*~ "
 STAND, KEEP, DROP, REPEAT = -0.7, 0.0, -0.7, -0.5  # log odds of the channel's steps
-LONGEST = 64  # characters of a token that may be a noisy word; longer runs are no words
-NOISY = re.compile(rb"(?<![^\s])(?:[A-Za-z01345789@$!|+](?:[ .\-_*~][A-Za-z01345789@$!|+]){2,}(?![A-Za-z0-9])"
-                   rb"|[^\s]*(?:[A-Za-z][0-9@$!|+.\-_*~]+[A-Za-z]|[0-9@$!|+][A-Za-z]{2}|([A-Za-z])\1\1|\1)[^\s]*)".replace(rb"|\1)", rb")"))
+LONGEST = 64  # bytes of a token whose reading is kept for the next time; longer ones are read anew
+LETTERS, UNIT = rb"A-Za-z\x80-\xff", rb"(?:[A-Za-z01345789@$!|+]|[\xc2-\xf4][\x80-\xbf]+)"
+NOISY = re.compile(rb"(?<![^\s])(?:" + UNIT + rb"(?:[ .\-_*~]" + UNIT + rb"){2,}(?![" + LETTERS + rb"0-9])"
+                   rb"|[^\s]*(?:[" + LETTERS + rb"][0-9@$!|+.\-_*~]+[" + LETTERS + rb"]|[0-9@$!|+][" + LETTERS + rb"]{2}|([A-Za-z])\1\1)[^\s]*)")
 _kind = np.zeros(256, np.int64)
 _kind[97:123] = _kind[65:91] = np.arange(1, 27)
 _kind[128:] = 27
@@ -59,52 +61,69 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(n / n.sum(axis=2, keepdims=True))
 
 
-def _lattice(token: str) -> list[list[tuple[int, float]]]:
-    """For each character the (kind, log odds) it may be read as; kind 0 is the end of a word, -1 nothing at all."""
-    out: list[list[tuple[int, float]]] = []
-    for i, c in enumerate(token):
+def _lattice(token: str) -> Iterator[list[tuple[int, float, str]]]:
+    """For each byte the (kind, log odds, text) it may be read as; kind 0 is the end of a word, -1 nothing at all."""
+    before = ""
+    for c in token:
         if c in STANDS_FOR:
-            out.append([(ord(x) - 96, STAND) for x in STANDS_FOR[c]] + ([(NOTHING, 2 * DROP)] if c in "!|" else []))
+            yield [(ord(x) - 96, STAND, x) for x in STANDS_FOR[c]] + ([(NOTHING, 2 * DROP, "")] if c in "!|" else [])
         elif "a" <= c <= "z":
-            twice = i and token[i - 1] == c
-            out.append([(ord(c) - 96, KEEP)] + ([(NOTHING, REPEAT)] if twice else []))
+            yield [(ord(c) - 96, KEEP, c)] + ([(NOTHING, REPEAT, "")] if before == c else [])
+        elif c > "\x7f" and c.isalpha():
+            # The model counts the bytes of other letters.
+            yield [(KINDS - 1, KEEP, c)]
+            yield from [[(KINDS - 1, KEEP, "")]] * (len(c.encode()) - 1)
         else:
-            out.append([(NOTHING, DROP)] + ([(0, DROP)] if c in SEPARATORS else []))
-    return out
+            yield [(NOTHING, DROP, "")] + ([(0, DROP, " ")] if c in SEPARATORS else [])
+        before = c
+
+
+def _read(token: bytes, model: list[float]) -> str:
+    """The likeliest reading by Viterbi over (last two kinds); each state has its odds and the way to it."""
+    best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    for options in _lattice(token.lower().decode(errors="ignore").lstrip(".,?;:").rstrip(".,!?;:")):
+        step: dict[int, tuple[float, tuple | None]] = {}
+        for state, (odds, way) in best.items():
+            for kind, cost, text in options:
+                if kind == NOTHING:
+                    key, value = state, odds + cost
+                else:
+                    key, value = state % KINDS * KINDS + kind, odds + cost + model[state * KINDS + kind]
+                if key not in step or value > step[key][0]:
+                    step[key] = (value, (way, text) if text else way)
+        best = step
+    way, out = max(((odds + model[state * KINDS], state, way) for state, (odds, way) in best.items()), key=lambda x: x[:2])[2], []
+    while way:
+        way, text = way
+        out.append(text)
+    return "".join(reversed(out)).strip()
 
 
 def restored(token: str, model: np.ndarray) -> str:
-    """The likeliest reading of a noisy token, one word or several, by Viterbi over (last two kinds)."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in _lattice(token.lower().strip(".,!?;:")[:LONGEST]):
-        step: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (odds, text) in best.items():
-            for kind, cost in options:
-                key, value = ((b, kind), odds + cost + float(model[a, b, kind])) if kind != NOTHING else ((a, b), odds + cost)
-                if key not in step or value > step[key][0]:
-                    step[key] = (value, text if kind == NOTHING else text + (chr(96 + kind) if kind else " "))
-        best = step
-    return max(((odds + float(model[a, b, 0]), text) for (a, b), (odds, text) in best.items()), default=(0, ""))[1]
+    """The likeliest reading of a noisy token, one word or several."""
+    return _read(token.encode(), model.ravel().tolist())
 
 
 class Restorer:
     def __init__(self, model: np.ndarray):
-        self.model, self.known = model, {}
+        self.model, self.known = model.ravel().tolist(), {}
 
     def text(self, raw: bytes) -> bytes:
-        """The text, followed by the restored words. Email and web addresses and mixed codes are no words."""
+        """The text, followed by the restored words. Email and web addresses are no words."""
         more = []
         for m in NOISY.finditer(raw):
             t = m[0]
-            if not re.search(rb"[A-Za-z]", t):  # numbers set apart
-                continue
-            if len(t) > LONGEST or b"://" in t or re.search(rb"@\w+\.|[0-9]{3}", t):
+            if b"://" in t or re.search(rb"@\w+\.\w", t) or not re.search(rb"[" + LETTERS + rb"]", t):
                 continue
-            if t not in self.known:
+            read = self.known.get(t)
+            if read is None:
+                ways = [t, LEADING[t[:1]] + t[1:]] if t[:1] in LEADING else [t]
+                read = " ".join(dict.fromkeys(_read(x, self.model) for x in ways)).encode()
                 if len(self.known) > KEPT_READINGS:
                     self.known.clear()
-                self.known[t] = restored(t.decode(), self.model).encode()
-            more.append(self.known[t])
+                if len(t) <= LONGEST:
+                    self.known[t] = read
+            more.append(read)
         return raw + b" " + b" ".join(more) if more else raw
 
 

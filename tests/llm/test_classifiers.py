@@ -6,7 +6,7 @@ import pytest
 
 from spanledger.llm.ordinal import fit, graded
 from spanledger.llm.queries import QUERIES
-from spanledger.llm.toxicity import NOISY, language_model, restored, toxicity
+from spanledger.llm.toxicity import NOISY, Restorer, language_model, restored, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -64,6 +64,18 @@ def test_spaced_words_are_told_apart(spark):
         assert restored(noisy, model) == plain
 
 
+def test_no_noisy_token_is_passed_over(spark):
+    docs = spark.createDataFrame([(i, "a worthless pathetic disgusting loser and idiot said scheiße to you all day long " * 3) for i in range(50)], "doc_id long, text string")
+    restorer = Restorer(language_model(docs))
+    whole = "a worthless pathetic disgusting loser and idiot said"
+    for noisy, plain in (("l053r", "loser"), ("w0r7hl355", "worthless"), ("p47h371c", "pathetic"), ("d15gu571ng", "disgusting"),
+                         ("idi@t.", "idiat"), ("sch3iße", "scheiße"), (" ".join(whole.replace(" ", "")), whole)):
+        text = f"say {noisy} now".encode()
+        assert restorer.text(text)[len(text) + 1:].decode() == plain
+    assert b"idiot" in restorer.text(b"say !d!ot now").split()
+    assert restorer.text(b"write to me@home.org or https://a1b.org/c2d") == b"write to me@home.org or https://a1b.org/c2d"
+
+
 def test_obfuscation_is_scored(spark):
     bad = ["idiot", "moron", "loser"]
     docs = [(i, f"the report of day {'x' * (i % 7)} was {bad[i % 3] if i % 2 else 'fine'} and the rest of it was read") for i in range(400)]
