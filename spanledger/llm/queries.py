@@ -147,3 +147,56 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     from spanledger.llm.decontaminate import decontaminated
     return decontaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+WHOLE_SQL = """
+k as (select vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)"""
+
+
+def codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2, size: int = 4) -> str:
+    """The twin of op12 for vectors of ``parts * size`` components."""
+    x = [f"x{i}" for i in range(size)]
+    cut = ", ".join(f"v[p * {size} + {i + 1}] as x{i}" for i in range(size))
+    far = " + ".join(f"(k.{c} - b.{c}) * (k.{c} - b.{c})" for c in x)
+    steps = [f"with {WHOLE_SQL}", f"w as materialized (select vec_id, label, p, {cut} from k, range({parts}) as r(p))",
+             f"b0 as materialized (select p, row_number() over (partition by p order by vec_id) - 1 as e, {', '.join(x)} from w "
+             f"where vec_id in (select vec_id from k order by vec_id limit {entries}))"]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} as materialized (select k.vec_id, k.p, min(({far}) * {entries} + b.e) as m from w k join b{i} b on k.p = b.p group by all)")
+        if i < rounds:
+            mean = ", ".join(f"coalesce(cast(floor(cast(sum(w.{c}) as double) / count(w.{c})) as bigint), any_value(b.{c})) as {c}" for c in x)
+            steps.append(f"b{i + 1} as materialized (select b.p, b.e, {mean} from b{i} b left join (select a.p, a.m % {entries} as e, {', '.join(x)} "
+                         f"from a{i} a join w on a.vec_id = w.vec_id and a.p = w.p) w on b.p = w.p and b.e = w.e group by b.p, b.e)")
+    said = ", ".join(x)
+    return ",\n".join(steps) + f""",
+c as (select vec_id, string_agg(printf('%02x', m % {entries}), '' order by p) as code, cast(sum(m // {entries}) as bigint) as error from a{rounds} group by vec_id)
+select c.vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  (select sha256(string_agg(concat_ws(',', {said}), ',' order by p, e)) from b{rounds}) as codebooks_sha256
+from c join k on c.vec_id = k.vec_id
+"""
+
+
+@query("op12_vector_codes", codes_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    from spanledger.llm.vector_codes import vector_codes
+    return vector_codes(table(spark, sf, "embeddings")).drop("label")
+
+
+NEGATIVES_SQL = f"""
+with {WHOLE_SQL},
+r as (select vec_id, if(vec_id % 7 = 0, (label + 1) % 10, label) as label, v from k where label is not null),
+s as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same, cast(list_inner_product(cast(a.v as double[]), cast(b.v as double[])) as bigint) as s
+  from r a join r b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select * from s where same qualify row_number() over (partition by a order by s desc, b) <= 5),
+n as (select p.a, p.b as p, s.b as n, p.s as ps, s.s as ns, row_number() over (partition by p.a, p.b order by s.s desc, s.b) as rank
+  from p join s on p.a = s.a and not s.same where 30 * p.s <= 100 * s.s and 100 * s.s <= 90 * p.s)
+select a as anchor_id, p as positive_id, cast(rank as int) as rank, n as negative_id, ps as positive_score, ns as negative_score from n where rank <= 10
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    from spanledger.llm.hard_negatives import hard_negatives
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
