@@ -200,3 +200,10 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
     from spanledger.llm.hard_negatives import hard_negatives
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@query("op11_language_id")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    from spanledger.llm.language_id import language_ids
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
+    return language_ids(table(spark, sf, "documents"), ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
