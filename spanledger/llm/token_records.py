@@ -9,10 +9,11 @@ names files of tasks that succeeded, so repeated attempts leave nothing that is
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,15 @@ from spanledger.operators.support import Shelf
 FRAME = 8 + 4 + 4
 INDEX = "place long, doc_id long, file string, at long, bytes long, n_tokens long, before long"
 SIGNS = b".,;:!?%*$&#|"
-MOST_KEPT = 600_000  # pieces of text whose ids a worker keeps
+SIGN, LETTER = np.zeros(256, bool), np.zeros(256, bool)
+SIGN[list(SIGNS)] = LETTER[65:91] = LETTER[97:123] = True
+MOST_KEPT = 400_000  # pieces of text whose ids a worker keeps
+READ = 8 << 20  # bytes of neighbouring records read at once; a longer record is read alone
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer of the tokenizers library, each piece between spaces only once.
+    """Ids of whole texts by a tokenizer of the tokenizers library, each distinct piece between spaces only once.
 
     Right for tokenizers whose pre-tokenizer never joins characters across white space and removes it, and
     which treat a run of letters apart from signs behind it; ``checked`` tells whether one is of this kind.
@@ -50,7 +54,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16 else "<u4")
-        self.end = np.array([end], self.kind).tobytes()
+        self.end = np.array([end], self.kind)
         with open(path, encoding="utf-8") as f:
             self.by_piece = self.checked(json.load(f))
         self.kept: dict[bytes, bytes] = {}
@@ -66,8 +70,11 @@ class Encoder:
                 and not any(t.get("lstrip") or t.get("rstrip") for t in told.get("added_tokens", ()))
                 and [s.get("type") for s in (told.get("normalizer") or {}).get("normalizers", ())] == ["NFC", "Replace", "Lowercase"])
 
+    def whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.kind)
+
     def _ask(self, words: list[bytes]) -> None:
-        """Ids of words that are runs of letters or of signs. Many letter runs, each one pre-token, share a call."""
+        """Ids of words that are runs of letters. Many, if each is one pre-token, share a call."""
         for i in range(0, len(words), 4000):
             some = words[i:i + 4000]
             told = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
@@ -83,42 +90,75 @@ class Encoder:
         told = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
         self.kept.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(words, told))
 
-    def _learn(self, new: set[bytes]) -> None:
-        letters, other, signed = set(), set(), []
+    @staticmethod
+    def apart(core: str) -> bool:
+        """Whether signs behind these letters are a pre-token of their own: as the normalizer leaves them, they
+        must still be letters alone. Told for Latin, Greek and Cyrillic only; other words are encoded with their signs."""
+        folded = unicodedata.normalize("NFC", core).lower()
+        return folded.isalpha() and max(folded) < "\u0530"
+
+    def _learn(self, new: list[bytes]) -> None:
+        letters, other, signed = {}, {}, []
         for w in new:
+            if w.isalpha() or not w.isascii() and w.decode().isalpha():
+                letters[w] = None
+                continue
             core = w.rstrip(SIGNS)
-            if core.isalpha() or not core.isascii() and core.decode().isalpha():
-                letters.add(core)
-                if len(core) < len(w):
-                    other.add(w[len(core):])
-                    signed.append((w, len(core)))
+            if core and len(core) < len(w) and not core.isascii() and self.apart(core.decode()):
+                letters[core] = other[w[len(core):]] = None
+                signed.append((w, len(core)))
             else:
-                other.add(w)
-        self._ask([w for w in letters if w not in self.kept])
-        self._ask_each([w for w in other if w not in self.kept])
+                other[w] = None
         kept = self.kept
+        self._ask([w for w in letters if w not in kept])
+        self._ask_each([w for w in other if w not in kept])
         kept.update((w, kept[w[:n]] + kept[w[n:]]) for w, n in signed)
 
-    def texts(self, some: list[bytes | None]) -> list[bytes]:
-        """The ids of each UTF-8 text as bytes, with the end id.
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts behind each other, each with the end id, and where each begins (len + 1).
 
-        Case is folded before the lookup for A-Z only, and not in texts that hold combining marks (which may
-        compose with a small letter alone); texts that may hold special tokens are encoded as they are.
+        The words of the batch are cut before a sign behind A-Z, which no normalizer turns into anything but a
+        letter, and looked up once for each distinct one. Case is folded before for A-Z only, and not in texts with
+        combining marks (which may compose with a small letter alone). Texts that may hold special tokens are
+        encoded whole.
         """
-        out: list[bytes | None] = [None] * len(some)
-        parts, kept = [], self.kept
-        for i, t in enumerate(some):
-            t = t or b""
-            if not self.by_piece or b"<|" in t:
-                out[i] = np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, self.kind).tobytes() + self.end
-                parts.append([])
-            else:
-                parts.append((t if b"\xcc" in t or b"\xcd" in t else t.lower()).replace(b"\n", b" ").split(b" "))
-        if len(kept) > MOST_KEPT:
-            kept.clear()
-        self._learn(set(chain.from_iterable(parts)).difference(kept))
-        get = kept.__getitem__
-        return [o or b"".join(map(get, p)) + self.end for o, p in zip(out, parts)]
+        data, at = T.utf8(column)
+        owner = lambda places: np.unique(np.searchsorted(at, places, "right") - 1)
+        special = owner(np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))) if self.by_piece else np.arange(len(column))
+        marked = owner(np.flatnonzero((data == 0xCC) | (data == 0xCD)))
+        folded = T.LOWER[data]
+        for i in marked.tolist():
+            folded[at[i]:at[i + 1]] = data[at[i]:at[i + 1]]
+        for i in special.tolist():
+            folded[at[i]:at[i + 1]] = 32
+        begin, end, _ = T.spans(folded, at)
+        cut = np.flatnonzero(SIGN[folded[1:]] & LETTER[folded[:-1]]) + 1
+        cut = cut[~np.isin(cut, at)]
+        begin, end = np.sort(np.concatenate((begin, cut))), np.sort(np.concatenate((end, cut)))
+        offsets = np.concatenate(([0], np.cumsum(end - begin)))
+        solid = folded[~T.SPACE[folded]]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(solid)])
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.kept) > MOST_KEPT:
+            self.kept = dict(islice(self.kept.items(), len(self.kept) // 2, None))
+        self._learn([w for w in distinct if w not in self.kept])
+        parts = [self.kept[w] for w in distinct]
+        # Behind the distinct words stand the ids of the special texts, and the end id.
+        parts += [self.whole(data[at[i]:at[i + 1]].tobytes()).tobytes() for i in special.tolist()] + [self.end.tobytes()]
+        flat = np.frombuffer(b"".join(parts), self.kind)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.kind.itemsize
+        start = np.cumsum(size) - size
+        # The sequence of all parts: the words of each text (or itself, if special), then the end.
+        n = np.diff(np.searchsorted(begin, at))
+        item = np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(n), len(parts) - 1)
+        last = np.cumsum(n + 1) - 1
+        if len(special):
+            item = np.insert(item, last[special], len(distinct) + np.arange(len(special)))
+            last = last + np.searchsorted(special, np.arange(len(n)), "right")
+        total = np.cumsum(size[item])
+        ids = flat[np.repeat(start[item] - total + size[item], size[item]) + np.arange(total[-1] if len(total) else 0)]
+        return ids, np.concatenate(([0], total[last])) if len(n) else np.zeros(1, np.int64)
 
 
 def encoder(path: str, end: int) -> Encoder:
@@ -127,15 +167,15 @@ def encoder(path: str, end: int) -> Encoder:
     return _encoders[path]
 
 
-def _framed(payloads: list[bytes]) -> tuple[bytes, np.ndarray]:
+def _framed(payload: bytes, cuts: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The records behind each other, and where each begins (len + 1)."""
-    sizes = np.fromiter(map(len, payloads), np.int64, len(payloads))
-    at = np.concatenate(([0], np.cumsum(sizes)))
-    body = masked(crc32c(np.frombuffer(b"".join(payloads), np.uint8), at)).astype("<u4")
-    lengths = sizes.astype("<u8")
-    head = masked(crc32c(lengths.view(np.uint8), np.arange(0, 8 * len(sizes) + 1, 8))).astype("<u4")
-    out = b"".join(x for i, p in enumerate(payloads) for x in (lengths[i].tobytes(), head[i].tobytes(), p, body[i].tobytes()))
-    return out, at + FRAME * np.arange(len(at))
+    lengths = np.diff(cuts).astype("<u8")
+    body = masked(crc32c(np.frombuffer(payload, np.uint8), cuts)).astype("<u4").tobytes()
+    head = masked(crc32c(lengths.view(np.uint8), np.arange(0, 8 * len(lengths) + 1, 8))).astype("<u4").tobytes()
+    told, ends = lengths.tobytes(), cuts.tolist()
+    out = b"".join(x for i, (a, b) in enumerate(zip(ends, ends[1:])) for x in
+                   (told[8 * i:8 * i + 8], head[4 * i:4 * i + 4], payload[a:b], body[4 * i:4 * i + 4]))
+    return out, cuts + FRAME * np.arange(len(cuts))
 
 
 def write_records(docs: DataFrame, by: list[Column], folder: str, tokenizer: str, end: int, shelf: Shelf) -> DataFrame:
@@ -147,11 +187,11 @@ def write_records(docs: DataFrame, by: list[Column], folder: str, tokenizer: str
         name, out = f"{root}/{part:06d}-{uuid.uuid4().hex}.records", None
         at = before = rows = 0
         for b in T.pieces(batches, "text"):
-            payloads = own.texts(b.column(1).cast(pa.binary()).to_pylist())
-            data, places = _framed(payloads)
+            ids, cuts = own.texts(b.column(1))
+            data, places = _framed(ids.tobytes(), cuts * own.kind.itemsize)
             out = out or system.open_output_stream(name)
             out.write(data)
-            n = np.fromiter(map(len, payloads), np.int64, len(payloads)) // own.kind.itemsize
+            n = np.diff(cuts)
             size = places[1:] - places[:-1]
             yield pa.RecordBatch.from_arrays([
                 pa.array((part << 33) + rows + np.arange(len(n))), b.column(0), pa.array([name.rsplit("/", 1)[1]] * len(n)),
@@ -168,6 +208,21 @@ def write_records(docs: DataFrame, by: list[Column], folder: str, tokenizer: str
         "doc_id", (F.col("_before") + F.col("before")).alias("start"), "n_tokens", "file", "at", "bytes")
 
 
+def _parsed(raw: bytes, size: np.ndarray, kind: str, name: str) -> list[np.ndarray]:
+    """The ids of neighbouring records of these sizes; damage is an error."""
+    data, ends = np.frombuffer(raw, np.uint8), np.cumsum(size)
+    begins = ends - size
+    if len(data) != ends[-1] or size.min() < FRAME:
+        raise ValueError(f"a record of {name} is damaged")
+    number = lambda place, width: data[place[:, None] + np.arange(width)].copy().view(f"<u{width}")[:, 0]
+    sums = crc32c(data, np.append(np.stack([begins, begins + 8, begins + 12, ends - 4], 1).reshape(-1), len(data)))
+    if (masked(sums[0::4]) != number(begins + 8, 4)).any() or (masked(sums[2::4]) != number(ends - 4, 4)).any() \
+            or (number(begins, 8) != (size - FRAME).astype(np.uint64)).any():
+        raise ValueError(f"a record of {name} is damaged")
+    width = np.dtype(kind).itemsize
+    return [np.frombuffer(raw, kind, n, a).astype("<u4") for a, n in zip((begins + 12).tolist(), ((size - FRAME) // width).tolist())]
+
+
 def read_records(index: DataFrame, folder: str, kind: str, columns: str, emit) -> DataFrame:
     """Read the records that the index names, in any order, check both checksums of each, and ``emit`` rows.
 
@@ -177,24 +232,20 @@ def read_records(index: DataFrame, folder: str, kind: str, columns: str, emit) -
         system, root = pa.fs.FileSystem.from_uri(folder)
         open_name, source = None, None
         for b in batches:
-            where = b.to_pydict()
-            ids = []
-            for begin in range(0, b.num_rows, 500):
-                raw = []
-                for name, at, size in zip(*(where[c][begin:begin + 500] for c in ("file", "at", "bytes"))):
-                    if name != open_name:
-                        open_name, source = name, system.open_input_file(f"{root}/{name}")
-                    raw.append(source.read_at(size, at))
-                data = np.frombuffer(b"".join(raw), np.uint8)
-                ends = np.cumsum([len(r) for r in raw])
-                begins = ends - [len(r) for r in raw]
-                pairs = np.stack([begins, begins + 8, begins + 12, ends - 4], 1)
-                sums = crc32c(data, np.append(pairs.reshape(-1), len(data)))
-                told = [np.frombuffer(r, "<u4", 1, 8)[0] for r in raw], [np.frombuffer(r, "<u4", 1, len(r) - 4)[0] for r in raw]
-                lengths = [int(np.frombuffer(r, "<u8", 1)[0]) + FRAME for r in raw]
-                if (masked(sums[0::4]) != told[0]).any() or (masked(sums[2::4]) != told[1]).any() or lengths != [len(r) for r in raw]:
-                    raise ValueError(f"a record of {open_name} is damaged")
-                ids += [np.frombuffer(r, kind, (len(r) - FRAME) // np.dtype(kind).itemsize, 12).astype("<u4") for r in raw]
+            file, at = b.column("file").dictionary_encode(), b.column("at").to_numpy()
+            size, ids = b.column("bytes").to_numpy(), []
+            number = file.indices.to_numpy()
+            begin = 0
+            while begin < b.num_rows:
+                # A run of records that stand behind each other in one file.
+                breaks = np.flatnonzero((np.diff(number[begin:]) != 0) | (at[begin + 1:] != (at + size)[begin:-1]))
+                end = begin + 1 + (int(breaks[0]) if len(breaks) else b.num_rows - begin - 1)
+                end = begin + max(1, int(np.searchsorted((at + size)[begin:end] - at[begin], READ, "right")))
+                name = file.dictionary[int(number[begin])].as_py()
+                if name != open_name:
+                    open_name, source = name, system.open_input_file(f"{root}/{name}")
+                ids += _parsed(source.read_at(int((at + size)[end - 1] - at[begin]), int(at[begin])), size[begin:end], kind, name)
+                begin = end
             if b.num_rows:
                 yield emit(b, ids)
     return index.mapInArrow(read, columns)

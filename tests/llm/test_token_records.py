@@ -1,7 +1,10 @@
+import random
+import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -34,11 +37,40 @@ def test_checksum_vectors():
     assert int(masked(one)[0]) == ((((0x12345678 >> 15) | (0x12345678 << 17)) & 0xFFFFFFFF) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def test_pieces_equal_whole_texts():
+def same_as_whole(texts):
     own, t = Encoder(PATH, 1), Tokenizer.from_file(PATH)
     assert own.by_piece
-    for text, got in zip(TRICKY, own.texts([x.encode() for x in TRICKY])):
-        assert np.frombuffer(got, "<u2").tolist() == [*t.encode(text, add_special_tokens=False).ids, 1], text
+    ids, at = own.texts(pa.array(texts))
+    want = t.encode_batch([x or "" for x in texts], add_special_tokens=False)
+    for text, w, a, b in zip(texts, want, at, at[1:]):
+        assert ids[a:b].tolist() == [*w.ids, 1], text
+
+
+def test_pieces_equal_whole_texts():
+    same_as_whole(TRICKY)
+    same_as_whole([None, *TRICKY[::-1], None])
+    same_as_whole(["<|endoftext|>"])
+    same_as_whole(["GENEL DERSİ, VE SERVİSİ.", "पढ़. ज़, ড়! ਸ਼: क़ख़.", "ß. ẞ, ŉ! ǰ? ΐ; ΰ: եւ. ẖ, ẗ ẘ! ẚ."])
+
+
+def test_empty_column():
+    ids, at = Encoder(PATH, 1).texts(pa.array([], pa.string()))
+    assert len(ids) == 0 and at.tolist() == [0]
+
+
+def test_every_letter_before_a_sign():
+    """All code points, alone and in a word, before a sign."""
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for form in ("{}.", "be{}, {}k{}!"):
+        some = [form.replace("{}", c) for c in points if form == "{}." or c.isalpha() or unicodedata.combining(c)]
+        for i in range(0, len(some), 100_000):
+            same_as_whole(some[i:i + 100_000])
+
+
+def test_random_strings():
+    rnd = random.Random(7)
+    letters = "aZ.,!?%| \n\t'sStTdD0|<>é́İßΣςЖкअक़़ǅﬁ日\u00a0\u0338=-_\u1e9e\u200d🙂\u0b5c\u0307"
+    same_as_whole(["".join(rnd.choices(letters, k=rnd.randint(0, 24))) for _ in range(50_000)])
 
 
 def test_whole_table(spark):
@@ -61,7 +93,6 @@ def test_shuffled_reads_and_damage(spark):
     df = spark.createDataFrame([(i, f"text {i} " * (i + 1)) for i in range(50)], "doc_id long, text string")
     folder = f"{shelf.root}/records"
     index = write_records(df, ["doc_id"], folder, PATH, 1, shelf)
-    import pyarrow as pa
     sizes = lambda b, ids: pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64())], ["doc_id", "n"])
     rows = read_records(index.orderBy("bytes", "doc_id"), folder, "<u2", "doc_id long, n long", sizes).collect()
     assert {r.doc_id: r.n for r in rows} == {r[0]: r[2] for r in plain([(i, f"text {i} " * (i + 1)) for i in range(50)])}
