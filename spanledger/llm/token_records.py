@@ -32,8 +32,9 @@ INDEX = "place long, doc_id long, file string, at long, bytes long, n_tokens lon
 SIGNS = b".,;:!?%*$&#|"
 SIGN, LETTER = np.zeros(256, bool), np.zeros(256, bool)
 SIGN[list(SIGNS)] = LETTER[65:91] = LETTER[97:123] = True
-MOST_KEPT = 400_000  # pieces of text whose ids a worker keeps
-READ = 8 << 20  # bytes of neighbouring records read at once; a longer record is read alone
+MOST_KEPT = 300_000  # pieces of text whose ids a worker keeps
+PIECE = 1 << 20  # bytes of text whose words are looked up together
+READ = 1 << 20  # bytes of neighbouring records read at once; a longer record is read alone
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -186,7 +187,7 @@ def write_records(docs: DataFrame, by: list[Column], folder: str, tokenizer: str
         system.create_dir(root, recursive=True)
         name, out = f"{root}/{part:06d}-{uuid.uuid4().hex}.records", None
         at = before = rows = 0
-        for b in T.pieces(batches, "text"):
+        for b in T.pieces(batches, "text", PIECE):
             ids, cuts = own.texts(b.column(1))
             data, places = _framed(ids.tobytes(), cuts * own.kind.itemsize)
             out = out or system.open_output_stream(name)
@@ -233,7 +234,7 @@ def read_records(index: DataFrame, folder: str, kind: str, columns: str, emit) -
         open_name, source = None, None
         for b in batches:
             file, at = b.column("file").dictionary_encode(), b.column("at").to_numpy()
-            size, ids = b.column("bytes").to_numpy(), []
+            size = b.column("bytes").to_numpy()
             number = file.indices.to_numpy()
             begin = 0
             while begin < b.num_rows:
@@ -244,10 +245,9 @@ def read_records(index: DataFrame, folder: str, kind: str, columns: str, emit) -
                 name = file.dictionary[int(number[begin])].as_py()
                 if name != open_name:
                     open_name, source = name, system.open_input_file(f"{root}/{name}")
-                ids += _parsed(source.read_at(int((at + size)[end - 1] - at[begin]), int(at[begin])), size[begin:end], kind, name)
+                ids = _parsed(source.read_at(int((at + size)[end - 1] - at[begin]), int(at[begin])), size[begin:end], kind, name)
+                yield emit(b.slice(begin, end - begin), ids)
                 begin = end
-            if b.num_rows:
-                yield emit(b, ids)
     return index.mapInArrow(read, columns)
 
 
