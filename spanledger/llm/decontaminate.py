@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from spanledger.llm import textscan as T
+from spanledger.llm.order import free_name
 from spanledger.operators.support import Shelf
 
 COLUMNS = 1 << 17  # hashed words
@@ -35,7 +37,11 @@ NEAR = 0.55  # cosine of a candidate
 LCS, LCS_WITH_ANSWER, ANSWER_WORDS = 0.6, 0.45, 4  # shares of the item's words
 UNCOUNTED = 0.35  # share of an item's words, the commonest, that its bound leaves out; the bound is exact with any
 PIECE = 256 << 10
-FOUND = "doc_id long, item_id long, cosine double, lcs double, answer boolean"
+AT_ONCE = 4  # blocks of items that are sought in one pass
+HITS = "hits"
+HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.bool_())]))
+HITS_TYPE = ArrayType(StructType([StructField("item_id", LongType()), StructField("cosine", DoubleType()),
+                                  StructField("lcs", DoubleType()), StructField("answer", BooleanType())]))
 
 
 def _columns(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,83 +270,116 @@ def _contains(words: list[int], part: list[int]) -> bool:
     return any(words[i:i + len(part)] == part for i, x in enumerate(words) if x == part[0])
 
 
-def _search(items: Items, bound: Bound, sent, near: float):
+def _search(sent, near: float, at: int, held: int, name: str):
+    """The batches with the hits of each row in the last column. ``held`` is the place of earlier hits, or -1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space: Space = sent.value
+        blocks: list[tuple[Items, Bound, Space]] = sent.value
         for b in T.pieces(batches, "text", PIECE):
-            h, column, before = _columns(*T.utf8(b.column(1)))
+            h, column, before = _columns(*T.utf8(b.column(at)))
             begin, text = _blocks(before)
-            vectors = space.passages(column, begin, np.minimum(begin + BLOCK, before[text + 1]))
-            beside = np.flatnonzero(text[1:] == text[:-1])
-            halves = vectors.copy()
-            vectors[beside] += halves[beside + 1]
-            vectors = unit(vectors)
-            best: dict[tuple[int, int], tuple[float, float, bool]] = {}
-            pairs = set(bound.candidates(h, before, begin, text))
-            for p0 in range(0, len(begin), 4096):
-                p, i = np.nonzero(vectors[p0:p0 + 4096] @ items.vectors.T >= near)
-                pairs.update(zip((p + p0).tolist(), i.tolist()))
-            for p, i in sorted(pairs):
-                t, word = int(text[p]), items.words[i]
-                lo, hi = max(int(before[t]), int(begin[p]) - len(word)), min(int(before[t + 1]), int(begin[p]) + 2 * BLOCK + len(word))
-                around = h[lo:hi].tolist()
-                # No subsequence is longer than the item's words that are there at all.
-                there = set(around)
-                most, answer = sum(x in there for x in word) / len(word), items.answers[i]
-                if most < LCS and (most < LCS_WITH_ANSWER or not answer or not there.issuperset(answer)):
-                    continue
-                found = (lcs_length(word, around) / len(word), float(vectors[p] @ items.vectors[i]), bool(answer) and _contains(around, answer))
-                if found[0] >= LCS or found[0] >= LCS_WITH_ANSWER and found[2]:
-                    best[t, i] = max(best.get((t, i), (0.0, 0.0, False)), found)
-            rows = [(t, items.ids[i], c, l, a) for (t, i), (l, c, a) in best.items()]
-            yield pa.RecordBatch.from_arrays([
-                b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()),
-                *(pa.array([r[k] for r in rows], kind) for k, kind in ((2, pa.float64()), (3, pa.float64()), (4, pa.bool_())))],
-                ["doc_id", "item_id", "cosine", "lcs", "answer"])
+            hits: dict[int, list] = {}
+            for items, bound, space in blocks:
+                for t, hit in _hits(items, bound, space, near, h, column, before, begin, text):
+                    hits.setdefault(t, []).append(hit)
+            rows = [hits.get(t, []) for t in range(b.num_rows)]
+            if held >= 0:
+                rows = [x + y for x, y in zip(b.column(held).to_pylist(), rows)]
+                b = b.remove_column(held)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, HIT)], [*b.schema.names, name])
     return run
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, answer): the items that a text holds, verbatim or paraphrased.
-
-    ``docs`` is (doc_id, text), ``benchmark`` (item_id, text). The whole of every text is searched. An item
-    is held where the words of a place have an LCS of 60 % of the item's, or 45 % together with its answer.
-    Null and blank texts and items hold nothing; rows with equal ids are told apart no further.
+def _hits(items: Items, bound: Bound, space: Space, near: float, h: np.ndarray, column: np.ndarray, before: np.ndarray,
+          begin: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, dict]]:
+    """(text, hit) for each item of a block that a text of the piece holds."""
+    vectors = space.passages(column, begin, np.minimum(begin + BLOCK, before[text + 1]))
+    beside = np.flatnonzero(text[1:] == text[:-1])
+    halves = vectors.copy()
+    vectors[beside] += halves[beside + 1]
+    vectors = unit(vectors)
+    best: dict[tuple[int, int], tuple[float, float, bool]] = {}
+    pairs = set(bound.candidates(h, before, begin, text))
+    for p0 in range(0, len(begin), 4096):
+        p, i = np.nonzero(vectors[p0:p0 + 4096] @ items.vectors.T >= near)
+        pairs.update(zip((p + p0).tolist(), i.tolist()))
+    for p, i in sorted(pairs):
+        t, word = int(text[p]), items.words[i]
+        lo, hi = max(int(before[t]), int(begin[p]) - len(word)), min(int(before[t + 1]), int(begin[p]) + 2 * BLOCK + len(word))
+        around = h[lo:hi].tolist()
+        # No subsequence is longer than the item's words that are there at all.
+        there = set(around)
+        most, answer = sum(x in there for x in word) / len(word), items.answers[i]
+        if most < LCS and (most < LCS_WITH_ANSWER or not answer or not there.issuperset(answer)):
+            continue
+        found = (lcs_length(word, around) / len(word), float(vectors[p] @ items.vectors[i]), bool(answer) and _contains(around, answer))
+        if found[0] >= LCS or found[0] >= LCS_WITH_ANSWER and found[2]:
+            best[t, i] = max(best.get((t, i), (0.0, 0.0, False)), found)
+    for (t, i), (lcs, cosine, answer) in best.items():
+        yield t, {"item_id": items.ids[i], "cosine": cosine, "lcs": lcs, "answer": answer}
+
+
+def searched(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> tuple[DataFrame, str]:
+    """The rows of ``docs`` (text and any others) with their hits, and the name of that column.
+
+    ``benchmark`` is (item_id, text). The whole of every text is searched, for all blocks of up to ``AT_ONCE``
+    blocks of items in one pass; the rows are stored between passes. Every row is judged by its own text, so
+    null or repeated ids make no difference. Null and blank texts and items hold nothing.
     """
     spark = docs.sparkSession
     shelf = Shelf(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    texts = docs.select("text")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     kinds = "c long, n long, h long, columns array<long>"
-    scanned = shelf.put(docs.select("text").mapInArrow(_scan(FIT_PASSAGES), kinds), "scanned")
+    scanned = shelf.put(texts.mapInArrow(_scan(FIT_PASSAGES), kinds), "scanned")
     idf = inverse_frequencies(scanned)
     passages = shelf.put(scanned.where("h is not null").orderBy("h").limit(FIT_PASSAGES).select("columns"), "passages")
     shelf.drop("scanned")
     parts = max(1, -(-items.count() // ITEMS))
-    found = None
-    for part in range(parts):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        whole = block.select("text").mapInArrow(_scan(ALL), kinds).where("h is not null").select("columns")
-        space = basis(shelf.put(whole.union(passages).repartition(4), "fit"), idf)
-        shelf.drop("fit")
-        own = Items(block.orderBy("item_id", "text").collect(), space)
-        sent = spark.sparkContext.broadcast(space)  # 34 MB at most
-        # Written at once, so that the driver holds the basis of one block at a time.
-        hits = shelf.put(docs.mapInArrow(_search(own, Bound(own, idf), sent, near), FOUND), f"hits{part}")
-        sent.destroy()
-        found = hits if found is None else found.union(hits)
-    shelf.drop("passages")
-    return found
+    name, at, held = free_name(docs, HITS), docs.columns.index("text"), -1
+    for first in range(0, parts, AT_ONCE):
+        blocks = []
+        for part in range(first, min(first + AT_ONCE, parts)):
+            block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+            whole = block.select("text").mapInArrow(_scan(ALL), kinds).where("h is not null").select("columns")
+            space = basis(shelf.put(whole.union(passages).repartition(4), "fit"), idf)
+            shelf.drop("fit")
+            own = Items(block.orderBy("item_id", "text").collect(), space)
+            blocks.append((own, Bound(own, idf), space))
+        sent = spark.sparkContext.broadcast(blocks)  # 34 MB a block at most, AT_ONCE blocks
+        plain = [f for f in docs.schema.fields if f.name != name]
+        docs = docs.mapInArrow(_search(sent, near, at, held, name), StructType([*plain, StructField(name, HITS_TYPE)]))
+        held = len(plain)
+        if first + AT_ONCE < parts:
+            docs = shelf.put(docs, f"pass{first}")
+    return docs, name
+
+
+def contaminations(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> DataFrame:
+    """(doc_id, item_id, cosine, lcs, answer): the items that a text holds, verbatim or paraphrased.
+
+    ``docs`` is (doc_id, text). An item is held where the words of a place have an LCS of 60 % of the item's,
+    or 45 % together with its answer. Rows with equal ids give their hits each.
+    """
+    rows, hits = searched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, near)
+    return rows.select("doc_id", F.inline(hits))
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (text and any others) that hold no item, with all columns."""
+    rows, hits = searched(docs, benchmark)
+    return rows.where(F.size(hits) == 0).select(*docs.columns)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, kept, item_id, n_items, cosine, lcs, answer) for each row of ``docs``.
 
     The columns after ``kept`` tell of the item with the greatest LCS (then least id); null where there is none.
+    A row without doc_id is judged by its text like any other. An empty table gives no rows.
     """
-    found = contaminations(docs, benchmark)
-    best = found.groupBy("doc_id").agg(F.max(F.struct("lcs", (-F.col("item_id")).alias("least"), "cosine", "answer")).alias("b"),
-                                       F.count_distinct("item_id").alias("n_items"))
-    return docs.select("doc_id").join(best, "doc_id", "left").select(
-        "doc_id", F.col("b").isNotNull().alias("contaminated"), F.col("b").isNull().alias("kept"), (-F.col("b.least")).alias("item_id"),
-        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "b.cosine", "b.lcs", "b.answer")
+    rows, hits = searched(docs.select("doc_id", "text"), benchmark)
+    best = F.array_max(F.transform(hits, lambda h: F.struct(h["lcs"], (-h["item_id"]).alias("least"), h["cosine"], h["answer"])))
+    clean = F.size(hits) == 0
+    return rows.select("doc_id", (~clean).alias("contaminated"), clean.alias("kept"), best.alias("b"),
+                       F.size(F.array_distinct(F.transform(hits, lambda h: h["item_id"]))).cast("long").alias("n_items")).select(
+        "doc_id", "contaminated", "kept", (-F.col("b.least")).alias("item_id"), "n_items", "b.cosine", "b.lcs", "b.answer")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanledger.llm.order import free_name
 from spanledger.operators.support import Shelf
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -104,10 +105,11 @@ def queued(docs: DataFrame, shelf: Shelf, weights: DataFrame | None = None, shar
 def mixed(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.0, rounds: int = ROUNDS) -> DataFrame:
     """The rows of ``docs`` (doc_id, source, text and any others) that the mix holds, once for each copy,
     sorted over all parts by virtual finish time. Rows whose text has no words are never in the mix. Rows
-    that share doc_id and size share one decision."""
-    plan = queued(docs, Shelf(docs.sparkSession), weights, share, rounds).where("taken > 0").groupBy(
-        F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(
+    that share doc_id and size share one decision. Other columns may have any names."""
+    plan = queued(docs, Shelf(docs.sparkSession), weights, share, rounds).where("taken > 0").groupBy("doc_id", "size").agg(
         F.max(F.struct(F.size("finish").alias("k"), "finish"))["finish"].alias("finish"))
-    held = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (words("text") == F.col("_size")))
-    return held.withColumn("_finish", F.explode("finish")).repartitionByRange("_finish", "doc_id").sortWithinPartitions(
-        "_finish", "doc_id").select(*docs.columns)
+    p, at = free_name(docs, "plan"), free_name(docs, "finish")
+    plan = plan.select(F.struct("doc_id", "size", "finish").alias(p))
+    held = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(f"{p}.doc_id")) & (words("text") == F.col(f"{p}.size")))
+    return held.select(*docs.columns, F.explode(f"{p}.finish").alias(at)).repartitionByRange(at, "doc_id").sortWithinPartitions(
+        at, "doc_id").select(*docs.columns)

@@ -8,7 +8,8 @@
 4. Buckets that still hold several components are finished exactly: the classes in them are joined on the
    rarest quarter of their shingles (two sets of similarity 0.75 must share one there), with bounds from
    size and position, and only between different components. So neither a large family of copies nor a
-   passage that many texts share is expanded into its pairs, and no link is lost.
+   passage that many texts share is expanded into its pairs, and no link is lost but those of pairs that share
+   no band at all (5 in a million at 0.75) and are not reached over other links either.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from spanledger.llm import textscan as T
 from spanledger.llm.components import components
+from spanledger.llm.order import free_name
 from spanledger.operators.support import Shelf
 
 WORDS, BINS, BANDS = 5, 128, 32
@@ -164,3 +166,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group, with all columns.
+
+    Every row is a document of its own, whatever its key: the row with the least key stays (a null key last;
+    among equal keys the one stored first). Null and blank texts are linked with nothing and stay.
+    """
+    shelf = Shelf(docs.sparkSession)
+    row = free_name(docs, "row_key")
+    keyed = shelf.put(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    grouped = near_duplicates(keyed, row, text).select(F.col("doc_id").alias(row), F.col("component_id").alias("c"))
+    grouped = shelf.put(grouped, "grouped")
+    several = grouped.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c")
+    members = shelf.put(grouped.join(several, "c").join(keyed.select(row, F.col(key).alias("key")), row), "members")
+    least = members.groupBy("c").agg(F.min("key").alias("least"))
+    stays = members.join(least, "c").where("key <=> least").groupBy("c").agg(F.min(row).alias("stays"))
+    gone = members.join(stays, "c").where(F.col(row) != F.col("stays")).select(row)
+    return keyed.join(gone, row, "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanledger.llm.order import numbered
+from spanledger.llm.order import free_name, numbered
 from spanledger.llm.textscan import mix
 from spanledger.operators.support import Shelf
 
@@ -75,9 +75,9 @@ def sharded(docs: DataFrame, by: list[Column], shards: int = SHARDS, seed: int =
     shelf = Shelf(docs.sparkSession)
     rows = numbered(docs.drop("row_number", "shard", "slot"), by, shelf)
     n = docs.sparkSession.read.parquet(f"{shelf.root}/ranged").count()
-    place = _place(n, seed)("row_number")
-    return rows.withColumn("_p", place).withColumn("shard", (F.col("_p") % shards).cast("int")).withColumn(
-        "slot", F.floor(F.col("_p") / shards).cast("long")).drop("_p")
+    p = free_name(rows, "place")
+    return rows.withColumn(p, _place(n, seed)("row_number")).withColumn("shard", (F.col(p) % shards).cast("int")).withColumn(
+        "slot", F.floor(F.col(p) / shards).cast("long")).drop(p)
 
 
 def write_shards(rows: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 2 << 20  # bytes of text handled at once; a longer single text makes a piece of its own
+PIECE = 256 << 10  # bytes of text handled at once, so that arrays stay small and in the cache; a longer single text makes a piece of its own
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
