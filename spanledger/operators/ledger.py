@@ -1,4 +1,4 @@
-"""The closure ledger: every candidate line is either taken or declined, and counted."""
+"""Counts of declined lines by reason, and caps that only go down."""
 
 from __future__ import annotations
 
@@ -6,49 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions import words as W
-from spanledger.functions.hashing import text_key
 
 CELL = ["family", "release"]
 
 
-def closure_ledger(judged: DataFrame, recorded: DataFrame) -> DataFrame:
-    """Counts per (family, release).
-
-    ``judged`` has one row per candidate line with ``reason`` null when it was taken.
-    ``recorded`` is the written record table: a taken line counts as recorded only when
-    its text is found there, so the check can fail.
-    """
-    texts = recorded.select(text_key(F.col("text")).alias("_key"), F.lit(1).alias("_kept")).distinct()
-    # Pre-aggregate to distinct texts per cell, so that a hot text joins as one row.
-    per_text = judged.groupBy(*CELL, text_key(F.col("text")).alias("_key")).agg(
-        F.count("*").alias("_lines"), F.count_if(F.col("reason").isNull()).alias("_taken"),
-        F.count_if(F.col("reason") == "unparseable").alias("_unparsed"))
-    d = per_text.join(texts, "_key", "left")
-    taken = F.col("_taken") > 0
-    return d.groupBy(*CELL).agg(
-        F.sum("_lines").alias("candidates"), F.sum("_taken").alias("classified"),
-        F.sum(F.col("_lines") - F.col("_taken")).alias("residue"),
-        F.sum(F.when(F.col("_kept").isNotNull(), F.col("_taken")).otherwise(0)).alias("recorded"),
-        F.count_if(taken & F.col("_kept").isNotNull()).alias("records"),
-        F.sum("_unparsed").alias("unclassified_residue"))
-
-
-def balance_violations(ledger: DataFrame, recount: DataFrame) -> DataFrame:
-    """(family, release, code) of every cell that does not balance.
-
-    ``recount`` counts the residue independently as ``residue_recount``.
-    """
-    d = ledger.join(recount, CELL, "full")
-    missing = F.col("candidates").isNull()
-    codes = F.array_compact(F.array(
-        F.when(missing, "cell-not-in-ledger"),
-        F.when(F.col("classified") + F.col("residue") != F.col("candidates"), "candidates"),
-        F.when(F.col("recorded") != F.col("classified"), "recorded"),
-        F.when(F.col("classified") == 0, "zero-classified"),
-        F.when(~missing & (F.coalesce("residue_recount", F.lit(0)) != F.col("residue")), "recount")))
-    return d.select(*CELL, F.explode(codes).alias("code"))
-
-
 def reason_pivot(judged: DataFrame) -> DataFrame:
     """Declined lines per cell with one column per reason of the closed set."""
     names = {r: r.replace("-", "_") for r in W.RESIDUE_REASONS}

@@ -11,10 +11,11 @@ from spanledger.operators import classify as C
 from spanledger.operators import dedupe as D
 from spanledger.operators import ledger as G
 from spanledger.operators import overlap as O
+from spanledger.operators import records as R
 from spanledger.operators.integrity import resolve_anchors
 from spanledger.operators.lines import explode_lines, with_prompt
 from spanledger.operators.mining import mine
-from spanledger.operators.support import settled
+from spanledger.operators.patterns import DESTRUCTIVE, RANK
 from spanledger.operators.windows import cell_stride_sample
 from spanledger.plans.base import (DOC_LINES, LOG, command_log, document_lines, query, sql_list,
                                    sql_strip, sql_tokens, table, texts)
@@ -144,41 +145,73 @@ def mine_corpus(spark, sf):
                                     F.coalesce("tool", F.lit("")).alias("tool"))
 
 
-_RECORDED = "select distinct text from j where reason is null"
+def mined(spark, sf) -> R.Mined:
+    """The whole chain over the corpus: judged lines, records and residue, each written and read back."""
+    d = judged(spark, sf).select("family", "release", "text", "tool", "reason", (F.col("family") == "documents").alias("governing"),
+                                 (F.col("line_no") % 2 == 1).alias("verbatim_span"))
+    return R.Mined(d)
+
+
+_PEELED = r"""regexp_replace(regexp_replace(regexp_replace(st, '^(sudo -u [^ ]+|nohup|timeout [0-9]+|xargs -n 1) ', ''),
+  '^[A-Za-z_][A-Za-z0-9_]*=[^ ]* ', ''), '^(sudo -u [^ ]+|nohup) ', '')"""
+_STAGE_HEADS = rf"""list_transform(list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(text, '"[^"]*"', '"Q"', 'g'),
+  '\$\([^()]*\)', 'SUB', 'g'), '\|\||&&|\||;'), lambda x: trim(x)), lambda x: x <> ''),
+  lambda st: regexp_extract(split_part({_PEELED}, ' ', 1), '([^/]*)$', 1))"""
+_TRUNC = """(text <> '' and ((length(text) - length(replace(text, '"', ''))) % 2 = 1
+  or (length(text) - length(replace(text, '''', ''))) % 2 = 1 or regexp_matches(text, '[-=,]$')
+  or regexp_matches(text, '(^|\\s)--[A-Za-z0-9][A-Za-z0-9-]*$')))"""
+_RATED = "greatest(" + ", ".join(
+    f"""case when contains(lower(text), '{m.lower()}') or contains(translate(lower(text), '"''', ''), '{m.lower()}') then {RANK[r]} else -1 end"""
+    for _, m, r in DESTRUCTIVE) + ")"
+
+
+@query("mine_records", f"""
+with j as materialized (select text, head as tool, family, release, line_no from ({JUDGED}) where reason is null),
+c as (select text, string_agg(family || '/' || release || '=' || n, ' ' order by family, release) as cells from (
+  select text, family, release, count(*) as n from j group by all) group by text),
+r as (select text, tool, count(*) as n, bool_or(family = 'documents') as gov, bool_and(line_no % 2 = 1) as verb,
+  string_agg(distinct lpad(cast(length(release) as varchar), 3, '0') || release, ',' order by lpad(cast(length(release) as varchar), 3, '0') || release) as releases
+  from j group by text, tool)
+select 'ref-' || substr(sha256(text), 1, 16) as id, tool, text, case when gov then 'governing' else 'documentary' end as authority,
+  verb and not {_TRUNC} as verbatim_span, {_TRUNC} as truncated,
+  case when len({_STAGE_HEADS}) > 1 then array_to_string({_STAGE_HEADS}, '|') else '' end as stages,
+  case {_RATED} when 2 then 'red' when 1 then 'yellow' else 'unrated' end as rating,
+  regexp_replace(releases, '(^|,)[0-9]{{3}}', '\\1', 'g') as releases, cells, n
+from r join c using (text)""")
+def mine_records(spark, sf):
+    """The finalised records of the corpus: deduped, counted by cell, staged, rated, in the order of the table."""
+    cells = F.array_join(F.transform("cells", lambda c: F.concat(c["family"], F.lit("/"), c["release"], F.lit("="), c["n"])), " ")
+    return mined(spark, sf).records.withColumns({
+        "stages": F.coalesce(F.array_join("stages", "|"), F.lit("")), "releases": F.array_join("releases", ","), "cells": cells})
+
+
 _LEDGER = f"""
-with j as ({JUDGED}), rec as ({_RECORDED})
+with j as ({JUDGED})
 select family, release, count(*) as candidates, cast(count(*) filter (where reason is null) as bigint) as classified,
   cast(count(*) filter (where reason is not null) as bigint) as residue,
-  cast(count(*) filter (where reason is null and rec.text is not null) as bigint) as recorded,
-  count(distinct case when reason is null and rec.text is not null then j.text end) as records,
+  cast(count(*) filter (where reason is null) as bigint) as recorded,
+  count(distinct case when reason is null then j.text end) as records,
   cast(count(*) filter (where reason = 'unparseable') as bigint) as unclassified_residue
-from j left join rec on rec.text = j.text group by family, release"""
+from j group by family, release"""
 
 
 def _ledger(spark, sf):
-    # The mined lines are a table that is written once; the ledger audits what was written.
-    d = settled(judged(spark, sf).select("family", "release", "text", "reason"))
-    kept = d.where(F.col("reason").isNull())
-    return d, G.closure_ledger(d, kept)
+    m = mined(spark, sf)
+    source = corpus(spark, sf).where(T.strip(F.col("line")) != "").select("family", "release")
+    return R.audit(source, m.judged, m.records, m.residue)
 
 
 @query("closure_ledger", _LEDGER)
 def closure_ledger(spark, sf):
-    return _ledger(spark, sf)[1]
+    return _ledger(spark, sf).drop("residue_recount")
 
 
 @query("ledger_balance", f"""
-with l as ({_LEDGER}), r as (select family, release, count(*) as n from ({JUDGED})
-  where reason is not null group by 1, 2)
-select l.family, l.release, code from l left join r on r.family = l.family and r.release = l.release, lateral (
-  select 'recorded' as code where recorded <> classified union all select 'zero-classified' where classified = 0
-  union all select 'candidates' where classified + residue <> candidates
-  union all select 'recount' where coalesce(n, 0) <> residue)""")
+select l.family, l.release, code from ({_LEDGER}) l, lateral (
+  select 'recorded' as code where recorded <> classified union all select 'zero-classified' where classified = 0 and candidates > 0
+  union all select 'candidates' where classified + residue <> candidates)""")
 def ledger_balance(spark, sf):
-    d, ledger = _ledger(spark, sf)
-    recount = (d.where(F.col("reason").isNotNull())
-               .groupBy("family", "release").agg(F.count("*").alias("residue_recount")))
-    return G.balance_violations(ledger, recount)
+    return R.imbalances(_ledger(spark, sf))
 
 
 @query("residue_rows", f"""
@@ -232,11 +265,6 @@ def _hits(spark, sf):
     return docs.unionByName(talk)
 
 
-_TRUNC = """(text <> '' and ((length(text) - length(replace(text, '"', ''))) % 2 = 1
-  or (length(text) - length(replace(text, '''', ''))) % 2 = 1 or regexp_matches(text, '[-=,]$')
-  or regexp_matches(text, '(^|\\s)--[A-Za-z0-9][A-Za-z0-9-]*$')))"""
-
-
 @query("dedupe_lines", f"""
 select 'ref-' || substr(sha256(text), 1, 16) as id, case when gov then 'governing' else 'documentary' end as authority,
   case when gov then 'verbatim-ok' else lic end as license_class, verb and not {_TRUNC} as verbatim_span,

@@ -85,17 +85,6 @@ def test_index_finds_what_a_scan_finds(spark):
     assert got == sorted((q, i) for q in queries for i, h in hay.items() if all(t in h for t in q.split()))
 
 
-def test_ledger_finds_lost_records_and_an_intact_twin_passes(spark):
-    judged = spark.createDataFrame([("f", "8", "x", None), ("f", "8", "x", None), ("f", "8", "y", "prose"), ("g", "8", "z", "prose")],
-                                   "family string, release string, text string, reason string")
-    recount = spark.createDataFrame([("f", "8", 1), ("g", "8", 2)], "family string, release string, residue_recount long")
-    whole = G.closure_ledger(judged, judged.where("reason is null"))
-    assert rows(whole, "family", "candidates", "classified", "residue", "recorded", "records") == [("f", 3, 2, 1, 2, 1), ("g", 1, 0, 1, 0, 0)]
-    assert rows(G.balance_violations(whole, recount), "family", "code") == [("g", "recount"), ("g", "zero-classified")]
-    lost = G.closure_ledger(judged, judged.where("text = 'nothing'"))
-    assert ("f", "recorded") in rows(G.balance_violations(lost, recount), "family", "code")
-
-
 def test_ratchet_statuses(spark):
     cur = spark.createDataFrame([("a", 5), ("b", 5), ("c", 3), ("d", 5), ("e", 5), ("n", 1), ("o", 1)], "k string, v long")
     base = spark.createDataFrame([("a", 5, "o", "2027-01-01"), ("b", 4, "o", "2027-01-01"), ("c", 4, "o", "2027-01-01"),
