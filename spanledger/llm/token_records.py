@@ -140,7 +140,9 @@ class Encoder:
         solid = folded[~T.SPACE[folded]]
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(solid)])
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        own, ends = T.utf8(coded.dictionary)
+        own, ends = own.tobytes(), ends.tolist()
+        distinct = [own[a:b] for a, b in zip(ends, ends[1:])]
         if len(self.kept) > MOST_KEPT:
             self.kept = dict(islice(self.kept.items(), len(self.kept) // 2, None))
         self._learn([w for w in distinct if w not in self.kept])
