@@ -22,11 +22,14 @@ WORD_CHAR = r"\p{L}\p{N}_"
 
 # Plain ASCII comes first: that class is the cheap one, and most text stays in it.
 TOKEN = (rf"""(?:[!#-&(-~]++|"[^"]*(?:"|\z)|'[^']*(?:'|\z)|[^{SPACE}"']++)++""")
-_NESTED = r"\$\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+(?:\)|\z)"
-STAGE = (rf"""(?:"[^"]*(?:"|\z)|'[^']*(?:'|\z)|`[^`]*(?:`|\z)|{_NESTED}"""
-         rf"""|\$(?!\()|&(?!&)|[^|;&\n"'`$]++)++""")
 SEPARATORS = ["||", "&&", "|", ";", "\n"]
+# Stages of a line without substitutions, and what is between them.
+STAGE = r"""(?:"[^"]*(?:"|\z)|'[^']*(?:'|\z)|&(?!&)|[^|;&\n"']++)++"""
 STAGE_OR_SEPARATOR = rf"&&|\|\||[|;\n]|{STAGE}"
+# The pieces that a line with substitutions is folded over: each is matched without a repeated group.
+PIECE = r"""&&|\|\||[|;\n`()]|\$\(|"[^"]*(?:"|\z)|'[^']*(?:'|\z)|[$&]|[^|;&\n`()$"']++"""
+SIMPLE_LENGTH = 4096  # longer lines are folded as well: the expression above recurses for each part of a stage
+BLOCK = 256  # pieces that a fold walks at a time
 SEP = "\x01"
 
 # No repeated group: the regular expressions of the JVM recurse for each turn of one, and a long path would
@@ -70,15 +73,62 @@ def first_token(c: Column) -> Column:
     return F.regexp_extract(c, TOKEN, 0)
 
 
+def _deeper(d: Column, p: Column) -> Column:
+    """The depth behind a piece: ``$(`` goes down, ``(`` and ``)`` count inside only, a back-quote goes in and out."""
+    return (F.when(p == "$(", d + 1).when(p == "`", F.when(d == 0, 1).otherwise(d - 1))
+            .when((p == "(") & (d > 0), d + 1).when((p == ")") & (d > 0), d - 1).otherwise(d))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def by_depth(pieces: Column, body) -> Column:
+    """``body(piece, depth)`` for each piece, with the depth of substitutions that it stands at.
+
+    Folds copy their state at every step, so it stays small: one fold over blocks of pieces finds the depth at
+    which each block begins, and a fold in each block the depths of its pieces.
+    """
+    def blocks_of(pieces):
+        last = F.floor((F.size(pieces) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(pieces, i * BLOCK + 1, BLOCK))
+
+    def walked(blocks):
+        start = F.expr("struct(0 as depth, cast(array() as array<int>) as seen)")
+        begins = F.aggregate(blocks, start, lambda s, b: F.struct(
+            F.aggregate(b, s["depth"], _deeper).alias("depth"), F.concat(s["seen"], F.array(s["depth"])).alias("seen")), lambda s: s["seen"])
+        return let(begins, lambda begin: F.flatten(F.transform(blocks, lambda b, j: let(
+            F.aggregate(b, F.struct(F.get(begin, j).alias("depth"), F.expr("cast(array() as array<int>)").alias("seen")),
+                        lambda s, p: F.struct(_deeper(s["depth"], p).alias("depth"), F.concat(s["seen"], F.array(s["depth"])).alias("seen")),
+                        lambda s: s["seen"]),
+            lambda depths: F.transform(b, lambda p, i: body(p, F.get(depths, i)))))))
+    return let(let(pieces, blocks_of), walked)
+
+
+def _folded_stages(c: Column) -> Column:
+    """A mark takes the place of each separator outside substitutions; a null character of the text is told from it."""
+    told = F.replace(c, F.lit("\x00"), F.lit("\x00z"))
+    marked = by_depth(F.regexp_extract_all(told, F.lit(PIECE), F.lit(0)),
+                      lambda p, d: F.when((d == 0) & p.isin(SEPARATORS), "\x00s").otherwise(p))
+    return F.transform(F.split(F.array_join(marked, ""), "\x00s", -1), lambda x: F.replace(x, F.lit("\x00z"), F.lit("\x00")))
+
+
+def _substitutes(c: Column) -> Column:
+    return c.contains("$(") | c.contains("`") | (F.length(c) > SIMPLE_LENGTH)
+
+
 def stages(c: Column) -> Column:
-    """Pipeline stages of a command line; quotes and substitutions never split."""
-    found = F.filter(F.regexp_extract_all(c, F.lit(STAGE_OR_SEPARATOR), F.lit(0)),
-                     lambda s: ~s.isin(SEPARATORS))
+    """Pipeline stages of a command line; quotes and substitutions, however deep, never split."""
+    plain = F.filter(F.regexp_extract_all(c, F.lit(STAGE_OR_SEPARATOR), F.lit(0)), lambda s: ~s.isin(SEPARATORS))
+    found = F.when(_substitutes(c), _folded_stages(c)).otherwise(plain)
     return F.filter(F.transform(found, strip), lambda s: s != "")
 
 
 def first_stage(c: Column) -> Column:
-    return F.coalesce(F.get(stages(c), F.lit(0)), F.lit(""))
+    """The first stage alone: a line without substitutions is not cut any further."""
+    ahead = F.regexp_extract(F.regexp_replace(c, rf"^(?:[{SPACE}|;]++|&&)*+", ""), "^" + STAGE, 0)
+    return F.when(_substitutes(c), F.coalesce(F.get(stages(c), F.lit(0)), F.lit(""))).otherwise(strip(ahead))
 
 
 def basename(tok: Column) -> Column:

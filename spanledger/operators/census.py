@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from spanledger.functions import text as T
 
-OPERATOR = r"2>&1|&&|\|\||2>|>>|\||;|>"
-# Runs that hide operators: escapes, quotes, back-quotes and substitutions.
-HIDDEN = (r"""\\.|'[^']*(?:'|\z)|"(?:\\.|[^"\\])*+(?:"|\z)|`[^`]*(?:`|\z)"""
-          r"""|\$\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+(?:\)|\z)""")
+OPERATORS = ["2>&1", "&&", "||", "2>", ">>", "|", ";", ">"]
+# Operators, and runs that hide them: escapes, quotes and back-quotes. Substitutions are followed by depth.
+PIECE = (r"""\\.|'[^']*(?:'|\z)|"(?:\\.|[^"\\])*+(?:"|\z)|`[^`]*(?:`|\z)|\$\(|[()]"""
+         r"""|2>&1|&&|\|\||2>|>>|[|;>]|[^\\'"`$()|;>&2]++|[\\$&2]""")
 
 
 def top_level_operators(c: Column) -> Column:
-    """The shell operators a shell would act on, in order."""
-    return F.regexp_extract_all(F.regexp_replace(c, HIDDEN, "_"), F.lit(OPERATOR), F.lit(0))
+    """The shell operators a shell would act on, in order, outside substitutions of any depth."""
+    return F.array_compact(T.by_depth(F.regexp_extract_all(c, F.lit(PIECE), F.lit(0)),
+                                      lambda p, d: F.when((d == 0) & p.isin(OPERATORS), p)))
 
 
 def operator_census(df: DataFrame, text: str) -> DataFrame:
