@@ -171,17 +171,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all columns.
 
-    Every row is a document of its own, whatever its key: the row with the least key stays (a null key last;
-    among equal keys the one stored first). Null and blank texts are linked with nothing and stay.
+    Every row is a document of its own, whatever its key. Of a group stays the row with the least key that no
+    other row has, else the first one stored of those that repeat a key or have none. Null and blank texts are
+    linked with nothing and stay. Keys lie below 2**62; other columns may have any names.
     """
     shelf = Shelf(docs.sparkSession)
-    row = free_name(docs, "row_key")
-    keyed = shelf.put(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
-    grouped = near_duplicates(keyed, row, text).select(F.col("doc_id").alias(row), F.col("component_id").alias("c"))
-    grouped = shelf.put(grouped, "grouped")
-    several = grouped.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c")
-    members = shelf.put(grouped.join(several, "c").join(keyed.select(row, F.col(key).alias("key")), row), "members")
-    least = members.groupBy("c").agg(F.min("key").alias("least"))
-    stays = members.join(least, "c").where("key <=> least").groupBy("c").agg(F.min(row).alias("stays"))
-    gone = members.join(stays, "c").where(F.col(row) != F.col("stays")).select(row)
-    return keyed.join(gone, row, "left_anti").select(*docs.columns)
+    row, twice = free_name(docs, "row_key"), free_name(docs, "key_twice")
+    repeated = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(twice)).where(F.col(twice) > 1)
+    own = F.when(F.col(key).isNotNull() & F.col(twice).isNull(), F.col(key).cast("long"))
+    keyed = docs.join(shelf.put(repeated, "repeated"), key, "left").select(
+        *docs.columns, F.coalesce(own, F.lit(1 << 62) + F.monotonically_increasing_id()).alias(row))
+    keyed = shelf.put(keyed, "keyed")
+    gone = near_duplicates(keyed, row, text).where("not kept").select(F.col("doc_id").alias(row))
+    return keyed.join(shelf.put(gone, "gone"), row, "left_anti").select(*docs.columns)

@@ -131,8 +131,8 @@ def matrix(stored: DataFrame, extract: Extract, chosen: np.ndarray) -> tuple[np.
     if not len(chosen):
         rows = [(r["grade"], b"") for r in stored.select("grade").collect()]
     else:
-        rows = [(r["grade"], bytes(r["have"])) for r in
-                stored.mapInArrow(_rows(extract, chosen), "grade long, have binary").collect()]
+        told = stored.mapInArrow(_rows(extract, chosen), "grade long, have binary").toArrow()
+        rows = list(zip(told["grade"].to_pylist(), told["have"].to_pylist()))
         rows.sort()
     grade = np.array([g for g, _ in rows], np.int64)
     at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(have) // 4 for _, have in rows])
