@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanledger.functions.text import let
+
 
 def fk_violations(child: DataFrame, fk: str, parent: DataFrame, pk: str, label: str,
                   agree: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -110,20 +112,37 @@ def reconcile(recorded: DataFrame, recounted: DataFrame, key: str) -> DataFrame:
                     .otherwise("equal").alias("status"))
 
 
-def resolve_anchors(claims: DataFrame, sources: DataFrame) -> DataFrame:
+CLAIMS = 2000  # claims that meet a document's row together
+
+
+def resolve_anchors(claims: DataFrame, texts: DataFrame) -> DataFrame:
     """Re-reads every citation. Gives claims whose anchor does not carry their text.
 
-    ``claims``: claim_id, family, key, field, line_no, text, verbatim, exact;
-    ``sources``: family, key, field, line_no, line, joined. A claim must be contained
-    in its line, or equal it where ``exact``; a verbatim claim may not rest on a joined
-    line nor span lines.
+    ``claims``: claim_id, family, key, field, line_no, line_to, text, verbatim, exact; ``texts``: family, key, field,
+    body, joined, one row a field. An anchor is a line (``line_no``, ``line_to`` null), a run of lines joined by
+    spaces (``line_to`` set) or the whole field (``line_no`` null). A claim must be contained there, or equal it
+    where ``exact``; a verbatim claim may not rest on a joined field or run nor span lines.
+
+    Claims travel to the texts in blocks of bounded size, however many cite one field; lines are looked up by
+    their number inside the text's row. A text without claims goes nowhere, one with claims moves once.
     """
-    at = ["family", "key", "field", "line_no"]
-    d = claims.join(sources.withColumn("_found", F.lit(1)), at, "left")
-    holds = F.when(F.col("exact"), F.col("line") == F.col("text")).otherwise(F.col("line").contains(F.col("text")))
-    reason = (F.when(F.col("verbatim") & F.col("text").contains("\n"), "verbatim-spans-lines")
-              .when(F.col("_found").isNull(), "no-such-line")
-              .when(~holds, "text-not-on-line")
-              .when(F.col("verbatim") & F.col("joined"), "verbatim-but-joined"))
-    return d.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(
-        "claim_id", *at, "reason")
+    at = ["family", "key", "field"]
+    parts = claims.groupBy(*at).agg(F.ceil(F.count("*") / CLAIMS).alias("_parts"))
+    told = F.struct("claim_id", "line_no", "line_to", "text", "verbatim", "exact")
+    blocks = claims.join(parts, at).groupBy(*at, F.pmod(F.xxhash64("claim_id", "line_no"), "_parts").alias("_part")).agg(
+        F.collect_list(told).alias("_claims"))
+
+    def reason(c: Column, lines: Column) -> Column:
+        spot = (F.when(c["line_no"].isNull(), F.col("body"))
+                .when(c["line_no"] < 1, None).when(c["line_to"].isNull(), F.get(lines, (c["line_no"] - 1).cast("int")))
+                .when((c["line_to"] >= c["line_no"]) & (c["line_to"] <= F.size(lines)),
+                      F.array_join(F.slice(lines, c["line_no"].cast("int"), (c["line_to"] - c["line_no"] + 1).cast("int")), " ")))
+        holds = F.when(c["exact"], spot == c["text"]).otherwise(spot.contains(c["text"]))
+        return (F.when(c["verbatim"] & c["text"].contains("\n"), "verbatim-spans-lines")
+                .when(F.col("body").isNull() | spot.isNull(), "no-such-line").when(~holds, "text-not-on-line")
+                .when(c["verbatim"] & (F.col("joined") | c["line_to"].isNotNull()), "verbatim-but-joined"))
+    met = blocks.join(texts.select(*at, "body", "joined"), at, "left")
+    judged = let(F.split("body", "\n", -1), lambda lines: F.filter(
+        F.transform("_claims", lambda c: F.struct(c["claim_id"].alias("claim_id"), c["line_no"].alias("line_no"), reason(c, lines).alias("reason"))),
+        lambda r: r["reason"].isNotNull()))
+    return met.select(*at, F.explode(judged).alias("r")).select("r.claim_id", *at, "r.line_no", "r.reason")

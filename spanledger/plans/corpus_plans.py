@@ -16,6 +16,7 @@ from spanledger.operators.integrity import resolve_anchors
 from spanledger.operators.lines import explode_lines, with_prompt
 from spanledger.operators.mining import mine
 from spanledger.operators.patterns import DESTRUCTIVE, RANK
+from spanledger.operators.phrases import phrase_hits
 from spanledger.operators.windows import cell_stride_sample
 from spanledger.plans.base import (DOC_LINES, LOG, command_log, document_lines, query, sql_list,
                                    sql_strip, sql_tokens, table, texts)
@@ -357,33 +358,52 @@ def vocab_coverage(spark, sf):
 
 
 @query("anchor_resolve", f"""
-with src as (select 'documents' as family, doc_id as key, line_no, line, false as joined from ({DOC_LINES})
-  union all select 'talk', conv_id * 1000000 + turn, line_no, line, conv_id % 3 = 0 from ({CONV_LINES})),
-c as (select family, key, family || '-' || key || '-' || line_no as claim_id, case (key + line_no) % 50 when 0 then 'x' || text else text end as text,
-  line_no + case (key + line_no) % 50 when 1 then 1 when 2 then 100000 else 0 end as line_no, family = 'talk' as exact, verbatim
-  from (select family, key, line_no, case when family = 'talk' then line else trim(line) end as text, (key + line_no) % 7 <> 0 as verbatim
+with src as (select 'documents' as family, cast(doc_id as varchar) as key, doc_id as k, line_no, line, false as joined from ({DOC_LINES})
+  union all select 'talk', conv_id || '.' || turn, conv_id + turn, line_no, line, conv_id % 3 = 0 from ({CONV_LINES})),
+c as (select family, key, family || '-' || key || '-' || line_no as claim_id, case (k + line_no) % 50 when 0 then 'x' || text else text end as text,
+  line_no + case (k + line_no) % 50 when 1 then 1 when 2 then 100000 else 0 end as line_no, family = 'talk' as exact, verbatim
+  from (select family, key, k, line_no, case when family = 'talk' then line else trim(line) end as text, (k + line_no) % 7 <> 0 as verbatim
         from src where trim(line) <> ''))
 select claim_id, family, key, line_no, case when s.line is null then 'no-such-line'
     when not (case when exact then line = text else contains(line, text) end) then 'text-not-on-line' else 'verbatim-but-joined' end as reason
 from c left join src s using (family, key, line_no)
 where s.line is null or not (case when exact then line = text else contains(line, text) end) or (verbatim and joined)""")
 def anchor_resolve(spark, sf):
-    field = F.lit("text").alias("field")
-    docs = document_lines(spark, sf).select(
-        F.lit("documents").alias("family"), F.col("doc_id").alias("key"), field, "line_no", "line",
-        F.lit(False).alias("joined"))
-    talk = explode_lines(texts(spark, sf, "conversations"), "text", "conv_id", "turn").select(
-        F.lit("talk").alias("family"), F.expr("conv_id * 1000000 + turn").alias("key"), field, "line_no", "line",
-        (F.col("conv_id") % 3 == 0).alias("joined"))
+    field, none = F.lit("text").alias("field"), F.lit(None).cast("bigint").alias("line_to")
+    docs = texts(spark, sf, "documents").select(
+        F.lit("documents").alias("family"), F.col("doc_id").cast("string").alias("key"), field, F.col("text").alias("body"),
+        F.lit(False).alias("joined"), F.col("doc_id").alias("k"))
+    talk = texts(spark, sf, "conversations").select(
+        F.lit("talk").alias("family"), F.concat_ws(".", "conv_id", "turn").alias("key"), field, F.col("text").alias("body"),
+        (F.col("conv_id") % 3 == 0).alias("joined"), (F.col("conv_id") + F.col("turn")).alias("k"))
     sources = docs.unionByName(talk)
-    slot = (F.col("key") + F.col("line_no")) % 50
+    lines = explode_lines(sources, "body", "family", "key", "field", "k").where(F.trim("line") != "")
+    slot = (F.col("k") + F.col("line_no")) % 50
     text = F.when(F.col("family") == "talk", F.col("line")).otherwise(F.trim("line"))
-    claims = sources.where(F.trim("line") != "").select(
+    claims = lines.select(
         F.concat_ws("-", "family", "key", "line_no").alias("claim_id"), "family", "key", "field",
-        (F.col("line_no") + F.when(slot == 1, 1).when(slot == 2, 100000).otherwise(0)).alias("line_no"),
+        (F.col("line_no") + F.when(slot == 1, 1).when(slot == 2, 100000).otherwise(0)).alias("line_no"), none,
         F.when(slot == 0, F.concat(F.lit("x"), text)).otherwise(text).alias("text"),
-        ((F.col("key") + F.col("line_no")) % 7 != 0).alias("verbatim"), (F.col("family") == "talk").alias("exact"))
-    return resolve_anchors(claims, sources).select("claim_id", "family", "key", "line_no", "reason")
+        ((F.col("k") + F.col("line_no")) % 7 != 0).alias("verbatim"), (F.col("family") == "talk").alias("exact"))
+    return resolve_anchors(claims, sources.drop("k")).select("claim_id", "family", "key", "line_no", "reason")
+
+
+_PHRASES = """select item_id as phrase_id, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') as phrase,
+  case when item_id % 3 = 0 then 2 else 1 end as rank from benchmark"""
+
+
+@query("phrase_rating", f"""
+select doc_id, line_no, count(*) as phrases, max(rank) as rank from (select doc_id, line_no, lower(line) as low,
+  translate(lower(line), '"''', '') as bare from ({DOC_LINES})) l join ({_PHRASES}) p
+on contains(low, lower(phrase)) or contains(bare, lower(phrase)) where phrase <> '' group by doc_id, line_no""")
+def phrase_rating(spark, sf):
+    """Lines of the documents that hold the opening words of benchmark items, with the highest rank of these."""
+    items = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("phrase_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("phrase"),
+        F.when(F.col("item_id") % 3 == 0, 2).otherwise(1).alias("rank"))
+    hits = phrase_hits(document_lines(spark, sf).select("doc_id", "line_no", "line"), ["doc_id", "line_no"], "line", items)
+    return hits.join(items.select("phrase_id", "rank"), "phrase_id").groupBy("doc_id", "line_no").agg(
+        F.count("*").alias("phrases"), F.max("rank").alias("rank"))
 
 
 @query("cell_stride_sample", f"""

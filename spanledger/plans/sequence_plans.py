@@ -14,7 +14,8 @@ from spanledger.operators import patterns as P
 from spanledger.operators import search as S
 from spanledger.operators import windows as X
 from spanledger.operators.lines import explode_lines, with_prompt
-from spanledger.operators.support import settled
+from spanledger.operators.index_store import StoredIndex
+from spanledger.operators.support import Shelf, settled
 from spanledger.plans.base import (DOC_LINES, LOG, LOG_COMMANDS, TEXT_KEYS, command_log, document_lines, query, table,
                                    texts)
 
@@ -149,9 +150,9 @@ with f as ({_FRAME}) """ + " union all ".join(
     f"select '{q}' as query, kind, id from f where " + " and ".join(f"contains(hay, '{t}')" for t in q.split())
     for q in SEARCHES))
 def index_search(spark, sf):
+    """Written once; the search opens only families and buckets that hold a term."""
     frame = search_frame(spark, sf)
-    index = S.postings(frame, "id", "hay", "kind", min_len=1)
-    return S.index_search(index, frame, SEARCHES, ["kind", "id"])
+    return StoredIndex.write(frame, f"{Shelf(spark).root}/index").search(frame, SEARCHES)
 
 
 _POSTINGS = """
