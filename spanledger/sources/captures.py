@@ -23,18 +23,17 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return read_files(spark, path, "*.json").select(F.col("file").alias("path"), F.col("text").alias("body"))
 
 
-def index_captures(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid captures, errors) from ``path`` and ``body``. Errors are rows: path, code.
+def judged_captures(files: DataFrame) -> DataFrame:
+    """(path, j, codes) of capture files (path, body): the record and what is wrong with it, without state.
 
-    The release directory and the file name must agree with the record, the command with
-    its digest, and a key may come from one file only: the first path keeps it.
+    The release directory and the file name must agree with the record, and the command with its digest.
     """
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     d = computed(files, {
         "j": F.from_json("body", SCHEMA, opts),
         "_keys": F.coalesce(F.json_object_keys("body"), F.array().cast("array<string>")),
         "_dir": F.regexp_extract("path", r"([^/]+)/[^/]+$", 1),
-        "_name": F.regexp_extract("path", r"([^/]+)\.json$", 1)}).drop("body")
+        "_name": F.regexp_extract("path", r"([^/]+)\.json$", 1)})
     d = computed(d, {"_agrees": F.sha2("j.command_as_run", 256) == F.col("j.command_hash_at_capture")})
     bad = F.col("j._bad").isNotNull() | F.col("j").isNull()
     absent = F.array_except(F.array(*map(F.lit, FIELDS)), F.col("_keys"))
@@ -47,8 +46,17 @@ def index_captures(files: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.when(agrees & (F.col("j.rhel_version") != F.col("_dir")), "release-differs-from-path"),
             F.when(agrees & (F.col("j.rhel_version") == F.col("_dir"))
                    & (F.col("j.entry_id") != F.col("_name")), "entry-differs-from-name")))))
+    return d.select("path", "body", "j", codes.alias("codes"))
+
+
+def index_captures(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid captures, errors) from ``path`` and ``body``. Errors are rows: path, code.
+
+    A key may come from one file only: the first path keeps it.
+    """
+    d = judged_captures(files)
     # One narrow row per file is kept, so that the checks below do not parse the files again.
-    judged = settled(d.select("path", "j.entry_id", "j.rhel_version", codes.alias("codes")))
+    judged = settled(d.select("path", "j.entry_id", "j.rhel_version", "codes"))
     sound = judged.where(F.size("codes") == 0)
     winners = sound.groupBy("entry_id", "rhel_version").agg(F.min("path").alias("path")).select("path")
     errors = judged.select("path", F.explode("codes").alias("code")).unionByName(

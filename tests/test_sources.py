@@ -62,6 +62,31 @@ def test_stream_ingest_equals_batch_and_keeps_first(spark, tmp_path):
     assert [r.code for r in spark.read.parquet(f"{dest}/errors").collect()] == ["duplicate-key"]
 
 
+def test_stream_equals_the_batch_index_and_never_rereads(spark, tmp_path):
+    """Faults, keys repeated inside and across batches; what earlier batches wrote is damaged before the next run."""
+    src, dest, check = tmp_path / "src", tmp_path / "dest", str(tmp_path / "check")
+    put(src / "8", "a.json", capture("a", "8"))
+    put(src / "b" / "8", "a.json", capture("a", "8", host="second"))
+    put(src / "8", "bad.json", "{nope")
+    put(src / "8", "less.json", capture("less", "8", kernel=..., host=...))
+    ingest_available(spark, str(src), str(dest), check)
+    kept = [(r.entry_id, r.host) for r in spark.read.parquet(f"{dest}/captures").collect()]
+    codes = sorted(r.code for r in spark.read.parquet(f"{dest}/errors").collect())
+    good, errors = captures.index_captures(captures.read_captures(spark, str(src)))
+    assert kept == [(r.entry_id, r.host) for r in good.collect()] == [("a", "x")]
+    assert codes == sorted(r.code for r in errors.collect()) == ["duplicate-key", "missing-host", "missing-kernel", "not-json"]
+    for file in dest.rglob("*.parquet"):
+        file.write_bytes(b"damaged")
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    for i in range(3):
+        put(src / f"c{i}" / "8", "a.json", capture("a", "8", host=f"c{i}"))
+    put(src / "9", "n.json", capture("n", "9"))
+    ingest_available(spark, str(src), str(dest), check)
+    late = max(int(p.name.split("=")[1]) for p in (dest / "captures").glob("batch=*"))
+    assert [(r.entry_id, r.rhel_version) for r in spark.read.parquet(f"{dest}/captures/batch={late}").collect()] == [("n", "9")]
+    assert [r.code for r in spark.read.parquet(f"{dest}/errors/batch={late}").collect()] == ["duplicate-key"] * 3
+
+
 def test_rules_from_xml_files(spark, tmp_path):
     group = ('<Group id="V-{0}"><Rule id="R-{0}" severity="{1}"><version>{2}</version><title>t &amp;lt;b&amp;gt; {0}</title>'
              '<ident system="http://cci">CCI-2</ident><ident system="http://cci">CCI-1</ident><ident system="http://cci">CCI-2</ident>'
