@@ -223,19 +223,30 @@ def residue_rows(spark, sf):
     return sinks.residue_rows(d, ["fam", "row_key", "line_no"])
 
 
+_UNWRAPPED = "ltrim(trim(text))"
+for _ in range(3):
+    _UNWRAPPED = rf"regexp_replace({_UNWRAPPED}, '^(\S*/)?(sudo|doas|nohup|xargs|timeout)( +-[ugnIPsk] +\S+| +-\S+)*( +[0-9]+)? +', '')"
+_REHEADED = _BASE.format(rf"regexp_extract({_UNWRAPPED}, '^[^\s]*')")
+
+
 @query("reassert", f"""
-select row_key, tool, objection from (select row_key, head as tool, case
+select family, row_key, line_no, head as tool, objection from (select *, case
   when lower({_BASE.format('w1')}) in {sql_list(W.FUNCTION_WORD_HEADS)} then 'function-word-head'
-  when regexp_matches(text, '^[^ ]+ *[{{}}]$') then 'block-opener'
-  when regexp_matches(regexp_replace(text, '"[^"]*"', ' ', 'g'), '(^|[\\s,;(])[A-Za-z]{{2,}}\\.\\s+[A-Z]') then 'two-sentences'
-  when starts_with(text, 'sudo') and release = '8' then 'other-head' else '' end as objection
-  from (select *, split_part(text, ' ', 1) as w1 from ({JUDGED}) where reason is null and family = 'log')) where objection <> ''""")
+  when regexp_matches(text, '^\\S+\\s*[{{}}]$') then 'block-opener'
+  when regexp_matches(regexp_replace(regexp_replace(text, '"[^"]*"', ' ', 'g'), '''[^'']*''', ' ', 'g'), '(^|[\\s,;(])[A-Za-z]{{2,}}\\.\\s+[A-Z]') then 'two-sentences'
+  when prompt = '' then 'source-does-not-mark-a-command'
+  when {_REHEADED} <> filed then 'other-head' else '' end as objection
+  from (select *, regexp_extract(trim(text), '^[^\\s]*') as w1,
+    case when release = '8' and starts_with(text, 'sudo') then 'sudo' when family = 'documents' and row_key % 20 = 0 then 'other' else head end as filed
+    from ({JUDGED}) where reason is null)) where objection <> ''""")
 def reassert(spark, sf):
-    """Taken log lines judged again; on release 8 the filed tool is the wrapper, which must be noticed."""
-    d = judged(spark, sf).where(F.col("reason").isNull() & (F.col("family") == "log"))
-    planted = F.when((F.col("release") == "8") & F.col("command").startswith("sudo"), "sudo").otherwise(F.col("tool"))
+    """Taken lines of all families judged again. On release 8 the filed tool is the wrapper, and in some documents
+    another program: both must be noticed."""
+    d = judged(spark, sf).where(F.col("reason").isNull())
+    planted = (F.when((F.col("release") == "8") & F.col("command").startswith("sudo"), "sudo")
+               .when((F.col("family") == "documents") & (F.col("row_key") % 20 == 0), "other").otherwise(F.col("tool")))
     out = C.reassert(d.withColumns({"true_tool": F.col("tool"), "tool": planted}))
-    return out.where(F.col("objection") != "").select("row_key", F.col("true_tool").alias("tool"), "objection")
+    return out.where(F.col("objection") != "").select("family", "row_key", "line_no", F.col("true_tool").alias("tool"), "objection")
 
 
 _HITS = f"""

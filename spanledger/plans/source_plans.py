@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.operators import mining as M
 from spanledger.operators.lines import staged_candidates
-from spanledger.operators.support import computed
+from spanledger.operators.support import Shelf, computed
 from spanledger.plans.base import query, table, texts
 from spanledger.sources import captures as K
 from spanledger.sources import manifests as A
@@ -24,17 +27,51 @@ def pinned_files(spark, sf):
     return A.verify_pins(found, pins.unionByName(invented))
 
 
-@query("provenance_manifest", """
-select 'documents.parquet' as file, count(*) as cited_rows from documents union all
-select 'orders.parquet', count(*) from orders where o_orderstatus = 'F'""")
+@query("pinned_texts", """
+select coalesce(f.file, p.file) as file, case when f.file is null then 'missing' when p.file is null then 'unpinned'
+  when f.sha256 <> p.sha256 then 'mismatch' else 'ok' end as status
+from (select 'doc-' || doc_id as file, sha256(text) as sha256 from documents) f full join (
+  select case when doc_id % 50 = 3 then 'gone-' || doc_id else 'doc-' || doc_id end as file,
+    sha256(case when doc_id % 50 = 1 then text || '.' else text end) as sha256 from documents where doc_id % 50 <> 2) p on f.file = p.file""")
+def pinned_texts(spark, sf):
+    """Texts against a table of pins: a file of JSON lines that was written apart and is read as an input."""
+    docs = texts(spark, sf, "documents")
+    pinned = F.when(F.col("doc_id") % 50 == 1, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    name = F.when(F.col("doc_id") % 50 == 3, F.concat(F.lit("gone-"), "doc_id")).otherwise(F.concat(F.lit("doc-"), "doc_id"))
+    path = f"{Shelf(spark).root}/pins"
+    docs.where("doc_id % 50 <> 2").select(name.alias("file"), F.sha2(pinned, 256).alias("sha256")).write.json(path)
+    found = docs.select(F.concat(F.lit("doc-"), "doc_id").alias("file"), F.sha2("text", 256).alias("sha256"))
+    return A.verify_pins(found, spark.read.schema("file string, sha256 string").json(path))
+
+
+_CITED = {"documents": ("doc_id", ["text", "lang", "source"]), "orders": ("o_orderkey", ["o_orderstatus", "o_orderpriority"]),
+          "pages": ("page_id", ["url", "html"]), "conversations": ("conv_id", ["role", "text"]), "benchmark": ("item_id", ["text"])}
+
+
+def _text_bytes(columns, size) -> str:
+    return " + ".join(f"coalesce({size}({c}), 0)" for c in columns)
+
+
+@query("provenance_manifest", " union all ".join(
+    f"""select '{t}.parquet' as file, count(*) as cited_rows, cast(sum({_text_bytes(columns, 'strlen')}) as bigint) as text_bytes,
+  min({key}) as first_key, max({key}) as last_key, (select string_agg(column_name, ',' order by column_name) from (describe {t})) as columns from {t}"""
+    for t, (key, columns) in _CITED.items()))
 def provenance_manifest(spark, sf):
-    """Rows cited per source file, for those files only that are cited at all."""
-    cited = (table(spark, sf, "documents").select(F.lit("documents.parquet").alias("file"))
-             .unionByName(table(spark, sf, "orders").where("o_orderstatus = 'F'").select(
-                 F.lit("orders.parquet").alias("file"))))
-    counts = cited.groupBy("file").agg(F.count("*").alias("cited_rows"))
-    return A.cited_sources(counts, A.file_digests(spark, sf, "*.parquet")).join(counts, "file").select(
-        "file", "cited_rows")
+    """What is cited of each source: rows, bytes of text, range of keys, and the columns that its version has."""
+    parts = []
+    for t, (key, columns) in _CITED.items():
+        d = table(spark, sf, t)
+        parts.append(d.agg(F.count("*").alias("cited_rows"), F.sum(F.expr(_text_bytes(columns, "octet_length"))).alias("text_bytes"),
+                           F.min(key).alias("first_key"), F.max(key).alias("last_key")).select(
+            F.lit(f"{t}.parquet").alias("file"), "*", F.lit(",".join(sorted(d.columns))).alias("columns")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("provenance_digests")
+def provenance_digests(spark, sf):
+    """(file, sha256, bytes) of the cited sources' files alone, as a release states them."""
+    cited = spark.createDataFrame([(f"{t}.parquet",) for t in _CITED], "file string")
+    return A.cited_sources(cited, A.file_digests(spark, sf, "*.parquet"))
 
 
 _XML = """concat('<Group id="V-', p_partkey, '"><Rule id="R-', p_partkey, '" severity="',
@@ -68,14 +105,14 @@ def xml_violations(spark, sf):
 
 @query("crosswalk_revision", """
 with i as (select p_brand as cci, p_type as title, p_size as rev, p_partkey as pos, p_name as idx from part
-  where p_type <> 'PROMO' and p_brand in (select p_brand from part join lineitem on l_partkey = p_partkey where l_quantity > 49))
+  where p_type <> 'PROMO' and p_brand in (select p_brand from part join lineitem on l_partkey = p_partkey))
 select cci, cast(rev as bigint) as rev, idx as nist from (select *, row_number() over (partition by cci order by rev desc, pos) as rn from i) where rn = 1""")
 def crosswalk_revision(spark, sf):
     part = table(spark, sf, "part")
     items = part.select(F.col("p_brand").alias("cci"), F.col("p_type").alias("title"),
                         F.col("p_size").cast("bigint").alias("rev"), F.col("p_partkey").alias("pos"),
                         F.col("p_name").alias("index"))
-    sold = table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
+    sold = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
     referenced = part.join(sold, "p_partkey", "left_semi").select(F.col("p_brand").alias("cci")).distinct()
     return X.crosswalk(items, referenced, excluded="PROMO")
 

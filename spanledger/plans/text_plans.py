@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions import hashing as H
@@ -9,7 +12,7 @@ from spanledger.functions import text as T
 from spanledger.functions import words as W
 from spanledger.operators import lines as L
 from spanledger.operators.support import computed
-from spanledger.plans.base import (DOC_LINES, LOG, LOG_COMMANDS, command_log, document_lines, query,
+from spanledger.plans.base import (DOC_LINES, LOG, LOG_COMMANDS, TEXT_KEYS, command_log, document_lines, query,
                                    sql_list, sql_strip, sql_tokens, table, texts)
 
 
@@ -180,25 +183,26 @@ def escaped_text(spark, sf):
     return _planted(spark, sf).select("id", F.sha2(T.escape_invisible(F.col("body")), 256).alias("digest"))
 
 
-@query("single_line_check", """
-with v as (
-  select 'documents' as tbl, cast(doc_id as varchar) as row_key, 'text' as column_name, text as v from documents
-  union all select 'documents', cast(doc_id as varchar), 'lang', lang from documents
-  union all select 'customer', cast(c_custkey as varchar), 'c_name', c_name from customer
-  union all select 'customer', cast(c_custkey as varchar), 'c_mktsegment', c_mktsegment from customer
-  union all select 'part', cast(p_partkey as varchar), 'p_name', p_name from part
-  union all select 'part', cast(p_partkey as varchar), 'p_brand', p_brand from part
-  union all select 'part', cast(p_partkey as varchar), 'p_type', p_type from part
-  union all select 'orders', cast(o_orderkey as varchar), 'o_orderpriority', o_orderpriority from orders
-  union all select 'orders', cast(o_orderkey as varchar), 'o_orderstatus', o_orderstatus from orders)
-select tbl, row_key, column_name from v
-where regexp_matches(v, '[\\x00-\\x1f\\x7f-\\x{9f}\\x{2028}\\x{2029}]')""")
+# Every table that has strings, with its key.
+STRING_TABLES = {
+    "documents": ("doc_id", ["text", "lang", "source"]), "customer": ("c_custkey", ["c_name", "c_mktsegment"]),
+    "part": ("p_partkey", ["p_name", "p_brand", "p_type"]), "orders": ("o_orderkey", ["o_orderstatus", "o_orderpriority"]),
+    "supplier": ("s_suppkey", ["s_name"]), "nation": ("n_nationkey", ["n_name"]), "region": ("r_regionkey", ["r_name"]),
+    "lineitem": ("l_orderkey", ["l_returnflag", "l_linestatus"]), "events": ("event_id", ["event_type", "props"]),
+    "conversations": ("conv_id", ["role", "text"]), "pages": ("page_id", ["url", "html"]), "benchmark": ("item_id", ["text"])}
+
+
+@query("single_line_check", " union all ".join(
+    f"select '{t}' as tbl, cast({key} as varchar) as row_key, '{c}' as column_name from {t} "
+    f"where regexp_matches({c}, '[\\x00-\\x1f\\x7f-\\x{{9f}}\\x{{2028}}\\x{{2029}}]')"
+    for t, (key, columns) in STRING_TABLES.items() for c in columns))
 def single_line_check(spark, sf):
-    out = L.control_violations(texts(spark, sf, "documents"), "doc_id", ("source",)).withColumn(
-        "tbl", F.lit("documents"))
-    for name, key in (("customer", "c_custkey"), ("part", "p_partkey"), ("orders", "o_orderkey")):
-        out = out.unionByName(L.control_violations(table(spark, sf, name), key).withColumn("tbl", F.lit(name)))
-    return out.select("tbl", "row_key", "column_name")
+    """Control characters in every string column of every table."""
+    parts = []
+    for name, (key, _) in STRING_TABLES.items():
+        rows = texts(spark, sf, name) if name in TEXT_KEYS else table(spark, sf, name)
+        parts.append(L.control_violations(rows, key).select(F.lit(name).alias("tbl"), "row_key", "column_name"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("markup_clean", f"""
