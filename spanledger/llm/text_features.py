@@ -106,7 +106,10 @@ def training_rows(docs: DataFrame, grades: DataFrame, rows: int = TRAINING_ROWS)
 
 
 def choose(stored: DataFrame, extract: Extract, grades: int, most: int = CHOSEN) -> np.ndarray:
-    """The features, at most ``most``, whose presence tells the grades apart best, by the gain in likelihood."""
+    """The features, at most ``most``, whose presence tells the grades apart best, by the gain in likelihood.
+
+    Features in fewer than three texts, or with a gain of 6 or less, are left out: they have no weight.
+    """
     sizes = np.zeros(grades)
     for r in stored.groupBy("grade").count().collect():
         sizes[r["grade"]] = r["count"]

@@ -164,7 +164,9 @@ class Scorer:
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = X.TRAINING_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs`` (doc_id, text).
 
-    Null and empty texts score as a text without words; without labels every score is that of the mean.
+    Null and empty texts score as a text without words; without labels every score is that of the mean. Weights are
+    those of ``text_features.CHOSEN`` hashed words and stems at most, each in at least three fitted texts: a word
+    that fewer labelled texts hold weighs nothing. A noisy token is decoded whole, whatever its length.
     Ids, languages and sources are never inputs. Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

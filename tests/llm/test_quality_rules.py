@@ -1,4 +1,5 @@
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from spanledger.llm.quality_rules import RULES, cascade, ordered
 from spanledger.llm.queries import ORACLES, QUERIES
@@ -45,6 +46,27 @@ def test_odd_rows(spark):
     assert cascade(df.limit(0)).collect() == []
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, t, 1, "x", i) for i, t in enumerate(ODD)], "doc_id long, _text string, _words int, _lines string, _RUNS int")
+    got = cascade(df, text="_text").collect()
+    plain = cascade(df.select("doc_id", F.col("_text").alias("text"))).collect()
+    assert got[0].asDict().keys() >= {"_text", "_words", "_lines", "_RUNS", "kept"}
+    assert [(r.doc_id, r["_text"], r["_words"], r["_lines"], r["_RUNS"]) for r in got] == [(i, t, 1, "x", i) for i, t in enumerate(ODD)]
+    assert sorted((r.doc_id, r.n_repeat_words, r.kept) for r in got) == sorted((r.doc_id, r.n_repeat_words, r.kept) for r in plain)
+
+
+def test_costs_are_told_from_an_idle_job(spark):
+    """A rule with far more to do costs more, whichever comes first in the list; of rules that reject nothing the cheaper goes first."""
+    from spanledger.llm.quality_rules import Rule, measured, with_statistics
+    df = spark.createDataFrame([(i, "plain word " * 300) for i in range(200)], "doc_id long, text string")
+    dear, cheap = Rule("dear", "length(regexp_replace(_text, '[a-z]+ ', 'b')) < 0"), Rule("cheap", "n_words < 0")
+    sample = with_statistics(df).select("_text", "n_words").cache()
+    for rules in ((dear, cheap), (cheap, dear)):
+        told = measured(sample, rules)
+        assert told["dear"][0] > 3 * told["cheap"][0] and told["dear"][1] == told["cheap"][1] == 0
+        assert [r.name for r in ordered(sample, rules)] == ["cheap", "dear"]
+
+
 def test_order_is_by_worth_and_changes_no_verdict(spark):
     df = spark.createDataFrame([(i, "word% " * 30 if i % 2 else "plain word " * 30) for i in range(50)], "doc_id long, text string")
     from spanledger.llm.quality_rules import with_statistics
