@@ -131,6 +131,17 @@ def first_stage(c: Column) -> Column:
     return F.when(_substitutes(c), F.coalesce(F.get(stages(c), F.lit(0)), F.lit(""))).otherwise(strip(ahead))
 
 
+def strip_doc_markup(c: Column) -> Column:
+    """The text of I(), C(), B(), M(), U() and L(); of R() what stands before its comma."""
+    plain = F.regexp_replace(F.regexp_replace(c, r"[ICBM]\(([^)]*)\)", "$1"), r"[UL]\(([^)]*)\)", "$1")
+    return strip(F.regexp_replace(plain, r"R\(([^,)]*)[^)]*\)", "$1"))
+
+
+def guide_slug(name: Column) -> Column:
+    """A guide's name without the ending of its text file."""
+    return F.regexp_replace(name, r"\.txt\z", "")
+
+
 def basename(tok: Column) -> Column:
     return F.regexp_extract(tok, r"(?s)([^/]*)\z", 1)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions import text as T
+from spanledger.operators.support import computed
 
 # Fixed values. Grammars of receipt fields.
 HOST = r"^[a-z0-9][a-z0-9.-]{1,62}$"
@@ -49,8 +50,8 @@ def receipt_audit(receipts: DataFrame, captures: DataFrame, current: DataFrame,
     return d.select(*key, F.explode(codes).alias("code"))
 
 
-def execution_receipt_violations(receipts: DataFrame) -> DataFrame:
-    """(entry_id, code) for each rule an execution receipt breaks."""
+def execution_receipt_violations(receipts: DataFrame, key: str = "entry_id") -> DataFrame:
+    """(key, code) for each rule an execution receipt breaks."""
     digests = ["command_sha256", "artifact_sha256", "content_fingerprint", "stdout_sha256", "stderr_sha256"]
     texts = ["tool_version", "entry_id", "target", "operator", "ticket", "verification"]
     rules = [F.when(F.trim(F.coalesce(c, F.lit(""))) == "", f"empty-{c}") for c in texts]
@@ -66,7 +67,38 @@ def execution_receipt_violations(receipts: DataFrame) -> DataFrame:
         F.when(~F.coalesce("attestation.command_was_executed", F.lit(False)), "not-executed"),
         F.when(~F.coalesce("attestation.outputs_are_actual", F.lit(False)), "outputs-not-actual"),
         F.when(F.trim(F.coalesce("attestation.statement", F.lit(""))) == "", "no-statement")]
-    return receipts.select("entry_id", F.explode(F.array_compact(F.array(*rules))).alias("code"))
+    return receipts.select(key, F.explode(F.array_compact(F.array(*rules))).alias("code"))
+
+
+# The properties of an execution receipt, a closed set, and those of its attestation.
+RECEIPT_FIELDS = ("schema tool_version entry_id rhel_version target operator executed_at ticket command command_sha256 artifact_sha256 "
+                  "content_fingerprint exit_code stdout stdout_sha256 stderr stderr_sha256 verification attestation").split()
+ATTESTATION_FIELDS = "command_was_executed outputs_are_actual statement".split()
+RECEIPT = (", ".join(f"{f} string" for f in RECEIPT_FIELDS if f not in ("exit_code", "attestation"))
+           + ", exit_code int, attestation struct<command_was_executed:boolean,outputs_are_actual:boolean,statement:string>")
+
+
+def receipt_text_violations(receipts: DataFrame, key: str, body: str, schema: str) -> DataFrame:
+    """(key, code) for each rule that a receipt, one JSON text a row, breaks.
+
+    A text that is no object is ``not-an-object``. Properties outside the closed set are told as they are; while any
+    property is missing, only missing and undeclared ones are. Then come the schema's name and the rules of
+    ``execution_receipt_violations``, and undeclared properties of the attestation.
+    """
+    own = F.json_object_keys(body)
+    named = lambda names: F.array(*map(F.lit, names))
+    d = computed(receipts.select(F.col(key).cast("string").alias("_key"), body), {"_own": own})
+    undeclared = F.transform(F.array_except("_own", named(RECEIPT_FIELDS)), lambda k: F.concat(F.lit("undeclared-"), k))
+    missing = F.transform(F.array_except(named(RECEIPT_FIELDS), F.col("_own")), lambda k: F.concat(F.lit("missing-"), k))
+    codes = F.when(F.col("_own").isNull(), F.array(F.lit("not-an-object"))).otherwise(F.concat(undeclared, missing))
+    d = computed(d, {"_codes": codes, "_whole": F.col("_own").isNotNull() & (F.size(missing) == 0), "r": F.from_json(body, RECEIPT)})
+    inner = F.json_object_keys(F.get_json_object(body, "$.attestation"))
+    more = F.concat(F.array_compact(F.array(F.when(~F.coalesce(F.col("r.schema") == schema, F.lit(False)), "schema"))),
+                    F.transform(F.array_except(F.coalesce(inner, F.array().cast("array<string>")), named(ATTESTATION_FIELDS)),
+                                lambda k: F.concat(F.lit("undeclared-attestation-"), k)))
+    first = d.select("_key", F.explode(F.when(F.col("_whole"), F.concat("_codes", more)).otherwise(F.col("_codes"))).alias("code"))
+    rest = execution_receipt_violations(d.where("_whole").select(F.col("_key"), "r.*").withColumn("_id", F.col("_key")), "_id")
+    return first.unionByName(rest.withColumnRenamed("_id", "_key")).withColumnRenamed("_key", key)
 
 
 def attestation_needed(entries: DataFrame, roster: DataFrame) -> DataFrame:

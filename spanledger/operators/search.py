@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanledger.operators.support import settled
 from spanledger.operators.windows import first_per_group, running
 
 TOKEN = r"[a-z0-9_.+-]+"
@@ -70,7 +71,8 @@ def ranked_search(frame: DataFrame, queries: list[str], per_kind: int = 8) -> Da
     """The best rows per query and kind; a query without any hit gives one 'no-match' row."""
     best = first_per_group(scored(frame, queries), ["query", "kind"],
                            [F.col("score").desc(), F.col("id")], per_kind)
-    best = best.select("query", "kind", "id", "label", "score", "position")
+    # Kept once, so that the corpus is scored once for hits and misses alike.
+    best = settled(best.select("query", "kind", "id", "label", "score", "position"))
     asked = frame.sparkSession.createDataFrame([(q,) for q in queries], "query string")
     none = asked.join(best.select("query").distinct(), "query", "left_anti").select(
         "query", F.lit("no-match").alias("kind"), F.lit("").alias("id"), F.lit("").alias("label"),

@@ -8,7 +8,7 @@ from spanledger.operators import integrity as I
 from spanledger.operators import joins as J
 from spanledger.operators import ledger as G
 from spanledger.operators import receipts as R
-from spanledger.plans.base import query, table, texts
+from spanledger.plans.base import query, sql_list, table, texts
 from spanledger.sources import sinks
 from spanledger.functions import text as T
 
@@ -374,6 +374,62 @@ def hash_binding(spark, sf):
     return d.select("doc_id", F.explode(codes).alias("code"))
 
 
+# One receipt an event, as JSON text with planted faults; SHA stands for the engine's digest.
+_RECEIPT = """concat('{"schema":"', case when event_id % 90 = 1 then 'receipt/0' else 'receipt/1' end, '","tool_version":"1.2","entry_id":"e', event_id,
+ '","rhel_version":"', case when event_id % 90 = 2 then '6' else '8' end, '","target":"', case when event_id % 90 = 3 then ' ' else 'host' end,
+ '","operator":"op","executed_at":"2024-01-01T00:00:00', case when event_id % 90 = 4 then '' else 'Z' end, '","ticket":"t","command":"run ', event_type,
+ '","command_sha256":"', case when event_id % 90 = 5 then upper(SHA(concat('run ', event_type))) else SHA(concat('run ', event_type)) end,
+ '","artifact_sha256":"', SHA('a'), '","content_fingerprint":"', case when event_id % 90 = 6 then 'f' else SHA('f') end,
+ '","exit_code":', case when event_id % 90 = 7 then 'null' else '0' end, ',"stdout":"', event_type, '","stdout_sha256":"', SHA(case when event_id % 90 = 8 then 'x' else event_type end),
+ '","stderr":"",', case when event_id % 90 = 9 then '' else concat('"stderr_sha256":"', SHA(''), '",') end, '"verification":"v","attestation":{"command_was_executed":',
+ case when event_id % 90 = 10 then 'false' else 'true' end, ',"outputs_are_actual":', case when event_id % 90 = 11 then '"yes"' else 'true' end, ',"statement":"',
+ case when event_id % 90 = 12 then '' else 's' end, case when event_id % 90 = 13 then '","more":"1' else '' end, '"}', case when event_id % 90 = 14 then ',"zz":1' else '' end,
+ case when event_id % 90 = 15 then '' else '}' end)"""
+_TEXTS = ["tool_version", "entry_id", "target", "operator", "ticket", "verification"]
+_SHAS = ["command_sha256", "artifact_sha256", "content_fingerprint", "stdout_sha256", "stderr_sha256"]
+_VALUE = "json_extract_string(b, '$.{0}')"
+
+
+@query("receipt_rules", f"""
+with r as (select event_id, case when json_valid(b) then b end as b from (select event_id, {_RECEIPT.replace('SHA(', 'sha256(')} as b from events)),
+k as (select *, coalesce(json_keys(b), []) as own, len(list_filter({R.RECEIPT_FIELDS}, lambda f: not list_contains(coalesce(json_keys(b), []), f))) = 0 as whole from r)
+select cast(event_id as varchar) as event_id, code from k, lateral (select 'not-an-object' as code where b is null
+  union all select 'undeclared-' || f from (select unnest(own) as f) where b is not null and f not in {sql_list(R.RECEIPT_FIELDS)}
+  union all select 'missing-' || f from (select unnest({R.RECEIPT_FIELDS}) as f) where b is not null and not list_contains(own, f)
+  union all select 'schema' where whole and {_VALUE.format('schema')} <> 'receipt/1'
+  union all select 'undeclared-attestation-' || f from (select unnest(json_keys(b, '$.attestation')) as f) where whole and f not in {sql_list(R.ATTESTATION_FIELDS)}
+  """ + "".join(f"union all select 'empty-{c}' where whole and trim({_VALUE.format(c)}) = '' " for c in _TEXTS)
+    + "".join(f"union all select 'digest-form-{c}' where whole and not regexp_matches({_VALUE.format(c)}, '^[0-9a-f]{{64}}$') " for c in _SHAS)
+    + "".join(f"union all select 'digest-{c}' where whole and sha256({_VALUE.format(c)}) <> {_VALUE.format(c + '_sha256')} " for c in ("command", "stdout", "stderr"))
+    + f"""union all select 'release' where whole and {_VALUE.format('rhel_version')} not in ('7', '8', '9', '10')
+  union all select 'timestamp-zone' where whole and not regexp_matches({_VALUE.format('executed_at')}, '(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$')
+  union all select 'exit-code' where whole and json_type(b, '$.exit_code') <> 'UBIGINT'
+  union all select 'not-executed' where whole and {_VALUE.format('attestation.command_was_executed')} <> 'true'
+  union all select 'outputs-not-actual' where whole and (json_type(b, '$.attestation.outputs_are_actual') <> 'BOOLEAN' or {_VALUE.format('attestation.outputs_are_actual')} <> 'true')
+  union all select 'no-statement' where whole and trim({_VALUE.format('attestation.statement')}) = '')""")
+def receipt_rules(spark, sf):
+    """Execution receipts as JSON texts against all rules of a receipt."""
+    digests = {"SHA(concat('run ', event_type))": "sha2(concat('run ', event_type), 256)", "SHA('a')": "sha2('a', 256)", "SHA('f')": "sha2('f', 256)",
+               "SHA('')": "sha2('', 256)", "SHA(case when event_id % 90 = 8 then 'x' else event_type end)": "sha2(case when event_id % 90 = 8 then 'x' else event_type end, 256)"}
+    body = _RECEIPT
+    for said, spelled in digests.items():
+        body = body.replace(said, spelled)
+    receipts = texts(spark, sf, "events").select("event_id", F.expr(body).alias("body"))
+    return R.receipt_text_violations(receipts, "event_id", "body", "receipt/1")
+
+
+@query("doc_markup", r"""
+select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '[ICBM]\(([^)]*)\)', '\1', 'g'), '[UL]\(([^)]*)\)', '\1', 'g'), 'R\(([^,)]*)[^)]*\)', '\1', 'g'),
+  ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) as text, regexp_replace(slug, '\.txt$', '') as slug
+from (select doc_id, concat('I(', substr(text, 1, 9), ') and R(', substr(text, 10, 5), ', note) U(', lang, ') ', substr(text, 15, 40)) as t,
+  concat(source, case when doc_id % 3 = 0 then '.txt' when doc_id % 3 = 1 then '.txt.gz' else '' end) as slug from documents)""")
+def doc_markup(spark, sf):
+    d = texts(spark, sf, "documents").select("doc_id", F.expr(
+        "concat('I(', substr(text, 1, 9), ') and R(', substr(text, 10, 5), ', note) U(', lang, ') ', substr(text, 15, 40))").alias("t"), F.expr(
+        "concat(source, case when doc_id % 3 = 0 then '.txt' when doc_id % 3 = 1 then '.txt.gz' else '' end)").alias("slug"))
+    return d.select("doc_id", T.strip_doc_markup(F.col("t")).alias("text"), T.guide_slug(F.col("slug")).alias("slug"))
+
+
 @query("tri_state", """
 with l as (select l_orderkey, count(*) filter (where l_linestatus <> 'F') as not_f from lineitem group by 1)
 select o_orderkey as entry_id, o_orderstatus as release, case when o_orderpriority like '5%' then 'not verified'
@@ -490,11 +546,11 @@ def facts(spark, sf):
 
 
 @query("rate_threshold", """
-select source, count(*) as n, round(avg(quality), 4) as rate, avg(quality) >= 0.8 as accepted
+select source, count(*) as n, round_even(avg(quality), 4) as rate, avg(quality) >= 0.8 as accepted
 from documents join labels using (doc_id) group by source""")
 def rate_threshold(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels"), "doc_id")
-    return d.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 4).alias("rate"),
+    return d.groupBy("source").agg(F.count("*").alias("n"), F.bround(F.avg("quality"), 4).alias("rate"),
                                    (F.avg("quality") >= 0.8).alias("accepted"))
 
 
