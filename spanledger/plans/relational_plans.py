@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.operators import integrity as I
 from spanledger.operators import joins as J
 from spanledger.operators import ledger as G
 from spanledger.operators import receipts as R
+from spanledger.operators.references import Reference, reference_violations
 from spanledger.plans.base import query, sql_list, table, texts
 from spanledger.sources import sinks
 from spanledger.functions import text as T
@@ -106,10 +110,9 @@ def _fk_sql(c, fk, p, pk):
  union all select 'supplier-nation', 'attribute-s_nationkey', cast(s_suppkey as varchar), count(*)
   from lineitem join supplier on s_suppkey = l_suppkey where l_linenumber <> s_nationkey group by s_suppkey""")
 def fk_violations(spark, sf):
-    out = None
-    for c, fk, p, pk in FKS:
-        v = I.fk_violations(table(spark, sf, c), fk, table(spark, sf, p), pk, f"{c}.{fk}")
-        out = v if out is None else out.unionByName(v)
+    """All plain keys at once, each table scanned once for them; then the one key whose attributes must agree."""
+    checks = [Reference(f"{c}.{fk}", c, fk, p, pk) for c, fk, p, pk in FKS]
+    out = reference_violations({t: table(spark, sf, t) for c in checks for t in (c.child, c.parent)}, checks)
     agreed = I.fk_violations(table(spark, sf, "lineitem"), "l_suppkey", table(spark, sf, "supplier"), "s_suppkey",
                              "supplier-nation", [("l_linenumber", "s_nationkey")])
     agreed = agreed.withColumn("code", F.when(F.col("code") == "attribute-l_linenumber", "attribute-s_nationkey")
@@ -532,17 +535,16 @@ union all select 'customers-with-orders', count(distinct o_custkey) from orders
 union all select 'lineitems', count(*) from lineitem union all select 'pages', count(*) from pages
 union all select 'protected-texts', count(*) from benchmark""")
 def facts(spark, sf):
-    def fact(df, name, expr):
-        return df.agg(expr.alias("n")).select(F.lit(name).alias("fact"), "n")
-    docs, orders, every = table(spark, sf, "documents"), table(spark, sf, "orders"), F.count("*")
-    out = fact(docs, "documents", every)
-    for df, name, expr in (
-            (docs, "sources", F.count_distinct("source")), (table(spark, sf, "labels"), "labelled", every),
-            (orders, "orders", every), (orders, "customers-with-orders", F.count_distinct("o_custkey")),
-            (table(spark, sf, "lineitem"), "lineitems", every), (table(spark, sf, "pages"), "pages", every),
-            (table(spark, sf, "benchmark"), "protected-texts", every)):
-        out = out.unionByName(fact(df, name, expr))
-    return out
+    """Each table is scanned once for all its facts."""
+    every = F.count("*")
+    told = {"documents": {"documents": every, "sources": F.count_distinct("source")}, "labels": {"labelled": every},
+            "orders": {"orders": every, "customers-with-orders": F.count_distinct("o_custkey")}, "lineitem": {"lineitems": every},
+            "pages": {"pages": every}, "benchmark": {"protected-texts": every}}
+    parts = []
+    for name, own in told.items():
+        counted = table(spark, sf, name).agg(*[c.alias(fact) for fact, c in own.items()])
+        parts.append(counted.select(F.inline(F.array(*[F.struct(F.lit(fact).alias("fact"), F.col(f"`{fact}`").alias("n")) for fact in own]))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("rate_threshold", """
