@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from spanledger.operators import search as S
 
-BUCKETS = 32
+BUCKETS = 16
 
 
 class StoredIndex:
@@ -29,11 +29,12 @@ class StoredIndex:
     @classmethod
     def write(cls, frame: DataFrame, path: str, family: str = "kind", id_col: str = "id", hay: str = "hay",
               buckets: int = BUCKETS) -> "StoredIndex":
-        """Stores the index of ``frame``. A hot token's postings are spread over several sorted files by id."""
+        """Stores the index of ``frame``. Adaptive execution splits a large bucket over several files, each sorted by token."""
         spark, types = frame.sparkSession, dict(frame.dtypes)
         flat = S.postings(frame, id_col, hay, family, min_len=1).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
         order = [family, "bucket", "token", id_col]
-        flat.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(family, "bucket").parquet(f"{path}/postings")
+        # Dealt by bucket without a sampling pass, which would cut all texts into tokens twice.
+        flat.hint("rebalance", family, "bucket").sortWithinPartitions(*order).write.partitionBy(family, "bucket").parquet(f"{path}/postings")
         kept = spark.read.schema(f"token string, {family} {types[family]}, bucket int").parquet(f"{path}/postings")
         kept.groupBy(family, "bucket", "token").agg(F.count("*").alias("n")).write.parquet(f"{path}/vocabulary")
         spark.createDataFrame([(family, types[family], id_col, types[id_col])], "family string, family_type string, id_col string, id_type string") \
