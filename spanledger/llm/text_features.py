@@ -13,7 +13,7 @@ from spanledger.llm import textscan as T
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)
-TRAINING_ROWS = 20_000  # at most so many labelled rows are fitted, those with the least hashes of their ids
+TRAINING_ROWS = 20_000  # so many labelled rows at most are fitted by the driver; more are fitted by tasks
 CHOSEN = 3000  # features of a model
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -86,8 +86,8 @@ def _rows(extract: Extract, chosen: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.pieces(batches, "text"):
             owner, feature = distinct(*extract(*T.utf8(b.column(0))))
-            at = np.minimum(np.searchsorted(chosen, feature), len(chosen) - 1)
-            keep = chosen[at] == feature
+            at = np.minimum(np.searchsorted(chosen, feature), max(len(chosen) - 1, 0))
+            keep = chosen[at] == feature if len(chosen) else np.zeros(len(feature), bool)
             cuts = np.searchsorted(owner[keep], np.arange(b.num_rows + 1)).tolist()
             places = at[keep].astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(
@@ -95,14 +95,10 @@ def _rows(extract: Extract, chosen: np.ndarray):
     return run
 
 
-def training_rows(docs: DataFrame, grades: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """(text, grade) of at most ``rows`` graded documents; ``grades`` is (doc_id, grade), one row an id is used.
-
-    The bounded table of grades is sent to all tasks, so that texts stay where they are read.
-    """
-    some = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("long").alias("grade")) \
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "grade")
+def training_rows(docs: DataFrame, grades: DataFrame) -> DataFrame:
+    """(text, grade) of all graded documents; ``grades`` is (doc_id, grade), one row an id is used."""
+    some = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("long").alias("grade"))
+    return docs.select("doc_id", "text").join(some, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "grade")
 
 
 def choose(stored: DataFrame, extract: Extract, grades: int, most: int = CHOSEN) -> np.ndarray:
@@ -126,17 +122,19 @@ def choose(stored: DataFrame, extract: Extract, grades: int, most: int = CHOSEN)
     return np.sort(np.array([r["feature"] for r in best.collect()], np.int64))
 
 
-def matrix(stored: DataFrame, extract: Extract, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grades, and the (row, feature place) pairs of the bounded training rows.
+def told_rows(stored: DataFrame, extract: Extract, chosen: np.ndarray) -> DataFrame:
+    """(grade, have) of the training rows: ``have`` holds the places of a row's features as 32-bit integers."""
+    return stored.mapInArrow(_rows(extract, chosen), "grade long, have binary")
 
-    The places of a row come as the bytes of 32-bit integers, so that the driver holds four bytes for each.
-    """
-    if not len(chosen):
-        rows = [(r["grade"], b"") for r in stored.select("grade").collect()]
-    else:
-        told = stored.mapInArrow(_rows(extract, chosen), "grade long, have binary").toArrow()
-        rows = list(zip(told["grade"].to_pylist(), told["have"].to_pylist()))
-        rows.sort()
-    grade = np.array([g for g, _ in rows], np.int64)
-    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(have) // 4 for _, have in rows])
-    return grade, at, np.frombuffer(b"".join(have for _, have in rows), np.int32)
+
+def pairs(grade: pa.Array, have: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grades, and the (row, feature place) pairs of some rows."""
+    have = have.to_pylist()
+    at = np.repeat(np.arange(len(have), dtype=np.int32), [len(h) // 4 for h in have])
+    return grade.to_numpy(zero_copy_only=False).astype(np.int64), at, np.frombuffer(b"".join(have), np.int32)
+
+
+def matrix(told: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of all rows, whose number is bounded; the driver holds four bytes for each pair."""
+    rows = told.select("grade", "have").toArrow().combine_chunks().sort_by([("grade", "ascending"), ("have", "ascending")])
+    return pairs(rows["grade"], rows["have"])

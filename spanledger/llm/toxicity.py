@@ -142,14 +142,14 @@ class Scorer:
         """``labels`` is (doc_id, toxic); rows whose crc32(doc_id) mod 4 is 2 are not learned from."""
         shelf = Shelf(docs.sparkSession)
         self.model = model = language_model(docs if corpus is None else corpus)
-        stored = X.training_rows(docs, labels.where(~held_out()).select("doc_id", F.col("toxic").alias("grade")), rows)
+        stored = X.training_rows(docs.where(~held_out()), labels.where(~held_out()).select("doc_id", F.col("toxic").alias("grade")))
 
         def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             restorer = Restorer(model)
             for b in T.pieces(batches, "text"):
                 yield pa.RecordBatch.from_arrays([_restored_column(b.column(0), restorer).cast(pa.string()), b.column(1)], ["text", "grade"])
         stored = shelf.put(stored.mapInArrow(restore, "text string, grade long"), "fit")
-        weights, self.thresholds = learned(stored, X.words_and_stems, 2)
+        weights, self.thresholds = learned(stored, X.words_and_stems, 2, rows)
         self.places = np.flatnonzero(weights)
         self.values = weights[self.places]
         shelf.drop("fit")

@@ -86,6 +86,18 @@ def test_obfuscation_is_scored(spark):
     assert [got[i] for i in range(1000, 1003)] == [1, 1, 0] and {1003, 1004} <= got.keys()
 
 
+def test_all_labelled_rows_are_fitted(spark):
+    """A fit by tasks takes all rows and ends where the fit by the driver does."""
+    bad = ["idiot", "moron", "loser", "clown", "fool"]
+    docs = [(i, f"the report of day {'x' * (i % 7)} was {bad[i % 5] if i % 2 else 'fine'} and the rest of it was read") for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    toxic = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    grades = spark.createDataFrame([(i, i % 2 * (1 + i % 5 // 3)) for i, _ in docs], "doc_id long, grade int")
+    for fitted, column in ((lambda rows: toxicity(df, toxic, rows), "score"), (lambda rows: graded(df, grades, rows=rows), "expected_grade")):
+        few, whole = [{r.doc_id: r[column] for r in fitted(rows).collect()} for rows in (6, 10 ** 6)]
+        assert max(abs(few[i] - whole[i]) for i in few) < 0.1 and max(whole.values()) > 0.8
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, None, 1), (1, "", 1), (1, "a", 1), (2, "é" * 100000, 1), (3, "a.b " * 20000, 1)], "doc_id long, text string, toxic int")
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 1), (2, None, None)], "doc_id long, toxic int, quality int")
