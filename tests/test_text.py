@@ -95,3 +95,14 @@ def test_prompts(spark):
     rows = [("$ ls",), ("#  id -u ",), ("#find / x",), ("#!bin",), ("$ls",), ("plain",)]
     got = [(r.prompt, r.command) for r in L.with_prompt(spark.createDataFrame(rows, "line string")).collect()]
     assert got == [("$", "ls"), ("#", "id -u"), ("#", "find / x"), ("", ""), ("", ""), ("", "")]
+
+
+def test_text_tables_are_dealt_to_all_tasks(spark):
+    """A file of one row group is worked on by as many tasks as a shuffle has, without a setting of its own."""
+    from spanledger.plans.base import texts
+    spread = spark.conf.get("spark.spanledger.spread")
+    spark.conf.unset("spark.spanledger.spread")
+    try:
+        assert texts(spark, "/root/testdata/sf0.001", "part").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set("spark.spanledger.spread", spread)
