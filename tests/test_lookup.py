@@ -65,6 +65,14 @@ def test_phrases_against_contains(spark):
     assert none.collect() == [] and none.columns == ["k", "phrase_id"]
 
 
+def test_phrases_with_an_inner_word_cut_no_grams(spark, monkeypatch):
+    from spanledger.operators import phrases as P
+    monkeypatch.setattr(P, "_grams", None)
+    lines = spark.createDataFrame([(1, "x red Blue green y"), (2, "red  blue green"), (3, "a red 'blue' greens"), (4, "blue"), (5, None)], "k int, line string")
+    phrases = spark.createDataFrame([(1, "red blue green"), (2, "d BLUE g"), (3, "red blue gone")], "phrase_id int, phrase string")
+    assert sorted(map(tuple, phrase_hits(lines, ["k"], "line", phrases).collect())) == [(1, 1), (1, 2), (3, 1), (3, 2)]
+
+
 CLAIM = "claim_id string, family string, key string, field string, line_no long, line_to long, text string, verbatim boolean, exact boolean"
 
 
