@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions.text import let
+from spanledger.operators.support import dealt
 
 
 def fk_violations(child: DataFrame, fk: str, parent: DataFrame, pk: str, label: str,
@@ -83,8 +84,15 @@ def check_summary(violations: DataFrame, checked: DataFrame, names: str) -> Data
                         .when(F.col("violations") > 0, "FAIL").otherwise("PASS"))
 
 
+SALTS = 16  # tasks that count a key before its counts meet
+
+
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    """Keys of more than one row. Most keys are unique, so no task combines those of a whole file or of a joined
+    partition; a key that many rows hold is counted by several tasks first."""
+    salted = df.select(*keys, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("_salt"))
+    counts = dealt(salted, *keys, "_salt").groupBy(*keys, "_salt").agg(F.count("*").alias("_n")).drop("_salt")
+    return dealt(counts, *keys).groupBy(*keys).agg(F.sum("_n").alias("n")).where(F.col("n") > 1)
 
 
 def grid_gaps(entities: DataFrame, entity: str, slots: list, slot: str, slot_type: str,
