@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanledger.functions import text as T
+from spanledger.operators.support import settled
 
 GROUP = ("_id string, Rule struct<_id:string,_severity:string,version:string,title:string,"
          "ident:array<struct<_system:string,_VALUE:string>>,"
@@ -39,7 +40,8 @@ def rule_rows(groups: DataFrame, *keep: str) -> DataFrame:
 
 
 def rule_violations(rules: DataFrame) -> DataFrame:
-    """(v, code) for a missing id, an unknown severity, or an id used twice."""
+    """(v, code) for a missing id, an unknown severity, or an id used twice. Rules are read once."""
+    rules = settled(rules.select("v", "i", "c"))
     dup = rules.groupBy("i").agg(F.count("*").alias("n"), F.min("v").alias("v")).where(
         (F.col("n") > 1) & (F.col("i") != "")).select("v", F.lit("duplicate-id").alias("code"))
     codes = F.array_compact(F.array(
