@@ -105,3 +105,17 @@ def test_odd_rows(spark):
     assert len(toxicity(df, labels).collect()) == len(graded(df, ratings).collect()) == 5
     assert len(toxicity(df, labels.limit(0)).collect()) == len(graded(df, ratings.limit(0)).collect()) == 5
     assert toxicity(df.limit(0), labels).collect() == graded(df.limit(0), ratings).collect() == []
+
+
+def test_only_texts_with_a_grade_are_moved(spark):
+    """The plan is the same for few grades as for many, and texts without a grade are left out before the shuffle."""
+    from spanledger.llm.text_features import perhaps_in, training_rows
+    docs = spark.range(0, 40_000, 1, 4).selectExpr("if(id = 7, null, id * 1000003) as doc_id", "if(id = 30, null, concat('text ', id)) as text")
+    ids = spark.range(0, 40_000, 10, 4).selectExpr("id * 1000003 as doc_id")
+    near = perhaps_in(docs, ids, "doc_id")
+    assert ids.join(near, "doc_id", "left_anti").count() == 0 and 4000 <= near.count() < 4000 + 36_000 // 6
+    assert perhaps_in(docs, ids.limit(0), "doc_id").count() == 0
+    told = training_rows(docs, ids.selectExpr("doc_id", "cast(doc_id % 2 as int) as grade").union(spark.createDataFrame([(10 * 1000003, 5), (None, 1)], "doc_id long, grade int")))
+    assert "SortMergeJoin" in told._jdf.queryExecution().executedPlan().toString()
+    rows = {r.text: r.grade for r in told.collect()}
+    assert len(rows) == told.count() == 4000 and rows["text 10"] == 5 and "" in rows and rows["text 20"] == 0
