@@ -140,3 +140,19 @@ def test_execution_receipts(spark):
     data = [good] + [{**good, "entry_id": e, **o} for e, o, _ in bad]
     got = sorted((r.entry_id, r.code) for r in execution_receipt_violations(spark.createDataFrame(data, schema)).collect())
     assert got == sorted((e, c) for e, _, c in bad)
+
+
+def test_long_files_are_hashed_in_turns(spark, tmp_path):
+    """The digest is that of the whole file, and no task reads much more than a part of it."""
+    import hashlib
+    import random
+    from spanledger.sources import manifests
+    rnd = random.Random(8)
+    long = {"a b+c%41.bin": rnd.randbytes(13 << 20), "feed.bin": rnd.randbytes(9 << 20) + b"\n", "mark.bin": b"\xef\xbb\xbf\r\n" + rnd.randbytes(9 << 20) + b"x",
+            "markfeed.bin": b"\xef\xbb\xbf" + b"\n" * (5 << 20), "packed.gz": rnd.randbytes(5 << 20)}
+    every = long | {"small.bin": b"x\r\n"}
+    for name, data in every.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.file: (r.sha256, r.bytes) for r in manifests.file_digests(spark, str(tmp_path), part=4 << 20).collect()}
+    assert got == {n: (hashlib.sha256(d).hexdigest(), len(d)) for n, d in every.items()}
+    assert manifests.file_digests(spark, str(tmp_path)).count() == len(every)
