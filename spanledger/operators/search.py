@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanledger.operators.support import settled
-from spanledger.operators.windows import first_per_group, running
+from spanledger.operators.windows import first_per_group
 
 TOKEN = r"[a-z0-9_.+-]+"
 BLOCK = 4096
@@ -37,17 +41,38 @@ def posting_blocks(flat: DataFrame, id_col: str, *keys: str, block: int = BLOCK)
                  F.count("*").alias("n")))
 
 
-def delta_encode(flat: DataFrame, id_col: str, block: int = BLOCK) -> DataFrame:
-    """Each posting's gap from the one before it in its token's list."""
-    d = running(flat, ["token"], [id_col], F.expr(f"{id_col} div {block}"),
-                last={"_prev": F.col(id_col)})
-    return d.withColumn("delta", F.col(id_col) - F.coalesce("_prev", F.lit(0))).drop("_prev")
+def coded_blocks(blocks: DataFrame) -> DataFrame:
+    """(token, block_no, postings, deltas) of sorted blocks: each posting's gap from the one before it in its token's whole list.
 
-
-def delta_decode(coded: DataFrame, order: str, block: int = BLOCK) -> DataFrame:
-    """Postings back from gaps by a running sum in list order."""
-    return running(coded, ["token"], [order], F.expr(f"{order} div {block}"),
-                   sums={"decoded": F.col("delta")})
+    Only the last id of a block goes from block to block.
+    """
+    last = blocks.select("token", "block_no", F.element_at("postings", -1).alias("_last"))
+    carry = last.select("token", "block_no", F.lag("_last", 1, 0).over(Window.partitionBy("token").orderBy("block_no")).alias("_prev"))
+    gaps = F.zip_with("postings", F.concat(F.array("_prev"), F.slice("postings", 1, F.size("postings") - 1)), lambda x, y: x - y)
+    return blocks.join(carry, ["token", "block_no"]).select("token", "block_no", "postings", gaps.alias("deltas"))
+
+
+def _unrolled(id_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                token, base, ids, gaps = batch.slice(i, 256).columns
+                size = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+                gap = gaps.flatten().to_numpy(zero_copy_only=False)
+                upto = np.concatenate(([0], np.cumsum(gap)))
+                shift = base.to_numpy(zero_copy_only=False) - upto[np.cumsum(size) - size]
+                yield pa.RecordBatch.from_arrays([token.take(pa.array(np.repeat(np.arange(len(size)), size))), ids.flatten(), pa.array(gap),
+                                                  pa.array(upto[1:] + np.repeat(shift, size))], ["token", id_col, "delta", "decoded"])
+    return run
+
+
+def decoded_blocks(coded: DataFrame, id_col: str) -> DataFrame:
+    """(token, id, delta, decoded) of each posting: ids back from the gaps alone, by the blocks' sums and running sums inside a block."""
+    sums = coded.select("token", "block_no", F.aggregate("deltas", F.lit(0).cast("long"), lambda a, x: a + x).alias("_sum"))
+    before = Window.partitionBy("token").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("token", "block_no", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    return coded.join(base, ["token", "block_no"]).select("token", "_base", "postings", "deltas").mapInArrow(
+        _unrolled(id_col), f"token string, {id_col} long, delta long, decoded long")
 
 
 def _score(hay: Column, terms: list[str]) -> Column:

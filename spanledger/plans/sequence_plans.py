@@ -15,7 +15,7 @@ from spanledger.operators import search as S
 from spanledger.operators import windows as X
 from spanledger.operators.lines import explode_lines, with_prompt
 from spanledger.operators.index_store import StoredIndex
-from spanledger.operators.support import Shelf, settled
+from spanledger.operators.support import Shelf, dealt, settled
 from spanledger.plans.base import (DOC_LINES, LOG, LOG_COMMANDS, TEXT_KEYS, command_log, document_lines, query, table,
                                    texts)
 
@@ -175,9 +175,17 @@ def inverted_index(spark, sf):
 select token, doc_id, doc_id - coalesce(lag(doc_id) over (partition by token order by doc_id), 0) as delta, doc_id as decoded
 from ({_POSTINGS})""")
 def posting_deltas(spark, sf):
-    # Postings and coded lists are tables that are stored once and read by what follows.
-    coded = settled(S.delta_encode(settled(_postings(spark, sf)), "doc_id"))
-    return S.delta_decode(coded, "doc_id").select("token", "doc_id", "delta", "decoded")
+    """Texts are dealt by block of ids, so that a block's postings become sorted lists where they are cut; then lists move."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("hay"))
+    whole = dealt(docs.where("doc_id is not null").withColumn("block_no", F.expr(f"doc_id div {S.BLOCK}")), "block_no")
+    flat = S.postings(whole, "doc_id", "hay", "block_no")
+    # The blocks are a table that is stored once; its lists are shuffled once, for coding and decoding.
+    blocks = settled(flat.groupBy("token", "block_no").agg(F.array_sort(F.collect_set("doc_id")).alias("postings")))
+    # A document without an id has no place in a list.
+    none = S.postings(docs.where("doc_id is null"), "doc_id", "hay").select("token").distinct()
+    null = F.lit(None).cast("long")
+    return S.decoded_blocks(S.coded_blocks(blocks), "doc_id").unionByName(
+        none.select("token", null.alias("doc_id"), null.alias("delta"), null.alias("decoded")))
 
 
 # ---- command lines ------------------------------------------------------------------------

@@ -109,3 +109,18 @@ def test_plan_moves_a_text_once(spark):
         assert plan.count("Join ") == 2 and "Aggregate" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_posting_deltas_of_odd_ids(spark, tmp_path):
+    """Repeated, null and negative ids, lists over many blocks; texts move once and postings only as lists."""
+    import duckdb
+    from spanledger.plans import catalog
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, 5, 5000]) if rnd.random() < .1 else rnd.randrange(-3000, 9000), " ".join(rnd.choices(["Aa", "bb", "cc", f"w{i}", "x"], k=4)))
+            for i in range(500)] + [(7, None), (8, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLES["posting_deltas"]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["posting_deltas"](spark, str(tmp_path)).select("token", "doc_id", "delta", "decoded").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 1000
