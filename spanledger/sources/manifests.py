@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanledger.operators.support import Shelf, dealt
+from spanledger.operators.support import Shelf
 
 PART = 128 << 20  # bytes: longer files are hashed by one task after the other, each of about so many
 CODEC = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"  # names whose bytes the text reader would unpack
@@ -91,7 +91,10 @@ def _long_digests(spark: SparkSession, path: str, glob: str, part: int) -> list[
         raise ValueError(f"files that changed or are not read byte by byte: {odd}")
     marked, states = {r["path"] for r in files if r["more"] >= 2}, {}
     for (turn,) in sorted(parts.select("turn").distinct().collect()):
-        now = dealt(parts.where(F.col("turn") == turn), "path").sortWithinPartitions("path", "begin", "seq").select("path", "content")
+        # A partition to each file that is so long: where hashes deal them, a task may get several.
+        left = [r["path"] for r in files if r["size"] > turn * part]
+        now = (parts.where(F.col("turn") == turn).repartitionById(len(left), (F.array_position(F.lit(left), F.col("path")) - 1).cast("int"))
+               .sortWithinPartitions("begin", "seq").select("path", "content"))
         states |= {r["path"]: bytes(r["state"]) for r in now.mapInArrow(_advanced(states, marked), "path string, state binary").collect()}
     shelf.drop("parts")
     found = []

@@ -156,3 +156,27 @@ def test_long_files_are_hashed_in_turns(spark, tmp_path):
     got = {r.file: (r.sha256, r.bytes) for r in manifests.file_digests(spark, str(tmp_path), part=4 << 20).collect()}
     assert got == {n: (hashlib.sha256(d).hexdigest(), len(d)) for n, d in every.items()}
     assert manifests.file_digests(spark, str(tmp_path)).count() == len(every)
+
+
+def test_a_turn_gives_each_task_one_file(spark, tmp_path, monkeypatch):
+    """However many long files there are, a task hashes one of them at a time."""
+    import hashlib
+    import random
+    from spanledger.sources import manifests
+    rnd, advanced = random.Random(9), manifests._advanced
+
+    def alone(states, marked):
+        run = advanced(states, marked)
+
+        def check(batches):
+            out = list(run(batches))
+            assert sum(b.num_rows for b in out) < 2
+            yield from out
+        return check
+
+    monkeypatch.setattr(manifests, "_advanced", alone)
+    every = {f"{i}.bin": rnd.randbytes(70_000 + i) for i in range(60)}
+    for name, data in every.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.file: r.sha256 for r in manifests.file_digests(spark, str(tmp_path), part=1 << 16).collect()}
+    assert got == {n: hashlib.sha256(d).hexdigest() for n, d in every.items()}
