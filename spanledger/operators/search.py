@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,7 +17,9 @@ from spanledger.operators.support import settled
 from spanledger.operators.windows import first_per_group
 
 TOKEN = r"[a-z0-9_.+-]+"
+IN_TOKEN = np.array([bool(re.match(TOKEN, chr(b))) for b in range(256)])  # of bytes: tokens are ASCII
 BLOCK = 4096
+HELD = 16 << 20
 
 
 def haystack(*parts: Column) -> Column:
@@ -30,6 +33,67 @@ def postings(frame: DataFrame, id_col: str, hay: str, *keep: str, min_len: int =
     return frame.select(*keep, id_col, F.explode(toks).alias("token"))
 
 
+def _cut(hays: pa.Array, most: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(tokens, offsets, rows) of texts: the distinct tokens with the rows that hold each, cut where they are more than ``most``."""
+    hays = pc.fill_null(hays.cast(pa.binary()), b"")
+    ends = np.frombuffer(hays.buffers()[1], np.int32)[hays.offset:hays.offset + len(hays) + 1]
+    data = np.frombuffer(hays.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+    ends = ends - ends[0]
+    inside = IN_TOKEN[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    starts = ends[:-1][ends[:-1] < len(data)]
+    first[starts] = inside[starts]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
+    places = np.flatnonzero(first)
+    size = np.flatnonzero(last) - places + 1
+    words = pa.StringArray.from_buffers(len(places), pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.py_buffer(data[inside])).dictionary_encode()
+    row = np.repeat(np.arange(len(hays)), np.diff(np.searchsorted(places, ends)))
+    pairs = np.sort(words.indices.to_numpy().astype(np.int64) * len(hays) + row)
+    code, rows = np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], len(hays))
+    counts = np.bincount(code, minlength=len(words.dictionary))
+    pieces = -(-counts // most)
+    token = np.repeat(np.arange(len(counts)), pieces)
+    nth = np.arange(len(token)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return words.dictionary.take(pa.array(token)), np.append((np.cumsum(counts) - counts)[token] + nth * most, len(rows)), rows
+
+
+def posting_lists(frame: DataFrame, family: str, id_col: str, hay: str, most: int = BLOCK, held: int = HELD) -> DataFrame:
+    """(family, token, n, ids as a list): the postings of tokens of any length, as lists from where they are cut.
+
+    A task gives its lists out after ``held`` bytes of text, so that a token has one or more lists of at most ``most`` ids from it.
+    """
+    types = dict(frame.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: defaultdict = defaultdict(list)
+        size = 0
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for parts in texts.values():
+                names, ids, hays = map(pa.concat_arrays, zip(*(p.columns for p in parts)))
+                tokens, offsets, rows = _cut(hays, most)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), ids.take(pa.array(rows)))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.zeros(len(tokens), np.int64))), tokens, pa.array(np.diff(offsets)), lists],
+                                                 [family, "token", "n", id_col])
+            texts.clear()
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                names = part.column(0).to_pylist()
+                for name in set(names):
+                    texts[name].append(part if names.count(name) == len(names) else part.take(pa.array([i for i, x in enumerate(names) if x == name])))
+                size += pc.sum(pc.binary_length(part.column(2))).as_py() or 0
+                if size >= held:
+                    yield from given()
+                    size = 0
+        yield from given()
+
+    return frame.select(family, id_col, hay).mapInArrow(run, f"{family} {types[family]}, token string, n long, {id_col} array<{types[id_col]}>")
+
+
 def posting_blocks(flat: DataFrame, id_col: str, *keys: str, block: int = BLOCK) -> DataFrame:
     """Sorted posting lists cut at multiples of ``block`` ids.
 
@@ -105,9 +169,11 @@ def ranked_search(frame: DataFrame, queries: list[str], per_kind: int = 8) -> Da
     return best.unionByName(none)
 
 
-def index_search(index: DataFrame, frame: DataFrame, queries: list[str], id_cols: list[str]) -> DataFrame:
+def index_search(index: DataFrame, frame: DataFrame, queries: list[str], id_cols: list[str], listed: str | None = None) -> DataFrame:
     """Rows of ``frame`` holding all terms of a query: candidates from postings, then their texts.
 
+    ``listed`` names the id that ``index`` holds as lists; those of tokens with a piece are unpacked.
+
     A term is cut into tokens as the texts are; each piece lies inside a token of every row that holds
     the term, so only the postings of such tokens are read. Signs between tokens and the places of the
     pieces are verified on the candidates' ``hay``. The index holds tokens of every length (min_len=1).
@@ -123,6 +189,8 @@ def index_search(index: DataFrame, frame: DataFrame, queries: list[str], id_cols
             F.col("token").contains(p).alias("ok")) for q, p in wanted]), lambda x: x["ok"])
         any_piece = F.col("token").rlike("|".join(re.escape(p) for p in sorted({p for _, p in wanted})))
         hits = index.where(any_piece).select(*id_cols, F.explode(matches).alias("m")).select(*id_cols, "m.*")
+        if listed:
+            hits = hits.withColumn(listed, F.explode(listed))
         per_piece = hits.groupBy("query", "n", "piece", *id_cols).agg(F.lit(1).alias("_one"))
         candidates.append(per_piece.groupBy("query", "n", *id_cols).agg(F.count("*").alias("_have"))
                           .where(F.col("_have") == F.col("n")).select("query", *id_cols))

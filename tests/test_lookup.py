@@ -30,6 +30,20 @@ def test_index_search_equals_the_scan(spark, tmp_path):
         ("l3", "nothing", "unresolved"), ("l3", "here", "unresolved"), ("l3", "else", "unposted")}
 
 
+def test_postings_are_stored_as_lists(spark, tmp_path):
+    """Odd ids, families and texts; a list holds 4,096 ids at most, and there are far fewer of them than postings."""
+    from spanledger.operators import search
+    rows = [("a", i, f"the w{i % 7} é_x\x00y") for i in range(9000)] + [(None, 5, "the null.family"), ("b", None, "the"), ("b", 7, "the the"), ("b", 7, "other"),
+            ("b", -3, None), ("b", 8, ""), ("b", 9, "Éa Ab-c the")]
+    frame = spark.createDataFrame(rows, "kind string, id long, hay string").coalesce(1)
+    index = StoredIndex.write(frame, f"{tmp_path}/i", buckets=4)
+    key = lambda d: sorted(map(str, d.select("kind", "id", "token").collect()))
+    assert key(index.postings) == key(search.postings(frame, "id", "hay", "kind", min_len=1))
+    assert index.lists.count() < 60 and index.lists.agg(F.max(F.size("id"))).first()[0] == 4096
+    assert {r.token: r.n for r in index.vocabulary.where("kind = 'b'").collect()} == {"the": 3, "other": 1, "a": 1, "b-c": 1}
+    assert sorted(r.id for r in index.search(frame, ["the"]).where("kind = 'b'").collect()) == [7, 7, 9]  # "other" holds it too
+
+
 def test_parts_without_the_terms_are_not_read(spark, tmp_path):
     """The files of all families and buckets without a term are damaged; a search that opened one would fail."""
     frame = spark.createDataFrame(frame_rows(), "kind string, id string, hay string")
