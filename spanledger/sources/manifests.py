@@ -9,7 +9,7 @@ from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanledger.operators.support import Shelf
@@ -105,15 +105,24 @@ def _long_digests(spark: SparkSession, path: str, glob: str, part: int) -> list[
     return found
 
 
+def _name_below(spark: SparkSession, path: str) -> Column:
+    """The part of the column ``path`` below a folder, whose files may share names with those of another: a table may be a folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = system.makeQualified(where).toUri().getPath().rstrip("/") + "/"
+    local = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.when(local.startswith(root), F.substr(local, F.lit(len(root) + 1))).otherwise(F.regexp_extract("path", r"([^/]+)$", 1)).alias("file")
+
+
 def file_digests(spark: SparkSession, path: str, glob: str = "*", part: int = PART) -> DataFrame:
-    """(file, sha256, bytes) of every file below a path.
+    """(file, sha256, bytes) of every file below a path; ``file`` is its path below that one.
 
     Files of up to ``part`` bytes are hashed inside one row, longer ones in turns by several tasks. Two kinds stay with one
     task: a long file named as a packed one (``CODEC``), in one row of at most 2 GB, and a run without any line feed.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", glob).load(path))
-    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("file")
+    name = _name_below(spark, path)
     # Conditions on the files' metadata are tried on the list of files, so that contents which are not asked for are not read.
     meta = F.col("_metadata")
     at_once = (meta["file_size"] <= part) | meta["file_path"].rlike(CODEC)
@@ -135,5 +144,8 @@ def verify_pins(found: DataFrame, pinned: DataFrame) -> DataFrame:
 
 
 def cited_sources(records: DataFrame, digests: DataFrame, file: str = "file") -> DataFrame:
-    """The digests of those files only that some record cites."""
-    return digests.join(records.select(F.col(file).alias("file")).distinct(), "file", "left_semi")
+    """The digests of those files only that some record cites: by the whole name, the last part of it, or the folder it begins with."""
+    named = F.array(F.col("file"), F.substring_index("file", "/", -1), F.substring_index("file", "/", 1))
+    hits = digests.withColumn("_named", F.explode(F.array_distinct(named)))
+    cited = records.select(F.col(file).alias("_named")).distinct()
+    return hits.join(cited, "_named", "left_semi").drop("_named").distinct()

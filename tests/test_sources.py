@@ -180,3 +180,18 @@ def test_a_turn_gives_each_task_one_file(spark, tmp_path, monkeypatch):
         (tmp_path / name).write_bytes(data)
     got = {r.file: r.sha256 for r in manifests.file_digests(spark, str(tmp_path), part=1 << 16).collect()}
     assert got == {n: hashlib.sha256(d).hexdigest() for n, d in every.items()}
+
+
+def test_tables_that_are_folders_are_cited_with_all_their_files(spark, tmp_path):
+    """Files of two tables may share a name; short and long files alike are named by their path."""
+    from spanledger.plans import catalog
+    from spanledger.sources import manifests
+    every = {"documents.parquet/part-0.parquet": b"a", "documents.parquet/part-1.parquet": b"b" * 200 + b"\n" + b"c" * 200,
+             "pages.parquet/part-0.parquet": b"d", "labels.parquet/part-0.parquet": b"e", "orders.parquet": b"f", "part.parquet": b"g"}
+    for name, data in every.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    found = manifests.file_digests(spark, str(tmp_path), "*.parquet", part=100)
+    assert {r.file: r.sha256 for r in found.collect()} == {n: hashlib.sha256(d).hexdigest() for n, d in every.items()}
+    got = {r.file for r in catalog.QUERIES["provenance_digests"](spark, f"file://{tmp_path}").collect()}
+    assert got == {n for n in every if n.startswith(("documents", "pages", "orders"))}
