@@ -86,6 +86,25 @@ def test_clean_markup_and_cap(spark):
     assert one(spark, "aaa", lambda c: T.cap_at_line(c, 8, "[cut]")) == "aaa"
 
 
+ODD_PAGES = [
+    "<p>token = &quotp{margin:0}</p>", "&quot &lt &gt; &nbsp &copy 2020 &middot &apos; &#39; &#39 &#x27;", "&eacute; &hellip; &#65; &#150; &notit;",
+    "&amp;lt; &amplt; &amp;amp; &ampamp; &AMP; &&amp", "<>a<b\n>c< d", "a\r\n\r\n\r\nb\r\r\n\n\n\n", "\x1c\x85\u3000 x \u2003", "\xa0\t\x0b y &nbsp;\r",
+    "&nbsp;<i>z</i>&#160;", "", " ", "<only>", None]
+
+
+def test_markup_clean_is_its_sql(spark, tmp_path):
+    """Whatever references, spaces and nulls the pages hold."""
+    import duckdb
+
+    from spanledger.plans import catalog
+    spark.createDataFrame(list(enumerate(ODD_PAGES)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLES["markup_clean"]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["markup_clean"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) == len(ODD_PAGES)
+
+
 def test_names_and_titles(spark):
     assert one(spark, " Ann  Lee (QA) ", T.normal_name) == "ann lee"
     assert one(spark, "using_the tools and files", T.title_case) == "Using the Tools and Files"
