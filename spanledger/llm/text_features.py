@@ -14,7 +14,7 @@ from spanledger.llm import textscan as T
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)
 TRAINING_ROWS = 20_000  # so many labelled rows at most are fitted by the driver; more are fitted by tasks
-CHOSEN = 3000  # features of a model
+GAIN, TEXTS = 6, 3  # a feature with a gain at most this, or in fewer texts, is not told from chance
 ID_BITS = 8  # bits for each graded id, by which texts without a grade are told
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -122,10 +122,11 @@ def training_rows(docs: DataFrame, grades: DataFrame) -> DataFrame:
     return near.join(some.hint("merge"), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "grade")
 
 
-def choose(stored: DataFrame, extract: Extract, grades: int, most: int = CHOSEN) -> np.ndarray:
-    """The features, at most ``most``, whose presence tells the grades apart best, by the gain in likelihood.
+def choose(stored: DataFrame, extract: Extract, grades: int) -> np.ndarray:
+    """All features whose presence tells the grades apart, however many there are.
 
-    Features in fewer than three texts, or with a gain of 6 or less, are left out: they have no weight.
+    That is a test of each feature by itself: those in fewer than ``TEXTS`` texts, or with a gain in likelihood of at most
+    ``GAIN``, are not told from chance. There are ``BUCKETS`` features at most, and the driver holds a number for each.
     """
     sizes = np.zeros(grades)
     for r in stored.groupBy("grade").count().collect():
@@ -139,8 +140,8 @@ def choose(stored: DataFrame, extract: Extract, grades: int, most: int = CHOSEN)
     for g in range(grades):
         for have, of in ((named[g], held), (F.lit(float(sizes[g])) - named[g], F.lit(total) - held)):
             gain = gain + F.when((have > 0) & (of > 0) & F.lit(sizes[g] > 0), have * F.log(have * total / (of * float(max(sizes[g], 1))))).otherwise(0.0)
-    best = counts.where(held >= 3).select("feature", gain.alias("gain")).where("gain > 6").orderBy(F.desc("gain"), "feature").limit(most)
-    return np.sort(np.array([r["feature"] for r in best.collect()], np.int64))
+    told = counts.where(held >= TEXTS).where(gain > GAIN).select("feature").toArrow()
+    return np.sort(told["feature"].to_numpy().astype(np.int64))
 
 
 def told_rows(stored: DataFrame, extract: Extract, chosen: np.ndarray) -> DataFrame:

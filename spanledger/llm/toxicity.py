@@ -150,6 +150,8 @@ class Scorer:
                 yield pa.RecordBatch.from_arrays([_restored_column(b.column(0), restorer).cast(pa.string()), b.column(1)], ["text", "grade"])
         stored = shelf.put(stored.mapInArrow(restore, "text string, grade long"), "fit")
         weights, self.thresholds = learned(stored, X.words_and_stems, 2, rows)
+        if stored.isEmpty():
+            self.thresholds = np.full(1, np.inf)
         self.places = np.flatnonzero(weights)
         self.values = weights[self.places]
         shelf.drop("fit")
@@ -164,9 +166,9 @@ class Scorer:
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = X.TRAINING_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs`` (doc_id, text).
 
-    Null and empty texts score as a text without words; without labels every score is that of the mean. Weights are
-    those of ``text_features.CHOSEN`` hashed words and stems at most, each in at least three fitted texts: a word
-    that fewer labelled texts hold weighs nothing. A noisy token is decoded whole, whatever its length.
+    Null and empty texts score as a text without words; where no text has a label to learn from, nothing is known to be
+    toxic and every score is next to 0. Weights are those of all hashed words and stems that tell labels apart
+    (``text_features.choose``); others weigh nothing. A noisy token is decoded whole, whatever its length.
     Ids, languages and sources are never inputs. Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -180,7 +182,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = X.TRAINING_ROWS) ->
 
 
 def kept_texts(docs: DataFrame, labels: DataFrame, rows: int = X.TRAINING_ROWS) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) that score under the threshold, with all columns."""
+    """The rows of ``docs`` (doc_id, text and any others) that score under the threshold, with all columns. Without labels
+    to learn from all rows stay."""
     scorer, at = Scorer(docs, labels, rows=rows), docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -119,3 +119,15 @@ def test_only_texts_with_a_grade_are_moved(spark):
     assert "SortMergeJoin" in told._jdf.queryExecution().executedPlan().toString()
     rows = {r.text: r.grade for r in told.collect()}
     assert len(rows) == told.count() == 4000 and rows["text 10"] == 5 and "" in rows and rows["text 20"] == 0
+
+
+def test_every_telling_word_weighs(spark):
+    """More words tell the label than a model of a fixed size would hold: each of them has a weight."""
+    from spanledger.llm import text_features as X
+    words = ["".join(chr(97 + i // 26 ** k % 26) for k in range(4)) for i in range(0, 26 ** 4, 100)]
+    texts = [(" ".join(words[j:j + 10]) if i % 2 else "the report of today was read", i % 2) for j in range(0, len(words), 10) for i in range(24)]
+    told = X.choose(spark.createDataFrame(texts, "text string, grade long"), X.words_and_stems, 2)
+    own = [X.words_and_stems(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[1] for w in words]
+    assert len(words) == 4570 and all(np.isin(f, told).all() for f in own)
+    common = X.words_and_stems(np.frombuffer(b"report", np.uint8), np.array([0, 6]))[1]
+    assert np.isin(common, told).all() and not len(X.choose(spark.createDataFrame([("a b", 0), ("a b", 1)], "text string, grade long"), X.words_and_stems, 2))

@@ -70,3 +70,14 @@ def test_odd_rows(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     odd_tables(spark, tmp_path, False)
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_no_row_is_lost_without_labels_to_learn_from(spark, tmp_path):
+    """No labels, labels without a value, and texts that no label can name: nothing is known to be toxic, so all stay."""
+    docs = odd_tables(spark, tmp_path, True)
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kinds = "doc_id long, quality int, toxic int"
+    for name, labels in (("none", []), ("null", [(i, 1, None) for i in range(40)]), ("nameless", [(None, 1, 1)]), ("other", [(10 ** 6 + i, 1, 1) for i in range(40)])):
+        spark.createDataFrame(labels, kinds).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert P.toxicity(spark, frame, f"{tmp_path}/{name}").count() == len(docs)
+    assert P.toxicity(spark, frame, str(tmp_path)).count() == len(docs)
