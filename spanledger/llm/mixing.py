@@ -55,13 +55,14 @@ def targets(sizes: DataFrame, weights: DataFrame, share: float = 1.0, rounds: in
 
 def queued(docs: DataFrame, shelf: Shelf, weights: DataFrame | None = None, share: float = 1.0, rounds: int = ROUNDS,
            key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, finish): the decision on each row of ``docs``.
+    """(doc_id, source, size, source_size, target, taken, finish, mark): the decision on each row of ``docs``.
 
     ``taken`` counts the words of the copies that the mix takes, ``finish`` has their finish times.
     ``weights`` is (source, weight); without it weights 5, 2, 1 go round. A null text has size 0 and is
-    taken in no copy; a null source is a source. Rows that share key and size are interchangeable.
+    taken in no copy; a null source is a source. Rows that share a key come in the order of their sizes and of ``mark``,
+    a hash of the text.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"), F.xxhash64(text).alias("mark"))
     rows = shelf.put(rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "sizes")
     # The shuffled order inside a source is that of the digests; a source is windowed in 256 parts of it.
     totals = rows.groupBy("source", F.substring("h", 1, 2).alias("part")).agg(F.sum("size").alias("n"))
@@ -71,10 +72,10 @@ def queued(docs: DataFrame, shelf: Shelf, weights: DataFrame | None = None, shar
     base = totals.select("source", "part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base")).alias("b").join(
         goal.alias("g"), F.expr("b.source <=> g.source")).select(
         F.col("b.source").alias("s"), "part", "base", "source_size", "budget", "target")
-    inner = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, 0)
     ends = rows.withColumn("part", F.substring("h", 1, 2)).withColumn("end", F.sum("size").over(inner)).alias("r").join(
         base.alias("x"), F.expr("r.source <=> x.s and r.part = x.part")).selectExpr(
-        "doc_id", "source", "size", "h", "source_size", "budget", "target", "base + end as end")
+        "doc_id", "source", "size", "mark", "h", "source_size", "budget", "target", "base + end as end")
     ends = shelf.put(ends, "ends")
 
     times = F.expr(f"transform(sequence(0, {rounds - 1}), k -> (k * source_size + end) / target)")
@@ -99,17 +100,23 @@ def queued(docs: DataFrame, shelf: Shelf, weights: DataFrame | None = None, shar
         taken = F.when((F.col("size") > 0) & (F.col("target") > 0), taken).otherwise(F.lit(0))
     return ends.withColumn("finish", times).withColumn("copies", taken.cast("int")).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
-        F.slice("finish", 1, "copies").alias("finish"))
+        F.slice("finish", 1, "copies").alias("finish"), "mark")
 
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.0, rounds: int = ROUNDS) -> DataFrame:
     """The rows of ``docs`` (doc_id, source, text and any others) that the mix holds, once for each copy,
-    sorted over all parts by virtual finish time. Rows whose text has no words are never in the mix. Rows
-    that share doc_id and size share one decision. Other columns may have any names."""
-    plan = queued(docs, Shelf(docs.sparkSession), weights, share, rounds).where("taken > 0").groupBy("doc_id", "size").agg(
-        F.max(F.struct(F.size("finish").alias("k"), "finish"))["finish"].alias("finish"))
-    p, at = free_name(docs, "plan"), free_name(docs, "finish")
-    plan = plan.select(F.struct("doc_id", "size", "finish").alias(p))
-    held = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(f"{p}.doc_id")) & (words("text") == F.col(f"{p}.size")))
+    sorted over all parts by virtual finish time. Rows whose text has no words are never in the mix. Every row
+    has a decision of its own, whatever ids are repeated or null. Other columns may have any names."""
+    p, at, nth = (free_name(docs, x) for x in ("plan", "finish", "nth"))
+    rows, own = queued(docs, Shelf(docs.sparkSession), weights, share, rounds), ["doc_id", "source", "mark"]
+    plan, held = rows.where("taken > 0").select(*own, "finish"), docs
+    on = F.col("doc_id").eqNullSafe(F.col(f"{p}.doc_id")) & F.col("source").eqNullSafe(F.col(f"{p}.source")) & (
+        F.xxhash64("text") == F.col(f"{p}.mark"))
+    if not rows.where("size > 0").groupBy(*own).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        # Rows alike in all three are told apart by their number: the first ones get the earliest copies.
+        plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy(*own).orderBy("finish")))
+        held = docs.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", "source", F.xxhash64("text")).orderBy("doc_id")))
+        on = on & (F.col(nth) == F.col(f"{p}.nth"))
+    held = held.join(plan.select(F.struct(*plan.columns).alias(p)), on)
     return held.select(*docs.columns, F.explode(f"{p}.finish").alias(at)).repartitionByRange(at, "doc_id").sortWithinPartitions(
         at, "doc_id").select(*docs.columns)

@@ -70,3 +70,16 @@ def test_given_weights_and_share(spark):
         F.first("target").alias("t"), F.sum("taken").alias("n")).collect()}
     assert got["b"][0] == pytest.approx(3 * got["a"][0])
     assert all(abs(t - n) <= 7 for t, n in got.values())
+
+
+@pytest.mark.parametrize("one", [None, 7])
+def test_rows_of_one_id_are_decided_each(spark, one):
+    """The words of the mix keep to budget and targets where ids are null or repeated, and equal rows are counted."""
+    texts = [f"w{i} " * (i % 3 + 1) for i in range(1200)] + ["same words here"] * 300 + ["", None]
+    docs = spark.createDataFrame([(one, t, "ab"[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    plan = {r.source: r for r in queued(docs, Shelf(spark)).groupBy("source").agg(
+        F.sum("taken").alias("taken"), F.first("target").alias("target"), F.sum(F.size("finish")).alias("copies")).collect()}
+    held = {r.source: r for r in mixed(docs).groupBy("source").agg(
+        F.sum(F.size(F.split(F.trim("text"), " "))).alias("taken"), F.count("*").alias("copies")).collect()}
+    assert {s: (r.taken, r.copies) for s, r in held.items()} == {s: (r.taken, r.copies) for s, r in plan.items()}
+    assert all(abs(held[s].taken - plan[s].target) <= 3 for s in "ab")
